@@ -1,13 +1,71 @@
-"""The corpus pipeline: stages over documents, each written and reread before the next."""
+"""The corpus pipeline: stages over documents, each written to the shared folder and reread before the next."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, exact, jaccard, mixing, quality
+from lodestone.llm.common import Scratch, small, table
+from lodestone.llm.queries import vocabulary
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not among the dropped; rows without an id stay."""
+    return docs.join(small(dropped.select(F.col("doc_id").alias("gone_")).where("gone_ is not null").distinct(), 1_000_000), F.col("doc_id") == F.col("gone_"), "left_anti")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; it learns from the labels of those given."""
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts. Rows that repeat an id together with its text come down to one."""
+    found = Scratch(spark).keep(exact.exact_groups(docs), "groups")
+    out = _without(docs, found.where(~F.col("kept")))
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_"))
+    if again.limit(1).count():
+        same = F.col("doc_id") == F.col("twice_")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near copies."""
+    found = Scratch(spark).keep(jaccard.near_duplicates(docs), "components")
+    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken (not at all, once or twice)."""
+    taken = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias("i_"), F.col("source").alias("s_"), "times").distinct()
+    taken = small(Scratch(spark).keep(taken, "taken"), 1_000_000)
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("i_")) & F.col("source").eqNullSafe(F.col("s_")))
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, with their count and digests."""
+    return bpe.digest_columns(bpe.encode(docs, vocabulary()))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+
+#: SQL can't express the classifier; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, work = table(spark, sf_dir, "documents"), Scratch(spark)
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = work.keep(docs, f"stage{i + 1}")
     return docs

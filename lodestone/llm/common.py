@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that share this file system import the package, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 class Scratch:
     """Intermediate tables of one run, written as Parquet to the shared folder so that a lost executor loses none.
 
@@ -32,6 +41,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        importable(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
