@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import mmap
+import struct
 import unicodedata
 from collections import Counter
 
@@ -31,6 +32,9 @@ def _byte_chars() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+_CONTROL = regex.compile("[\x1c-\x1f]")
+
+
 class Merger:
     """The file's own rules: splits a text into words and merges a word's characters by rank."""
 
@@ -47,39 +51,48 @@ class Merger:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chars = [c for _, c in sorted(_byte_chars().items())]
 
-    def words(self, text: str):
-        """The words of a text after normalisation; specials come as their ids."""
-        for i, part in enumerate(self.cut.split(text)) if self.cut else [(0, text)]:
+    def chunks(self, text: str) -> list:
+        """The pieces of a text between white space, after normalisation; specials come as their ids.
+
+        No word holds white space, so a piece's words depend on nothing else. Python splits at four control characters
+        that the file's rule takes for marks; texts with one are split by the rule.
+        """
+        out: list = []
+        for i, part in enumerate(self.cut.split(text)) if self.cut and "<" in text else [(0, text)]:
             if i % 2:
-                yield [self.special[part]]
+                out.append(self.special[part])
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part)
                 # lower() knows a final sigma, the rule doesn't
-                yield self.word.findall("".join(map(str.lower, part)) if "\u03a3" in part else part.lower())
+                part = "".join(map(str.lower, part)) if "\u03a3" in part else part.lower()
+                if _CONTROL.search(part):
+                    out += self.word.findall(part)
+                else:
+                    out += part.split()
+        return out
+
+    def words(self, chunk: str) -> list[str]:
+        return self.word.findall(chunk)
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word. Each pass joins every occurrence of the pair with the lowest rank; long words use a heap."""
+        """Ids of one word: joins the leftmost pair of the lowest rank until none is left; long words use a heap."""
         parts = [self.chars[b] for b in word.encode()]
         if not parts:
             return []
         parts[-1] += self.end
         if len(parts) > 64:
             return self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        get, none = self.ranks.get, 1 << 60
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
     def _merge_long(self, parts: list[str]) -> list[int]:
@@ -198,21 +211,34 @@ class Lexicon:
 
 
 class Coder:
-    """Encodes and decodes in one worker. ``cache`` holds a bounded number of words seen, with ids and decoded text."""
+    """Encodes and decodes in one worker. The caches hold a bounded number of pieces seen, with ids and decoded text."""
 
-    MOST = 400_000
+    MOST = 500_000
 
     def __init__(self, merger: Merger, block: bytes):
-        self.merger, self.lexicon, self.cache = merger, Lexicon(block), {}
-
-    def learn(self, words: set) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.MOST:
-            self.cache.clear()
-            new = list(words)
-        for w, n in zip(new, self.lexicon.find(new).tolist()):
-            ids = self.lexicon.of(n) if n >= 0 else self.merger.merge(w)
-            self.cache[w] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+        self.merger, self.lexicon = merger, Lexicon(block)
+        self.ids: dict = {}
+        self.said: dict = {}
+
+    def learn(self, chunks: set) -> None:
+        new = [c for c in chunks if c not in self.ids]
+        if len(self.ids) + len(new) > self.MOST:
+            self.ids.clear()
+            self.said.clear()
+            new = list(chunks)
+        texts = [c for c in new if isinstance(c, str)]
+        split = [self.merger.words(c) for c in texts]
+        words = list({w for ws in split for w in ws})
+        found = {w: self.lexicon.of(n) if n >= 0 else self.merger.merge(w) for w, n in zip(words, self.lexicon.find(words).tolist())}
+        for c, ws in zip(texts, split):
+            self._put(c, [i for w in ws for i in found[w]])
+        for c in new:
+            if not isinstance(c, str):
+                self._put(c, [c])
+
+    def _put(self, chunk, ids: list[int]) -> None:
+        self.ids[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        self.said[chunk] = self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens are joined by blanks."""
@@ -220,12 +246,11 @@ class Coder:
 
     def encode(self, texts: list[str]):
         """For each text the ids as little-endian 32-bit integers and the decoded text."""
-        split = [list(self.merger.words(t)) for t in texts]
-        self.learn({w for parts in split for words in parts for w in words if isinstance(w, str)})
-        cache = self.cache
-        for parts in split:
-            got = [cache[w] if isinstance(w, str) else (np.array([w], "<u4").tobytes(), self.decode([w])) for words in parts for w in words]
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
+        split = [self.merger.chunks(t) for t in texts]
+        self.learn(set().union(*split))
+        ids, said = self.ids.__getitem__, self.said.__getitem__
+        for chunks in split:
+            yield b"".join(map(ids, chunks)), " ".join(map(said, chunks))
 
 
 def word_counts(docs: DataFrame, spec: str) -> DataFrame:
@@ -234,10 +259,14 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
     def run(batches):
         merger = Merger(json.loads(spec))
         for b in batches:
-            seen: Counter = Counter()
+            pieces: Counter = Counter()
             for t in b.column(0).to_pylist():
-                for words in merger.words(t):
-                    seen.update(w for w in words if isinstance(w, str))
+                pieces.update(merger.chunks(t))
+            seen: Counter = Counter()
+            for c, n in pieces.items():
+                if isinstance(c, str):
+                    for w in merger.words(c):
+                        seen[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     return docs.select("text_").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
