@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -60,20 +61,31 @@ def frequent_shingles(docs: DataFrame, words: int, share: float, chunk: int) ->
     return np.sort(hot.view(np.uint64))
 
 
+#: A set's window is longer by this percentage of the set than one common shingle would ask for; in return, linked sets
+#: have as many more shingles in common there, and the rarest of them will do.
+SLACK = 15
+
+
+def _required(n, percent: int):
+    """For a set of n: how few of its shingles a linked set may share, its window, and how many the windows share."""
+    least = (percent * n + 99) // 100
+    return least, n - least + SLACK * n // 100 + 1, SLACK * least // 100 + 1
+
+
 def _prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles whose regions a set may have to enter: its first n - ceil(t n) + 1, rare ones first.
+    """A set's window: the shingles whose regions it may have to enter, the first ones in a fixed order, hot ones last.
 
-    A set's home is the region of its first shingle. Its distance to the region of its (k+1)-th one is at least
-    k / n, as k shingles would have to go; beyond 1 - t no set of that region can be near enough.
+    A set's home is the region of its first shingle. Its distance to the region of its (k+1)-th one is at least k / n,
+    as k shingles would have to go; beyond 1 - t no set of that region can be near enough, so n - ceil(t n) + 1 regions
+    hold at least one shingle that a linked set has in its own window.
     """
-    n = len(s)
-    k = n - -(-percent * n // 100) + 1
+    k = min(len(s), _required(len(s), percent)[1])
     order = mix(s)
     if len(hot):
         at = np.searchsorted(hot, s)
         is_hot = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == s)
         order = (order >> np.uint64(1)) | (is_hot.astype(np.uint64) << np.uint64(63))
-    return s[np.argpartition(order, k - 1)[:k]] if k < n else s
+    return s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s
 
 
 def _key(s: np.ndarray) -> bytes | None:
@@ -111,18 +123,111 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node_ long, set_ array<long>")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x_, y_) with their exact distance d_ and whether they link. Both joins are plain, so a pivot with very many
-    partners is split by adaptive execution."""
-    a = sets.select(F.col("node_").alias("x_"), F.col("set_").alias("a_"))
-    b = sets.select(F.col("node_").alias("y_"), F.col("set_").alias("b_"))
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """(x_, y_) with their exact distance d_ and whether they link.
+
+    Up to a checked number of pairs these are broadcast to the sets, so only sets that a pair needs are shuffled, once
+    to their partner. Beyond it the joins are plain; a partner of very many is split by adaptive execution in both.
+    """
+    pairs = small(work.keep(pairs, "pairs"), 500_000)
+    ends = pairs.select("y_").distinct()
+    a = sets.select(F.col("node_").alias("x_"), F.col("set_").alias("a_")).join(pairs, "x_")
+    b = sets.select(F.col("node_").alias("y_"), F.col("set_").alias("b_")).join(small(work.keep(ends, "ends"), 500_000), "y_")
     both = F.size(F.array_intersect("a_", "b_")).cast("long")
-    x = pairs.join(a, "x_").join(b, "y_").select("x_", "y_", both.alias("both_"), (F.size("a_") + F.size("b_")).cast("long").alias("sum_"))
+    x = a.join(b, "y_").select("x_", "y_", both.alias("both_"), (F.size("a_") + F.size("b_")).cast("long").alias("sum_"))
     any_ = F.col("sum_") - F.col("both_")
     return x.select("x_", "y_", (1 - F.col("both_") / any_).alias("d_"), (100 * F.col("both_") >= percent * any_).alias("link_"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, share: float = 0.002, chunk: int = 2000, region: int = 48, rounds: int = 8) -> DataFrame:
+def _regions(rows: DataFrame, sizes: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+    """(h_, node_, n_) for the regions of at least two nodes, from the windows' rows (node_, h_).
+
+    How many windows hold a shingle is counted first. Within its window a node enters the regions of its rarest
+    shingles alone: as linked windows share at least q shingles, all but the q - 1 commonest hold one of them. Shingles
+    of one window come first and make no region, so documents that share mere passages meet in none.
+    """
+    spark = rows.sparkSession
+    w = Window.partitionBy("h_")
+    if len(hot):
+        hots = F.broadcast(spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "h_ long"))
+        many = rows.join(hots, "h_").select("node_", F.lit(1 << 62).alias("df_"), "h_")
+        rows = rows.join(hots, "h_", "left_anti")
+    common = rows.withColumn("df_", F.count("*").over(w)).where(F.col("df_") > 1).select("node_", "df_", "h_")
+    common = common.unionByName(many) if len(hot) else common
+    lists = common.groupBy("node_").agg(F.sort_array(F.collect_list(F.struct("df_", "h_"))).alias("common_")).join(sizes, "node_")
+    least = F.floor((F.col("n_shingles") * percent + 99) / 100)
+    window = F.least(F.col("n_shingles"), F.col("n_shingles") - least + F.floor(F.col("n_shingles") * SLACK / 100) + 1)
+    shared = F.floor(least * SLACK / 100) + 1
+    enter = window - shared + 1 - (window - F.size("common_"))
+    lists = lists.withColumn("enter_", enter.cast("int")).where(F.col("enter_") > 0)
+    entered = lists.select("node_", "n_shingles", F.explode(F.slice("common_", F.lit(1), F.col("enter_"))).alias("r_")).select("node_", F.col("n_shingles").alias("n_"), "r_.*")
+    # distance to the empty set as a second pivot: linked sizes differ by a factor of at most 100 / percent
+    size = F.floor(F.log(F.col("n_").cast("double")) / math.log(100 / percent)).cast("int")
+    entered = entered.withColumn("size_", F.explode(F.array(size, size + 1))).withColumn("h_", F.xxhash64("h_", "size_"))
+    mark = F.xxhash64("node_")
+    few = entered.where(F.col("df_") < 1 << 62).withColumn("m_", F.count("*").over(w)).withColumn("s_", F.bit_xor(mark).over(w))
+    few = few.where(F.col("m_") > 1).select(F.col("s_").alias("h_"), "node_", "n_")
+    if len(hot):
+        many = entered.where(F.col("df_") == 1 << 62)
+        heads = many.groupBy("h_").agg(F.count("*").alias("m_"), F.bit_xor(mark).alias("s_")).where(F.col("m_") > 1).drop("m_")
+        few = few.unionByName(many.join(heads, "h_").select(F.col("s_").alias("h_"), "node_", "n_"))
+    # regions are named by their members, so those with the same members are one
+    return few.distinct()
+
+
+def _pivoted(regions: DataFrame) -> DataFrame:
+    """Adds pivot_ to (h_, node_, n_, far_): the far member that is in most regions, so likely the centre of its group."""
+    often = regions.groupBy("node_").agg(F.count("*").alias("often_"))
+    rows = regions.join(often, "node_")
+    pivots = rows.groupBy("h_").agg(F.max_by("node_", F.struct("far_", "often_", -F.col("node_"))).alias("pivot_"))
+    return rows.join(pivots, "h_").select("h_", "node_", "n_", "pivot_")
+
+
+def _side(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(c if c in ("pivot_", "h_") else f"{c[0]}{name}_") for c in cols], F.col("node_").alias(f"{name}_"), F.col("n_").alias(f"n{name}_"), F.col("comp_").alias(f"c{name}_"))
+
+
+def _open(percent: int):
+    """Pairs whose components differ and whose sizes allow a link."""
+    nx, ny = F.col("nx_"), F.col("ny_")
+    return (F.col("cx_") != F.col("cy_")) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x_", "y_").alias("x_"), F.greatest("x_", "y_").alias("y_")).distinct()
+
+
+def _beyond_pivot(regions: DataFrame, sets: DataFrame, percent: int, most: int | None, work: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs between a region's members outside its largest component and all others, and deeper regions.
+
+    Two sets share at most min(|x & p|, |y & p|) within the pivot p. Where that is too little for a link, they must
+    share the rest outside p, so the members enter regions of their rarest shingles outside p. Regions of one pivot are
+    taken together. A new region in which more than ``most`` pairs could be compared is not; it is returned as deeper.
+    """
+    g = work.keep(regions.groupBy("pivot_", "node_", "n_", "comp_").agg(F.max("far_").alias("far_")), "members")
+    pivots = work.keep(g.select("pivot_").distinct(), "pivots")
+    of = sets.select(F.col("node_").alias("pivot_"), F.col("set_").alias("of_")).join(small(pivots, 500_000), "pivot_")
+    g = sets.join(small(g, 500_000), "node_").join(of, "pivot_")
+    g = work.keep(g.select("pivot_", "node_", "n_", "comp_", "far_", F.array_except("set_", "of_").alias("out_")).withColumn("b_", F.col("n_") - F.size("out_")), "outside")
+    needed = F.floor((percent * (F.col("nx_") + F.col("ny_")) + 99 + percent) / (100 + percent))
+    within = g.where(100 * F.col("b_") >= percent * F.col("n_"))
+    near = _side(within.where("far_"), "x", "pivot_", "b_").join(_side(within, "y", "pivot_", "b_"), "pivot_").where(_open(percent) & (F.least("bx_", "by_") >= needed))
+    # a set of n needs at least ceil(t n) - |x & p| from outside, so of its rarest outside shingles all but that many will do
+    from_out = F.greatest(F.floor((percent * F.col("n_") + 99) / 100) - F.col("b_"), F.lit(1))
+    e = g.select("pivot_", "node_", "n_", "comp_", "far_", (F.size("out_") - from_out + 1).alias("enter_"), F.explode("out_").alias("e_")).where(F.col("enter_") > 0)
+    e = e.withColumn("df_", F.count("*").over(Window.partitionBy("pivot_", "e_")))
+    e = e.withColumn("rank_", F.row_number().over(Window.partitionBy("pivot_", "node_").orderBy("df_", "e_"))).where((F.col("rank_") <= F.col("enter_")) & (F.col("df_") > 1))
+    span = e.groupBy("pivot_", "e_").agg((F.sum(F.col("far_").cast("long")) * F.count("*")).alias("pairs_"), F.bit_xor(F.xxhash64("node_", "far_")).alias("s_"), F.min("comp_").alias("lo_"), F.max("comp_").alias("hi_"))
+    span = span.where((F.col("lo_") < F.col("hi_")) & (F.col("pairs_") > 0)).select("pivot_", "e_", "pairs_", "s_")
+    # regions with the same members are one
+    e = work.keep(e.join(span, ["pivot_", "e_"]).select(F.col("s_").alias("h_"), "node_", "n_", "comp_", "far_", "pairs_").distinct(), "deeper")
+    few = e if most is None else e.where(F.col("pairs_") <= most)
+    out = _side(few.where("far_"), "x", "h_").join(_side(few, "y", "h_"), "h_").where(_open(percent))
+    pairs = _ordered(near.select("x_", "y_").unionByName(out.select("x_", "y_")))
+    return pairs, None if most is None else e.where(F.col("pairs_") > most).select("h_", "node_", "n_", "far_")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, share: float = 0.002, chunk: int = 2000, cell: int = 4096, rounds: int = 6) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest id reachable by links.
 
     Documents link when the Jaccard distance of their sets of ``words``-word shingles is at most eps = 1 - percent/100.
@@ -135,8 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. In each region a document becomes the pivot and every member's exact distance d to it is found. Members within
        eps are one component. Others must still be compared with each other and, by the triangle inequality, only
        with members at d >= (least distance beyond eps) - eps.
-    4. What is left of a region joins recursively with a new pivot; regions of at most ``region`` nodes, or what is
-       left after ``rounds`` rounds, compare all their pairs from different components.
+    4. The members outside a region's largest component join recursively with the others, in regions of the shingles
+       that lie outside the pivot. A region with at most ``cell`` pairs compares them; a larger one gets a pivot of its
+       own, up to ``rounds`` levels, the last of which compares whatever is left.
 
     Members of one component are never compared again, so a large group of near copies costs one comparison each.
     Regions of frequent shingles get their pivot by a pre-aggregated minimum, others by a window over the region.
@@ -153,60 +259,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sigs.where(F.col("key_").isNotNull())
     named = full.groupBy("key_", "own_").agg(F.count("*").alias("n_"))
     nodes = work.keep(named.groupBy("key_").agg(F.min("own_").alias("node_"), F.min_by("n_", "own_").alias("times_")), "nodes")
-    member = full.select("doc_id", "n_shingles", "key_").join(nodes, "key_")
-
-    # a node's prefix comes from the row that names it, and from one of them where a row is repeated
-    rows = full.select("key_", F.col("own_").alias("node_"), "prefix_").join(nodes, ["key_", "node_"])
-    repeats = bool(nodes.where(F.col("times_") > 1).limit(1).count())
+    narrow = work.keep(sigs.select("doc_id", "n_shingles", "key_", "own_"), "narrow")
+    member = narrow.join(nodes, "key_")
+
+    # a node's window comes from the row that names it, and from one of them where a row is repeated
+    others = work.keep(member.where(F.col("own_") != F.col("node_")).select("key_", "own_").distinct(), "others")
+    rows = full.join(small(others, 500_000), ["key_", "own_"], "left_anti").select("key_", F.col("own_").alias("node_"), "n_shingles", "prefix_")
+    twice = nodes.where(F.col("times_") > 1).select("key_")
+    repeats = bool(twice.limit(1).count())
     if repeats:
-        again = rows.where(F.col("times_") > 1).dropDuplicates(["node_", "key_"])
-        rows = rows.where(F.col("times_") == 1).unionByName(again)
+        rows = rows.join(twice, "key_", "left_anti").unionByName(rows.join(twice, "key_", "left_semi").dropDuplicates(["node_", "key_"]))
     rows = rows.select("node_", F.explode("prefix_").alias("h_"))
-    if len(hot):
-        hots = F.broadcast(spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "h_ long"))
-        many = rows.join(hots, "h_")
-        heads = many.groupBy("h_").agg(F.min("node_").alias("pivot_"), F.count("*").alias("m_")).where(F.col("m_") > 1).drop("m_")
-        many = many.join(F.broadcast(heads), "h_").select("h_", "node_", "pivot_")
-        rows = rows.join(hots, "h_", "left_anti")
-    w = Window.partitionBy("h_")
-    few = rows.withColumn("m_", F.count("*").over(w)).withColumn("pivot_", F.min("node_").over(w)).where(F.col("m_") > 1).select("h_", "node_", "pivot_")
-    regions = work.keep(few.unionByName(many) if len(hot) else few, "regions")
+    regions = work.keep(_regions(rows, member.where(F.col("own_") == F.col("node_")).select("node_", "n_shingles").distinct(), hot, percent).withColumn("far_", F.lit(True)), "regions")
+    regions = work.keep(_pivoted(regions), "regions")
+    work.drop(sigs, others)
     wanted = work.keep(regions.select("node_").distinct().join(nodes.groupBy("node_").agg(F.max("times_").alias("times_")), "node_"), "wanted")
     texts = base.join(small(wanted, 1_000_000), F.col("doc_id") == F.col("node_")).select("doc_id", "text_", "times_")
     if repeats:
         again = texts.where(F.col("times_") > 1).dropDuplicates(["doc_id", "text_"])
         texts = texts.where(F.col("times_") == 1).unionByName(again)
     texts = texts.select("doc_id", "text_")
-    if sigs.where(F.col("doc_id").isNull()).limit(1).count():
+    if narrow.where(F.col("doc_id").isNull()).limit(1).count():
         texts = texts.unionByName(base.where(F.col("doc_id").isNull()).dropDuplicates(["text_"]))
     sets = work.keep(_sets(texts, words), "sets")
 
-    links = None
-    comps = None
-    for turn in range(rounds + 1):
-        pairs = regions.where(F.col("node_") != F.col("pivot_")).select(F.col("node_").alias("x_"), F.col("pivot_").alias("y_")).distinct()
-        far = work.keep(_measured(pairs, sets, percent), "distances")
-        new = far.where("link_").select(F.col("x_").alias("u_"), F.col("y_").alias("v_"))
-        links = work.keep(new if links is None else links.unionByName(new), "links")
-        comps = work.keep(components(links, work), "components")
-        left = regions.join(far.select(F.col("x_").alias("node_"), F.col("y_").alias("pivot_"), "d_", "link_"), ["node_", "pivot_"])
+    comps = work.keep(spark.createDataFrame([], "node_ long, comp_ long"), "components")
+
+    def joined(new: DataFrame) -> DataFrame:
+        """The components with more links. What is known is a star already and is only added to."""
+        new = work.keep(new.where("link_").select(F.col("x_").alias("u_"), F.col("y_").alias("v_")), "links")
+        if not new.limit(1).count():
+            return comps
+        return work.keep(components(new.unionByName(comps.select(F.col("node_").alias("u_"), F.col("comp_").alias("v_"))), work), "components")
+
+    for turn in range(rounds):
+        # every member meets the pivot that it shares most regions with; other pivots only if that left them apart
+        pairs = regions.where(F.col("node_") != F.col("pivot_")).groupBy(F.col("node_").alias("x_"), F.col("pivot_").alias("y_")).agg(F.count("*").alias("c_"))
+        pairs = work.keep(pairs, "pairs")
+        main = pairs.groupBy("x_").agg(F.max_by("y_", F.struct("c_", -F.col("y_"))).alias("y_"))
+        far = work.keep(_measured(main, sets, percent, work), "distances")
+        comps = joined(far)
+        of = lambda c: comps.select(F.col("node_").alias(f"{c}_"), F.col("comp_").alias(f"c{c}_"))  # noqa: E731, B023
+        rest = pairs.join(far.select("x_", "y_"), ["x_", "y_"], "left_anti").join(of("x"), "x_", "left").join(of("y"), "y_", "left")
+        apart = F.coalesce("cx_", "x_") != F.coalesce("cy_", "y_")
+        rest = work.keep(rest.select("x_", "y_", apart.alias("apart_")), "rest")
+        more = work.keep(_measured(rest.where("apart_").select("x_", "y_"), sets, percent, work), "distances")
+        comps = joined(more)
+        known = far.unionByName(more).unionByName(rest.where("not apart_").select("x_", "y_", F.lit(None).cast("double").alias("d_"), F.lit(True).alias("link_")))
+        left = regions.join(known.select(F.col("x_").alias("node_"), F.col("y_").alias("pivot_"), "d_", "link_"), ["node_", "pivot_"])
         edge = left.groupBy("h_").agg(F.min(F.when(~F.col("link_"), F.col("d_"))).alias("edge_")).where(F.col("edge_").isNotNull())
-        left = left.join(edge, "h_").where(~F.col("link_") | (F.col("d_") >= F.col("edge_") - (1 - percent / 100) - 1e-9))
-        left = left.join(comps, "node_", "left").select("h_", "node_", "link_", F.coalesce("comp_", "node_").alias("comp_"))
-        # a region whose members are all in one component by now is done
-        span = left.groupBy("h_").agg(F.min("comp_").alias("lo_"), F.max("comp_").alias("hi_"), F.count("*").alias("m_"), F.min(F.when(~F.col("link_"), F.col("node_"))).alias("next_"))
-        left = work.keep(left.join(span.where(F.col("lo_") < F.col("hi_")), "h_").select("h_", "node_", "comp_", "m_", "next_"), "left")
-        last = turn == rounds
-        block = left if last else left.where(F.col("m_") <= region)
-        a, b = block.select("h_", F.col("node_").alias("x_"), F.col("comp_").alias("cx_")), block.select("h_", F.col("node_").alias("y_"), F.col("comp_").alias("cy_"))
-        pairs = a.join(b, "h_").where((F.col("x_") < F.col("y_")) & (F.col("cx_") != F.col("cy_"))).select("x_", "y_").distinct()
-        new = _measured(pairs, sets, percent).where("link_").select(F.col("x_").alias("u_"), F.col("y_").alias("v_"))
-        links = work.keep(links.unionByName(new), "links")
-        rest = left.where(F.col("m_") > region)
-        if last or not rest.limit(1).count():
+        window = F.coalesce(F.col("d_"), F.lit(1.0)) >= F.col("edge_") - (1 - percent / 100) - 1e-9
+        left = left.join(edge, "h_").where(~F.col("link_") | window)
+        left = left.join(comps, "node_", "left").select("h_", "node_", "n_", "pivot_", "d_", F.coalesce("comp_", "node_").alias("comp_"))
+        # a region whose members are all in one component by now is done; else those outside its largest one are far
+        span = left.groupBy("h_", "comp_").agg(F.count("*").alias("m_"), F.bit_xor(F.xxhash64("node_")).alias("s_"))
+        span = span.groupBy("h_").agg(F.max_by("comp_", F.struct("m_", "comp_")).alias("main_"), (F.sum("m_") - F.max("m_")).alias("m_"), F.bit_xor("s_").alias("s_"))
+        left = left.join(span.where(F.col("m_") > 0), "h_").withColumn("far_", F.col("comp_") != F.col("main_"))
+        # regions left with the same members and pivot are one
+        left = left.groupBy(F.xxhash64("s_", "pivot_").alias("h_"), "pivot_", "node_", "n_", "comp_", "far_").agg(F.max("m_").alias("m_"))
+        left = work.keep(left, "left")
+        pairs, deeper = _beyond_pivot(left, sets, percent, None if turn + 1 == rounds else cell, work)
+        comps = joined(_measured(pairs, sets, percent, work))
+        if deeper is None or not deeper.limit(1).count():
             break
-        regions = work.keep(rest.select("h_", "node_", F.col("next_").alias("pivot_")), "regions")
-    comps = work.keep(components(links, work), "components")
+        regions = work.keep(_pivoted(deeper), "regions")
     found = member.join(comps, "node_", "left").select("doc_id", "n_shingles", F.coalesce("comp_", "node_").alias("c_"))
     found = found.select("doc_id", "n_shingles", F.when(F.col("c_") < NO_ID, F.col("c_")).alias("component_id"))
-    return found.unionByName(sigs.where(F.col("key_").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return found.unionByName(narrow.where(F.col("key_").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
