@@ -105,8 +105,8 @@ def shingle_sets(texts: list[bytes], k: int = 5):
         w = Words(texts[lo:hi])
         h, n = w.hash, len(w.hash)
         roll = np.zeros(n, np.uint64)
-        for j in range(k):
-            roll[: n - j] = mix(roll[: n - j] * np.uint64(31) + h[j:] + np.uint64(j + 1)) if n > j else roll[:0]
+        for j in range(min(k, n)):
+            roll[: n - j] = mix(roll[: n - j] * np.uint64(31) + h[j:] + np.uint64(j + 1))
         first = np.cumsum(w.per_doc) - w.per_doc
         for d in range(hi - lo):
             a, c = int(first[d]), int(w.per_doc[d])
