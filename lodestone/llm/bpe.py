@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, text_or_empty
+from .common import Scratch, importable, text_or_empty
 
 #: Words compiled at most, and the least number of times that a word must occur to be compiled.
 LEXICON, OFTEN = 100_000, 20
@@ -272,11 +272,24 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
     return docs.select("text_").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def commonest(counts: DataFrame, most: int) -> list[str]:
+    """The words (word, n) of the highest counts, at most ``most``: counts fall into bins of a 64th of an octave, and the
+    bins from the top that fit whole are taken, so that no more than the result reaches the driver."""
+    b = F.floor(F.log2("n") * 64)
+    bins = sorted(((r.b, r["count"]) for r in counts.groupBy(b.alias("b")).count().collect()), reverse=True)
+    least, total = None, 0
+    for at, n in bins:
+        if (total := total + n) > most:
+            break
+        least = at
+    return [] if least is None else [r.word for r in counts.where(b >= least).select("word").collect()]
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon: int = LEXICON, often: int = OFTEN) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (binary, little-endian unsigned 32-bit) and the text that they decode to.
 
-    The lexicon holds the ``lexicon`` most frequent words of all documents with at least ``often`` occurrences (ties by
-    word): a bounded list, compiled on the driver and broadcast. It changes speed alone, as other words are merged by
+    The lexicon holds at most ``lexicon`` of the most frequent words of all documents, with at least ``often``
+    occurrences: a bounded list, compiled on the driver and broadcast. It changes speed alone, as other words are merged by
     the same rules. Null and empty texts have no ids and decode to the empty text. Null and repeated ids stay as they
     are; extra columns are ignored; an empty table gives an empty one.
     """
@@ -285,7 +298,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         spec = f.read()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text_"))
     merger = Merger(json.loads(spec))
-    top = word_counts(base, spec).where(F.col("n") >= often).orderBy(F.col("n").desc(), "word").limit(lexicon).toPandas()["word"]
+    top = commonest(Scratch(docs.sparkSession).keep(word_counts(base, spec).where(F.col("n") >= often), "words"), lexicon)
     block = docs.sparkSession.sparkContext.broadcast(Lexicon.compile({w: merger.merge(w) for w in top}))
 
     def run(batches):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, text_or_empty
+from .common import by_hash, importable, text_or_empty
 from .words import Words, mix, pieces
 
 #: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on.
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
     """
     importable(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y_")).where("doc_id is not null and y_ is not null")
-    rows = rows.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y_").limit(sample)
+    rows = by_hash(rows.where(~held_out(F.col("doc_id"))), sample, "doc_id", "y_")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text_"), F.col("n_chars").cast("long").alias("declared_"))
     picked = base.join(F.broadcast(rows), "doc_id")
 

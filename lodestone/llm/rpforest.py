@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, by_hash
 from .components import components
 
 NO_ID = 1 << 62
@@ -168,7 +168,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     own = F.coalesce("vec_id", F.shiftrightunsigned(F.col("a_"), 2) + F.lit(NO_ID))
     reps = rows.where(F.col("embedding").isNotNull()).groupBy("a_", "b_").agg(F.min(own).alias("node_"), F.count("*").alias("times_"), F.any_value("embedding").alias("embedding"))
     reps = work.keep(reps, "distinct")
-    sample = [r.embedding for r in reps.orderBy("a_", "b_").limit(SAMPLE).select("embedding").collect()]
+    sample = [r.embedding for r in by_hash(reps, SAMPLE, "a_", "b_").select("embedding").collect()]
     lengths = sorted(map(len, sample))
     dim = max(set(lengths), key=lambda d: (lengths.count(d), d)) if lengths and lengths[0] != lengths[-1] else lengths[0] if lengths else 1
     x, _ = unit([v for v in sample if len(v) == dim] or [[0.0] * dim])
