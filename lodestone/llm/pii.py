@@ -95,3 +95,45 @@ def digest_columns(found: DataFrame) -> DataFrame:
     """Counts of each base kind, the digest of the base spans and all spans as text."""
     say = lambda kinds: F.array_join(F.concat(*[F.transform(f"spans_{k}", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]), ",")
     return found.select("doc_id", *[F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.sha2(say(BASE), 256).alias("base_sha256"), say(BASE + ADDED).alias("spans"))
+
+
+def _sql() -> str:
+    """The query's rows in DuckDB: the plain patterns, and places from the pieces between matches.
+
+    A span with nothing of its own class at either side is a whole run of that class, so the ssn's bounds need no
+    look-around there.
+    """
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+        "ssn": r"[0-9-]+",
+    }
+    digits = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+    one = "substr({d}, length({d}) - j + 1, 1)::INT".format(d=digits)
+    bare = "replace(m[i], ' ', '')"
+    moved = f"(substr({bare}, 5) || substr({bare}, 1, 4))"
+    value = f"CASE WHEN substr({moved}, j, 1) < 'A' THEN try_cast(substr({moved}, j, 1) AS INT) ELSE ascii(substr({moved}, j, 1)) - 55 END"
+    near = f"lower(substr(t, greatest(s[i] - {NEAR}, 0) + 1, s[i] - greatest(s[i] - {NEAR}, 0)) || ' ' || substr(t, s[i] + length(m[i]) + 1, {NEAR}))"
+    ok = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m[i], '.'), lambda o: length(ltrim(o, '0')) > 3 OR coalesce(try_cast(ltrim(o, '0') AS INT), 0) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN {one} ELSE 2 * {one} - CASE WHEN {one} > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(range(1, length({bare}) + 1), lambda j: {value})), lambda r, c: (CASE WHEN c > 9 THEN r * 100 ELSE r * 10 END + c) % 97) = 1",
+        "ssn": f"regexp_full_match(m[i], '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND regexp_matches({near}, '{CONTEXT['ssn']}')",
+    }
+    parts = []
+    for kind, p in plain.items():
+        parts.append(f"""{kind}_m AS (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d),
+{kind}_s AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT[] AS s FROM {kind}_m),
+{kind} AS (SELECT doc_id, list_transform(list_filter(range(1, len(m) + 1), lambda i: {ok[kind]}), lambda i: '{kind}:' || s[i] || ':' || (s[i] + length(m[i]))) AS {kind} FROM {kind}_s)""")
+    joined = lambda kinds: "array_to_string(" + " || ".join(kinds) + ", ',')"
+    counts = ", ".join(f"len({k})::BIGINT AS n_{k}" for k in BASE)
+    joins = " ".join(f"JOIN {k} USING (doc_id)" for k in plain)
+    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), " + ",\n".join(parts) + f"\nSELECT doc_id, {counts}, sha256({joined(BASE)}) AS base_sha256, {joined(BASE + ADDED)} AS spans FROM d {joins}"
+
+
+ORACLE = _sql()

@@ -62,4 +62,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality, op2_pii, op3_mixing, op4_exact_dedup, op5_ngram_jaccard, op6_chat, op7_html, op8_bpe, op9_embedding_dedup, op10_line_dedup)
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op4_exact_dedup": exact.ORACLE, "op6_chat": chat.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLES = {"op2_pii": pii.ORACLE, "op3_mixing": mixing.ORACLE, "op4_exact_dedup": exact.ORACLE, "op6_chat": chat.ORACLE, "op10_line_dedup": lines.ORACLE}

@@ -1,0 +1,313 @@
+"""The training-data operators against SQL and brute force, and on nulls, empty tables, repeats and clashing columns."""
+
+import hashlib
+import json
+import random
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, chat, components, exact, html_template, jaccard, lines, mixing, pii, quality, queries, rpforest
+from lodestone.llm.common import Scratch, table
+from tests.oracle import same
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns with names the operators use."""
+    rows = [(1, "a b", "en", "s", 3), (2, "ab", None, None, None), (2, "ab", None, None, None), (None, "a  b", "en", "s", 1), (None, None, None, "t", 0), (5, None, "en", "t", -1), (6, "", "en", "", 0), (7, "x" * 200_000, "en", "s", 5), (8, "w " * 50_000, "en", "s", 5), (9, "é\tÀ 😀\n\n", "fr", "s", 9)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumn("text_", F.lit(1)).withColumn("size", F.lit("x")).withColumn("kept", F.lit(True)).withColumn("h_", F.lit(0)).withColumn("content_", F.lit(2))
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    same(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF)
+
+
+def test_odd_and_empty_tables(spark):
+    machine = quality.train(table(spark, SF, "documents"), table(spark, SF, "labels"), sample=200)
+    for f in (exact.exact_groups, mixing.mix, lines.dedup_lines, pii.find_pii, jaccard.near_duplicates, lambda d: bpe.encode(d, queries.vocabulary()), lambda d: quality.score(d, machine)):
+        assert f(empty(spark)).count() == 0
+        assert f(odd_docs(spark)).count() == 10
+    assert quality.accepted(odd_docs(spark), machine).columns == odd_docs(spark).columns
+
+
+def test_exact_rules(spark):
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(odd_docs(spark)).collect()}
+    # "a  b" is the longest of its group and has no id
+    assert (1, None, 4, False) in got and (2, None, 4, False) in got and (None, None, 4, True) in got
+    assert (5, 5, 3, True) in got and (6, 5, 3, False) in got
+
+
+def test_mix_meets_targets(spark):
+    x = mixing.mix(table(spark, SF, "documents")).toPandas()
+    assert (x.taken <= 2 * x["size"]).all() and x.target.ge(0).all()
+    by = x.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), own=("source_size", "first"), most=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.most).all()
+    assert by.target.sum() == pytest.approx(1.5 * x["size"].sum()) and (by.target <= 2 * by.own + 1e-6).all()
+
+
+def test_line_rules(spark):
+    common, rows = "A line that is long enough", []
+    for i in range(4):
+        rows.append((i, f"  {common.upper() if i % 2 else common}\t\nshort\nown {i} {'z' * 20}"))
+    rows += [(10, None), (11, ""), (None, common)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=3).collect()}
+    for i in range(3):
+        assert got[i] == (3, 1, f"short\nown {i} {'z' * 20}")
+    assert got[3][1] == 0 and got[10] == (1, 0, "") and got[11] == (1, 0, "") and got[None] == (1, 0, common)
+
+
+def test_line_runs_are_compacted(spark):
+    runs = lines.LineRuns(Scratch(spark), fanout=2)
+    for i in range(5):
+        runs.add(spark.createDataFrame([(i, k, k) for k in range(i, i + 3)], "doc_id long, a_ long, b_ long"))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert {r.a_: (r.docs_, r.last_) for r in runs.totals().collect()} == {k: (sum(i <= k < i + 3 for i in range(5)), min(k, 4)) for k in range(7)}
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(v - 9 if v > 9 else v for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+
+
+def base_spans(text):
+    def ok(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        return kind == "email" or (13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15)
+
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k in BASE for m in re.finditer(BASE[k], text or "") if ok(k, m.group()))
+
+
+def test_pii_equals_brute_force(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("a1.@-+ ()é😀%_2934") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
+    texts += [None, "", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "9" * 20_000, "a" * 50_000, "1." * 5_000, "4111-1111-1111-1111 +49 (30) 1234567 0001.002.255.256"]
+    texts += [r.text for r in table(spark, SF, "documents").select("text").collect()]
+    got = pii.digest_columns(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for r in got:
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id]
+        assert r.spans.startswith(want)
+    assert sum(r.n_email for r in got) > 0
+
+
+def test_pii_added_spans(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 ok", "DE88 3704 0044 0532 0130 00", "my ssn 123-45-6789", "x" * 100 + " 123-45-6789"]
+    got = [r.spans for r in pii.digest_columns(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()]
+    assert got[0] == "iban:0:27" and "iban" not in got[1] and got[2] == "ssn:7:18" and got[3] == ""
+    spans = pii.find_pii(spark.createDataFrame([(1, "call +49 30 1234567"), (2, "+49 30 1234567")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert spans[0].spans_phone[0].score > spans[1].spans_phone[0].score
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_brute(texts):
+    sets, up = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), top(i)) for i in texts}
+
+
+def edited(rng, words, share):
+    return [f"n{rng.randint(0, 10**6)}" if rng.random() < share else w for w in words]
+
+
+def test_near_duplicates_are_exact(spark):
+    """Chains at the threshold, a group too large for one round, a passage in unrelated texts, and short texts."""
+    rng = random.Random(5)
+    texts = {}
+    passage = [f"p{i}" for i in range(60)]
+    for g in range(6):
+        base = [f"w{g}_{i}" for i in range(rng.randint(30, 120))]
+        for _ in range(12):
+            base = edited(rng, base, 0.01) if g % 2 else base
+            texts[len(texts)] = " ".join(edited(rng, base, 0.02))
+    for _ in range(90):
+        texts[len(texts)] = " ".join(passage + [f"q{rng.randint(0, 10**6)}" for _ in range(rng.randint(4, 30))])
+    texts |= {1000 + i: t for i, t in enumerate(["", None, "one", "ONE", "one two", "a b c d e", "A  b\tc d e", "a b c d f"])}
+    for cell, share, hot, rounds in ((4096, 0.002, 2000, 6), (4, 0.2, 50, 6), (30, 0.9, 10, 2)):
+        got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), share=share, chunk=hot, cell=cell, rounds=rounds)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_brute(texts)
+
+
+def test_near_duplicates_on_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    want = near_brute({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()} == want
+
+
+def test_near_duplicates_without_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "z"), (None, None)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 3): 2, (3, 3): 2, (None, None): 2}
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(50)]
+    up = {v: v for e in edges for v in e}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.node_: r.comp_ for r in components.components(spark.createDataFrame(edges, "u_ long, v_ long"), Scratch(spark)).collect()}
+    assert got == {v: top(v) for a, b in edges if a != b for v in (a, b)}
+
+
+def test_chat(spark):
+    rows = [(1, 0, "u", "a"), (1, 1, "b", "c"), (2, 0, "u", "a"), (3, 0, "u", "a"), (3, 1, "b", "c"), (4, 0, "u", None), (None, 0, None, "x"), (5, 0, "u", "a"), (5, 1, "b", "d")]
+    got = {r.conv_id: r.text for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {1, 4, 5, None} and got[1] == "<|im_start|>u\na<|im_end|>\n<|im_start|>b\nc<|im_end|>\n"
+    assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body><header>H</header><nav><ul><li><a>m %d</a></li></ul></nav>
+<div class="ad">buy</div><div id="cookie-notice">ok?</div><article><h1>T%d</h1><p><b>One &amp; two<br>three<p>x<i>y</i>z &lt;<form>f</form><aside>side</aside><ul><li>l1<li>l2</ul></article>
+<section class="comments"><p>first!</p></section><footer>&copy; h</footer>"""
+
+
+def test_html(spark):
+    rows = [(i, f"https://h.example/{i}", PAGE % (i, i)) for i in range(5)] + [(10, "https://one.example/", "<p>alone<p>  two\n lines <nav>n</nav>"), (11, None, None), (None, "bad url", ""), (12, "https://h.example/x", "<article><p>off</p> <!-- c --> template")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("template", F.lit(2))
+    got = {r.page_id: r.text for r in html_template.main_text(df).collect()}
+    for i in range(5):
+        assert got[i] == f"T{i}\nOne & two three\nxyz <\nl1\nl2"
+    assert got[10] == "alone\ntwo lines" and got[11] == "" and got[None] == "" and got[12] == "off\ntemplate"
+    assert html_template.main_text(df.limit(0)).count() == 0
+
+
+def test_html_pages(spark):
+    """Pages whose article is well delimited: everything in it, and nothing else."""
+    import html
+
+    def want(page):
+        body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
+        return "\n".join(filter(None, blocks))
+
+    pages = table(spark, SF, "pages")
+    got = {r.page_id: r.text for r in html_template.main_text(pages).collect()}
+    assert all(got[r.page_id] == want(r.html) for r in pages.collect())
+
+
+def test_html_templates_are_found(spark):
+    pages = table(spark, SF, "pages").withColumn("host", F.regexp_extract("url", "://([^/]*)", 1))
+    t = html_template.templates(html_template.token_vectors(pages.select("page_id", "url", "html", "host"), 0.5), 0.5)
+    some = t.first().template
+    assert any(r.token.startswith("<") and r.token.endswith("/article") for r in some)
+
+
+def test_bpe_equals_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    alphabet = ["a", "b", "'s", "'t", " ", "\n", "é", "é", "Σ", "ς", "İ", "😀", "1", "²", "<|endoftext|>", "<|startoftext|>", "!", "ß", "\x1c", "\x85", "​", " ", "ﬁ", "한", "the", "THE", "\x00", "<"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += [None, "", "a" * 5000, "xyz" * 500, "!" * 1000] + [r.text for r in table(spark, SF, "documents").limit(300).collect()]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, often=2)
+    for r in got.collect():
+        ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == ids and r.decoded == lib.decode(ids, skip_special_tokens=False), texts[r.doc_id]
+
+
+def test_lexicon_is_exact_and_shares_suffixes():
+    merger = bpe.Merger(json.loads(open(queries.vocabulary()).read()))
+    words = [a + b for a in ("over", "under", "re", "un") for b in ("take", "taking", "do", "doing", "é")] + ["a", "ab"]
+    lex = bpe.Lexicon(bpe.Lexicon.compile({w: merger.merge(w) for w in words}))
+    numbers = lex.find([*words, "", "ove", "overtakes", "b", "z"])
+    assert sorted(numbers[: len(words)]) == list(range(len(words))) and (numbers[len(words) :] == -1).all()
+    assert all(lex.of(n) == merger.merge(w) for w, n in zip(words, numbers))
+    assert len(lex.target) < sum(map(len, words)) / 2
+    assert (bpe.Lexicon(bpe.Lexicon.compile({})).find(["a"]) == -1).all()
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    x = quality.score(docs, quality.train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
+    assert (x.quality == x.predicted).mean() > 0.98 and x[x.quality == 1].predicted.mean() > 0.99
+
+
+def test_quality_interactions_are_linear_time_identity():
+    m = quality.Machine(np.zeros((len(quality.STATS), quality.BINS - 1)))
+    rng = np.random.default_rng(0)
+    slots, w = rng.choice(1000, 12, replace=False), rng.random(12).astype(np.float32)
+    z, _, _ = m.logits(np.zeros(12, int), slots, w, 1)
+    pairs = sum(float(m.v[slots[i]] @ m.v[slots[j]]) * w[i] * w[j] for i in range(12) for j in range(i))
+    assert z[0] == pytest.approx(pairs, rel=1e-3, abs=1e-6)
+
+
+def test_quality_without_labels(spark):
+    docs = table(spark, SF, "documents")
+    m = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert set(quality.score(docs, m).select("predicted").distinct().toPandas().predicted) <= {0, 1}
+
+
+def near_vectors_brute(x, least):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    return x @ x.T >= least
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(150, 32))
+    x = np.concatenate([centres, centres[:40] + 0.05 * rng.normal(size=(40, 32)), centres[:1] + 0.04 * rng.normal(size=(60, 32)), centres[5:6], centres[5:6] * 2])
+    rows = [(i, v.astype(float).tolist()) for i, v in enumerate(x)]
+    odd = [(900, None), (901, [0.0] * 32), (902, [float("nan")] + [1.0] * 31), (903, [None] + [1.0] * 31), (904, [1.0, 2.0]), (None, rows[0][1]), (0, rows[0][1])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("leaf_", F.lit(1)).withColumn("kept", F.lit(0))
+    got = {r.vec_id: r for r in rpforest.near_vectors(df, leaf=16, block=32).collect()}
+    link = near_vectors_brute(x, 0.95)
+    np.fill_diagonal(link, False)
+    found = sum(got[i].n_links for i in range(1, len(x)))
+    want = int(link[1:].sum()) + int(2 * link[1:, 0].sum())  # the first vector is there three times
+    assert 0.9 * want <= found <= want
+    for i in (900, 901, 902, 903, 904):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert got[None].component_id == 0 and rpforest.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_the_table(spark):
+    rows = table(spark, SF, "embeddings").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    link = near_vectors_brute(x, 0.95)
+    got = {r.vec_id: r.n_links for r in rpforest.near_vectors(table(spark, SF, "embeddings")).collect()}
+    want = {r.vec_id: int(n) - 1 for r, n in zip(rows, link.sum(1))}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
