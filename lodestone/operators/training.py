@@ -17,8 +17,12 @@ from ..functions.similarity import normalized
 
 
 def sampled(points: DataFrame, n: int, key: str = "item") -> DataFrame:
-    """At most n points, the same at every run: those with the smallest hashes of their columns."""
-    return points.orderBy(F.xxhash64(*points.columns), key).limit(n)
+    """At most n points, the same at every run: those with the smallest hashes of their columns. A threshold on the hash
+    leaves few more than n before they are ordered."""
+    total, h = points.count(), F.pmod(F.xxhash64(*points.columns), F.lit(1 << 31))
+    if total > 2 * n:
+        points = points.where(h < int(1.5 * n / total * (1 << 31)))
+    return points.orderBy(h, key).limit(n)
 
 
 def split_by_sign(points: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def fit_metric(items: DataFrame, dims: int, k: int = 3, others: int = 3, margin:
     gradient. It learns from at most ``sample`` items (smallest hashes of item_id), the documented bound of what
     reaches the driver.
     """
-    rows = items.orderBy(F.xxhash64("item_id"), "item_id").limit(sample).select("vector", "label").collect()
+    rows = sampled(items.select("item_id", "vector", "label"), sample, "item_id").select("vector", "label").collect()
     x, y = np.array([r.vector for r in rows], np.float64), np.array([r.label for r in rows])
     matrix = pca_matrix(items, dims)
     same = y[:, None] == y[None, :]
