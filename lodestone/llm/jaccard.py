@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, text_or_empty
 from .components import components
-from .words import mix, shingle_sets
+from .words import mix, shingle_sets, slices
 
 #: Nodes that stand for rows without an id lie above this and lose every minimum to real ids.
 NO_ID = 1 << 62
@@ -43,7 +43,7 @@ def frequent_shingles(docs: DataFrame, words: int, share: float, chunk: int) ->
             hot = c >= max(4, share * n)
             return pa.RecordBatch.from_arrays([pa.array(h[hot].view(np.int64)), pa.array(c[hot].astype(np.int64))], names=["h_", "c_"])
 
-        for b in batches:
+        for b in slices(batches):
             for s in shingle_sets(_utf8(b.column(0)), words):
                 held.append(s)
                 n += 1
@@ -101,7 +101,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> D
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             n, key, own, pre = [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(_utf8(b.column(1)), words)):
                 n.append(len(s))
@@ -115,7 +115,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> D
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = list(shingle_sets(_utf8(b.column(1)), words))
             own = [_own(i, _key(s)) for i, s in zip(b.column(0).to_pylist(), sets)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), _longs(sets)], names=["node_", "set_"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_hash, importable, text_or_empty
-from .words import Words, mix, pieces
+from .words import Words, mix, pieces, slices
 
 #: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on.
 BITS, BINS, RANK = 15, 12, 8
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
     picked = base.join(F.broadcast(rows), "doc_id")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             y = b.column(3).to_pylist()
             done = 0
             for row, slot, weight, x in features(_raw(b.column(1)), b.column(2).to_pylist()):
@@ -189,7 +189,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty("text").alias("text_"), F.col("n_chars").cast("long").alias("declared_"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             s = held.value.score(_raw(b.column(2)), b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -203,7 +203,7 @@ def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             declared = b.column(names.index("n_chars")).cast(pa.int64()).to_pylist() if "n_chars" in names else [None] * b.num_rows
             s = held.value.score(_raw(b.column(names.index("text"))), declared)
             yield b.filter(pa.array(s >= 0.5))

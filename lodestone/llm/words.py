@@ -16,7 +16,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Texts are hashed in pieces of about this many bytes, so memory doesn't follow the batch.
-PIECE = 2_000_000
+PIECE = 600_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +77,13 @@ def pieces(texts: list[bytes]):
         yield start, len(texts)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into smaller ones, so what a worker holds follows neither the batch nor the partition."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 class Words:
     """The words of some texts: ``hash`` of each, ``doc`` (index of its text), ``start`` and ``end`` in ``raw``."""
 
