@@ -134,10 +134,10 @@ def _compare(least: float):
         inside = np.zeros((len(some), len(ids)), np.float32)
         inside[row[early], at] = 1
         fresh = link & ~(inside @ inside.T > 0)
-        n = fresh @ times[some]
-        root = np.arange(len(some))
+        n = (fresh.astype(np.float32) @ times[some].astype(np.float32)).round() if times.sum() < 1 << 24 else fresh @ times[some]
+        root = np.arange(len(some), dtype=np.int32)
         while len(some):
-            least_ = np.where(link, root[None, :], len(some)).min(1)
+            least_ = np.where(link, root[None, :], np.int32(len(some))).min(1)
             new = np.minimum(root, least_)
             new = new[new]
             if (new == root).all():
@@ -148,7 +148,7 @@ def _compare(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, trees: int = 8, leaf: int = 128, spill: float = 0.08, block: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, trees: int = 8, leaf: int = 128, spill: float = 0.08, block: int = 512) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id and kept.
 
     Equal vectors are collapsed to one with a count. A forest fitted to at most SAMPLE vectors (smallest hashes of the
