@@ -79,8 +79,7 @@ def colour_levels(images: DataFrame, models: Models, spatial: bool) -> DataFrame
     counts = near.select("item", F.explode("cells").alias("cell"), F.col("label").alias("colour")).groupBy("item", "cell", "colour").agg(F.count("*").alias("n"))
     levels = aggregate.unary_levels(counts, ["item", "cell"], 3.99 if spatial else 3.9)
     size = models.palette.count()
-    by = levels.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct(F.col("cell") * size + F.col("colour"), "level"))).alias("m"))
-    return by.select("item", F.transform(F.sequence(F.lit(0), F.lit(n_cells * size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("colour"))
+    return aggregate.dense(levels.select("item", (F.col("cell") * size + F.col("colour")).alias("index"), F.col("level").alias("value")), "item", n_cells * size, F.lit(0), "colour")
 
 
 def colour_text(levels: Column) -> Column:
@@ -190,8 +189,7 @@ def _residual_vectors(images: DataFrame, models: Models) -> DataFrame:
     near = aggregate.nearest(points, models.codebook, ["item"])
     r = aggregate.residuals(near, models.codebook)
     k = models.codebook.count()
-    m = r.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct(F.col("label") * 72 + F.col("dim"), "value"))).alias("m"))
-    return m.select("item", F.transform(F.sequence(F.lit(0), F.lit(k * 72 - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
+    return aggregate.dense(r.select("item", (F.col("label") * 72 + F.col("dim")).alias("index"), "value"), "item", k * 72, F.lit(0.0), "vec")
 
 
 def _hsv_vectors(images: DataFrame, models: Models) -> DataFrame:
@@ -199,8 +197,7 @@ def _hsv_vectors(images: DataFrame, models: Models) -> DataFrame:
     near = aggregate.nearest(px, models.palette, ["item", "cells"])
     counts = near.select("item", F.explode("cells").alias("cell"), F.col("label").alias("colour")).groupBy("item", "cell", "colour").agg(F.count("*").alias("n"))
     h = aggregate.spatial_histogram(counts)
-    m = h.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct(F.col("cell") * 64 + F.col("colour"), "value"))).alias("m"))
-    return m.select("item", F.transform(F.sequence(F.lit(0), F.lit(aggregate.CELLS * 64 - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
+    return aggregate.dense(h.select("item", (F.col("cell") * 64 + F.col("colour")).alias("index"), "value"), "item", aggregate.CELLS * 64, F.lit(0.0), "vec")
 
 
 @dataclass

@@ -78,3 +78,16 @@ def level_normalized(values: DataFrame, item: str = "item", exponent: float = 0.
 def quantisation_error(labelled: DataFrame) -> DataFrame:
     """Per label: how many points it has, and their least and largest distance from its centroid."""
     return labelled.groupBy("label").agg(F.count("*").alias("points"), F.min(F.sqrt("distance")).alias("least"), F.max(F.sqrt("distance")).alias("most"))
+
+
+def dense(rows: DataFrame, by: str, size: int | Column, zero: Column, to: str) -> DataFrame:
+    """(by, index, value) to one array of ``size`` values per group, ``zero`` where an index is missing.
+
+    Entries are sorted once and the gaps between them filled, so the work is linear in the array.
+    """
+    x = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("int").alias("index"), "value"))).alias("e_"))
+    at = F.transform("e_", lambda e: e["index"])
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))
+    filled = F.flatten(F.zip_with("e_", before, lambda e, p: F.concat(F.array_repeat(zero, e["index"] - p - 1), F.array(e["value"]))))
+    rest = F.array_repeat(zero, (size if isinstance(size, Column) else F.lit(size)) - 1 - F.element_at(at, -1))
+    return x.select(by, F.concat(filled, rest).alias(to))

@@ -321,8 +321,8 @@ SELECT query_id, rank, item_id, similarity FROM (SELECT *, row_number() OVER (PA
 """)
 def q19_colour_pyramid(spark, sf_dir):
     x = aggregate.unary_levels(_pixels(spark, sf_dir), ["item", "cell"], 3.99)
-    m = x.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct(F.col("cell") * 64 + F.col("colour"), "level"))).alias("m"))
-    x = m.select(F.col("item").alias("item_id"), F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("levels"))
+    x = x.select(F.col("item").alias("item_id"), (F.col("cell") * 64 + F.col("colour")).alias("index"), F.col("level").alias("value"))
+    x = aggregate.dense(x, "item_id", 1024, F.lit(0), "levels")
     return _many(spark, x, ["levels"], S.pyramid_cosine(F.col("levels"), F.col("q_levels"), 64))
 
 

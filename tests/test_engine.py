@@ -217,3 +217,21 @@ def test_kvs(spark, tmp_path):
     assert len(seen) == 4 and sorted(kv) == sorted(str(i).encode() for i in range(10) if i != 4)
     kv.clear()
     assert list(kv) == []
+
+
+def test_dense(spark):
+    rows = [("a", 0, 1.0), ("a", 3, 2.0), ("b", 4, 5.0), ("c", 2, 3.0)]
+    got = {r.k: r.v for r in aggregate.dense(spark.createDataFrame(rows, "k string, index long, value double"), "k", 5, F.lit(0.0), "v").collect()}
+    assert got == {"a": [1, 0, 0, 2, 0], "b": [0, 0, 0, 0, 5], "c": [0, 0, 3, 0, 0]}
+
+
+def test_metric_kinds(spark, palette):
+    imgs = I.read_bytes(spark.createDataFrame([(bytearray(picture(i)),) for i in range(2)], "content binary")).cache()
+    book = training.centroids(training.sampled(I.grid_points(imgs).select("item", "vec"), 200), 4, 5)
+    models = Models(palette=palette, codebook=book)
+    for name in ("vlad_nodb", "lmca_vlad_nodb", "lmca_hsv_nodb", "lmca_vlad_hsv_nodb", "lmca_vladhsv_nodb", "lmca_vlad_colorcode_nodb"):
+        e = Engine.open(spark, {"driver": {"name": name}}, models)
+        if name == "lmca_vlad_hsv_nodb":
+            e.options["colour_dims"] = 1024
+        same, other = e.similarity({"data": picture(0)}, {"data": picture(0)}), e.similarity({"data": picture(0)}, {"data": picture(1)})
+        assert same == pytest.approx(1) and other < same
