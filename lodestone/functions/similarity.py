@@ -51,9 +51,23 @@ def level_cosine(a: Column, b: Column) -> Column:
     return ratio(both.cast("double"), F.sqrt(size(a).cast("double")) * F.sqrt(size(b).cast("double")))
 
 
-def pyramid_cosine(a: Column, b: Column, per_cell: int) -> Column:
-    """Weighted sum over the levels of a pyramid; a level takes in all cells up to its end."""
-    return sum((F.lit(w) * level_cosine(F.slice(a, 1, end * per_cell), F.slice(b, 1, end * per_cell)) for w, end in zip(LEVEL_WEIGHTS, LEVEL_ENDS)), F.lit(0.0))
+def pyramid_norms(levels: Column, per_cell: int) -> Column:
+    """The four norms of an item's pyramid, one a level: worth a column where the item is compared often."""
+    size = lambda end: F.aggregate(F.slice(levels, 1, end * per_cell), F.lit(0), lambda s, x: s + x.cast("int"))
+    return F.array(*[F.sqrt(size(end).cast("double")) for end in LEVEL_ENDS])
+
+
+def pyramid_cosine(a: Column, b: Column, per_cell: int, a_norms: Column | None = None, b_norms: Column | None = None) -> Column:
+    """Weighted sum over the levels of a pyramid; a level takes in all cells up to its end. Each cell is compared once."""
+    a_norms = pyramid_norms(a, per_cell) if a_norms is None else a_norms
+    b_norms = pyramid_norms(b, per_cell) if b_norms is None else b_norms
+    both, start, score = F.lit(0), 0, F.lit(0.0)
+    for i, (weight, end) in enumerate(zip(LEVEL_WEIGHTS, LEVEL_ENDS)):
+        part = lambda v, at=start, n=end - start: F.slice(v, at * per_cell + 1, n * per_cell)
+        both = both + F.aggregate(F.zip_with(part(a), part(b), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
+        score = score + F.lit(weight) * ratio(both.cast("double"), a_norms[i] * b_norms[i])
+        start = end
+    return score
 
 
 def set_cosine(a: Column, b: Column, weight: Column) -> Column:

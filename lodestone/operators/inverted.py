@@ -65,17 +65,16 @@ def index_topk(posts: DataFrame, weights: DataFrame, queries: DataFrame, k: int,
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def regions(position: Column, height: Column, margin: float = 1 / 20) -> Column:
-    """The thirds of a height that a position lies in, as 0, 1, 2; neighbours overlap by a margin, a twentieth of a third."""
+def region_bounds(height: Column, margin: float = 1 / 20) -> list[tuple[Column, Column]]:
+    """First and end position of each third of a height; neighbours overlap by a margin, a twentieth of a third."""
     third = height / 3
     m = third * margin
-    return F.array_compact(
-        F.array(
-            F.when(position < third + m, F.lit(0)),
-            F.when((position >= third - m) & (position < 2 * third + m), F.lit(1)),
-            F.when(position >= 2 * third - m, F.lit(2)),
-        )
-    )
+    return [(F.lit(0.0), third + m), (third - m, 2 * third + m), (2 * third - m, height)]
+
+
+def regions(position: Column, height: Column, margin: float = 1 / 20) -> Column:
+    """The thirds that a position lies in, as 0, 1, 2. Positions count from 0."""
+    return F.array_compact(F.array(*[F.when((position >= lo) & (position < hi), F.lit(i)) for i, (lo, hi) in enumerate(region_bounds(height, margin))]))
 
 
 #: The bits that mark a word of the top, middle and bottom third.

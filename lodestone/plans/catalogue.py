@@ -229,9 +229,10 @@ SELECT item, region, count(DISTINCT w) AS words FROM r WHERE region IS NOT NULL
 def q15_region_words(spark, sf_dir):
     ws = F.filter(F.split(F.lower(F.col("text")), "[^\\p{L}]+"), lambda w: w != "")
     x = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), ws.alias("ws"))
-    x = x.select("item", F.size("ws").cast("double").alias("h"), F.posexplode("ws").alias("y", "w"))
-    x = x.withColumn("region", F.explode(inverted.regions(F.col("y").cast("double"), F.col("h"))))
-    return x.select("item", "region", "w").distinct().groupBy("item", "region").agg(F.count("*").alias("words"))
+    # a document is one row and its thirds are ranges of its words, so nothing is exploded or shuffled
+    part = lambda lo, hi: F.slice("ws", F.ceil(lo).cast("int") + 1, (F.ceil(hi) - F.ceil(lo)).cast("int"))
+    found = [F.struct(F.lit(i).alias("region"), F.size(F.array_distinct(part(lo, hi))).cast("long").alias("words")) for i, (lo, hi) in enumerate(inverted.region_bounds(F.size("ws").cast("double")))]
+    return x.where(F.size("ws") > 0).select("item", F.inline(F.array(*found))).where("words > 0")
 
 
 def _codebook(x: DataFrame, n: int) -> DataFrame:
@@ -323,7 +324,8 @@ def q19_colour_pyramid(spark, sf_dir):
     x = aggregate.unary_levels(_pixels(spark, sf_dir), ["item", "cell"], 3.99)
     x = x.select(F.col("item").alias("item_id"), (F.col("cell") * 64 + F.col("colour")).alias("index"), F.col("level").alias("value"))
     x = aggregate.dense(x, "item_id", 1024, F.lit(0), "levels")
-    return _many(spark, x, ["levels"], S.pyramid_cosine(F.col("levels"), F.col("q_levels"), 64))
+    x = x.withColumn("norms", S.pyramid_norms(F.col("levels"), 64))
+    return _many(spark, x, ["levels", "norms"], S.pyramid_cosine(F.col("levels"), F.col("q_levels"), 64, F.col("norms"), F.col("q_norms")))
 
 
 @query(f"""
