@@ -213,7 +213,7 @@ class Lexicon:
 class Coder:
     """Encodes and decodes in one worker. The caches hold a bounded number of pieces seen, with ids and decoded text."""
 
-    MOST = 200_000
+    MOST = 350_000
 
     def __init__(self, merger: Merger, block: bytes):
         self.merger, self.lexicon = merger, Lexicon(block)
