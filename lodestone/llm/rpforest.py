@@ -15,6 +15,10 @@ NO_ID = 1 << 62
 #: Vectors that fit the trees at most; sample points that a fitted leaf keeps at least.
 SAMPLE, LEAST = 16_384, 16
 
+#: Random directions that a node tries; levels beyond those of even halves; the share of a node's pairs that its halves
+#: may leave to compare, or it stays whole.
+TRIES, MORE, WORTH = 4, 2, 0.9
+
 
 def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length 1 in double precision, and which rows have a direction at all."""
@@ -27,48 +31,75 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return x, ok
 
 
+def _cheapest(p: np.ndarray, spill: float, reach: float) -> tuple[float, float, float]:
+    """(cost, cut, margin): the cut of projections that leaves the fewest pairs inside the halves, as a share of all."""
+    p = np.sort(p)
+    margin = max(spill * float(p.std()), reach)
+    cuts = p[np.unique((np.linspace(0.05, 0.95, 61) * (len(p) - 1)).round().astype(int))]
+    left, right = np.searchsorted(p, cuts + margin), len(p) - np.searchsorted(p, cuts - margin)
+    cost = (left / len(p)) ** 2 + (right / len(p)) ** 2
+    i = int(cost.argmin())
+    return float(cost[i]), float(cuts[i]), margin
+
+
 class Forest:
-    """Trees fitted to a bounded sample: each node splits at the median of a random projection.
+    """Trees fitted to a bounded sample: each node splits by a random projection where the halves cost least to compare.
 
-    A row within ``spill`` standard deviations of a split goes to both sides. Below the fitted leaves, ``extra`` levels
-    go on splitting by directions common to a tree at each leaf's own medians, so the depth follows the number of rows
-    and not the size of the sample.
+    A row within the margin of a split goes to both sides. The margin is ``spill`` standard deviations, and at least half
+    of what the link distance is on a random direction. A node that no split makes much cheaper with that margin is a
+    dense group: it stays whole, as a leaf of any size. Below the fitted leaves, ``extra`` levels go on splitting by
+    directions common to a tree at each leaf's own cuts, so the depth follows the number of rows and not the size of the
+    sample. A cut at infinity sends all rows left.
     """
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int, leaf: int, spill: float, seed: int = 3):
+    def __init__(self, sample: np.ndarray, rows: int, trees: int, leaf: int, spill: float, least: float, seed: int = 3):
         rng = np.random.Generator(np.random.PCG64(seed))
         depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf))))
         self.dim, self.trees = sample.shape[1], trees
-        self.depth = min(depth, max(0, int(np.log2(max(len(sample), 1) / LEAST))))
-        self.extra = min(depth - self.depth, 24)
+        self.depth = min(depth + MORE if depth else 0, max(0, int(np.log2(max(len(sample), 1) / LEAST))))
         nodes, leaves = (1 << self.depth) - 1, 1 << self.depth
-        self.dirs, self.cut, self.margin = np.zeros((trees, nodes, self.dim)), np.zeros((trees, nodes)), np.zeros((trees, nodes))
-        self.more = np.zeros((trees, self.extra, self.dim))
-        self.more_cut, self.more_margin = np.zeros((trees, leaves, self.extra)), np.zeros((trees, leaves, self.extra))
+        self.dirs, self.cut, self.margin = np.zeros((trees, nodes, self.dim)), np.full((trees, nodes), np.inf), np.zeros((trees, nodes))
+        self.dense = np.zeros((trees, leaves), bool)
+        reach, per = 0.5 * float(np.sqrt(2 * (1 - least) / self.dim)), rows / max(len(sample), 1)
+        fitted = []
         for t in range(trees):
-            groups = [np.arange(len(sample))]
+            groups = [(np.arange(len(sample)), False)]
             for node in range(nodes):
-                at, r = groups[node], rng.normal(size=self.dim)
-                r /= np.linalg.norm(r)
-                p = sample[at] @ r
-                cut = float(np.median(p)) if len(p) else 0.0
-                self.dirs[t, node], self.cut[t, node], self.margin[t, node] = r, cut, spill * float(p.std()) if len(p) else 0.0
-                groups += [at[p < cut], at[p >= cut]]
-            for level in range(self.extra):
-                r = rng.normal(size=self.dim)
-                self.more[t, level] = r / np.linalg.norm(r)
-                for k, at in enumerate(groups[nodes:]):
-                    p = sample[at] @ self.more[t, level]
-                    self.more_cut[t, k, level], self.more_margin[t, k, level] = (float(np.median(p)), spill * float(p.std())) if len(p) else (0.0, 0.0)
+                at, dense = groups[node]
+                if not dense and len(at) * per > leaf and len(at) > 1:
+                    r = rng.normal(size=(TRIES, self.dim))
+                    r /= np.linalg.norm(r, axis=1)[:, None]
+                    p = sample[at] @ r.T
+                    found = [(*_cheapest(p[:, i], spill, reach), i) for i in range(TRIES)]
+                    cost, cut, margin, i = min(found)
+                    if cost <= WORTH:
+                        self.dirs[t, node], self.cut[t, node], self.margin[t, node] = r[i], cut, margin
+                        groups += [(at[p[:, i] < cut + margin], False), (at[p[:, i] >= cut - margin], False)]
+                        continue
+                    dense = True
+                groups += [(at, dense), (at[:0], False)]
+            fitted.append(groups[nodes:])
+        need = [[0 if dense else int(np.ceil(np.log2(max(len(at) * per / leaf, 1)))) for at, dense in g] for g in fitted]
+        self.extra = min(max(map(max, need)), 24)
+        self.more = rng.normal(size=(trees, self.extra, self.dim))
+        self.more /= np.linalg.norm(self.more, axis=2, keepdims=True)
+        self.more_cut, self.more_margin = np.full((trees, leaves, self.extra), np.inf), np.zeros((trees, leaves, self.extra))
+        for t in range(trees):
+            for k, (at, dense) in enumerate(fitted[t]):
+                for level in range(min(need[t][k], self.extra) if len(at) > 1 else 0):
+                    cost, cut, margin = _cheapest(sample[at] @ self.more[t, level], spill, reach)
+                    if cost <= WORTH:
+                        self.more_cut[t, k, level], self.more_margin[t, k, level] = cut, margin
+                self.dense[t, k] = dense or need[t][k] > 0 and not np.isfinite(self.more_cut[t, k]).any()
 
     @staticmethod
     def _split(row, at, p, cut, margin):
         left, right = p < cut + margin, p >= cut - margin
         return np.concatenate([row[left], row[right]]), np.concatenate([2 * at[left], 2 * at[right] + 1])
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for every leaf of every tree that a row reaches; leaf numbers differ between trees."""
-        rows, found = [], []
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, dense) for every leaf of every tree that a row reaches; leaf numbers differ between trees."""
+        rows, found, dense = [], [], []
         for t in range(self.trees):
             row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
             for level in range(self.depth):
@@ -84,7 +115,8 @@ class Forest:
                 at = np.concatenate([2 * at[left], 2 * at[right] + 1])
             rows.append(row)
             found.append(at + (t << 56))
-        return np.concatenate(rows), np.concatenate(found)
+            dense.append(self.dense[t, base])
+        return np.concatenate(rows), np.concatenate(found), np.concatenate(dense)
 
 
 def _vectors(column) -> np.ndarray:
@@ -92,21 +124,25 @@ def _vectors(column) -> np.ndarray:
 
 
 def _assigned(reps: DataFrame, forest: Forest) -> DataFrame:
+    """One row per vector and leaf. mark_ is the first dense leaf of a vector in its dense leaves, in others the leaf."""
     held = reps.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
         for b in batches:
             x, _ = unit(b.column(2).to_pylist())
-            row, leaf = held.value.leaves(x)
+            row, leaf, dense = held.value.leaves(x)
             order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
+            row, leaf, dense = row[order], leaf[order], dense[order]
             first = np.searchsorted(row, np.arange(len(x) + 1))
+            mark = np.full(len(x), np.iinfo(np.int64).max)
+            np.minimum.at(mark, row[dense], leaf[dense])
+            mark = np.where(dense, mark[row], leaf)
             own = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(leaf))
             take = pa.array(row)
             vec = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column(0).take(take), b.column(1).take(take), own.take(take), vec.take(take)], names=["leaf_", "node_", "times_", "own_", "vec_"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(mark), b.column(0).take(take), b.column(1).take(take), own.take(take), vec.take(take)], names=["leaf_", "mark_", "node_", "times_", "own_", "vec_"])
 
-    return reps.select("node_", "times_", "embedding").mapInArrow(run, "leaf_ long, node_ long, times_ long, own_ array<long>, vec_ array<double>")
+    return reps.select("node_", "times_", "embedding").mapInArrow(run, "leaf_ long, mark_ long, node_ long, times_ long, own_ array<long>, vec_ array<double>")
 
 
 def _compare(least: float):
@@ -172,11 +208,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     lengths = sorted(map(len, sample))
     dim = max(set(lengths), key=lambda d: (lengths.count(d), d)) if lengths and lengths[0] != lengths[-1] else lengths[0] if lengths else 1
     x, _ = unit([v for v in sample if len(v) == dim] or [[0.0] * dim])
-    forest = Forest(x, reps.count(), trees, leaf, spill)
+    forest = Forest(x, reps.count(), trees, leaf, spill, least)
     cells = work.keep(_assigned(reps.where(F.size("embedding") == dim), forest), "leaves")
-    count = cells.groupBy("leaf_").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks_"))
-    cells = cells.join(count, "leaf_").withColumn("block_", F.pmod(F.xxhash64("node_"), F.col("blocks_")).cast("int"))
-    every = F.expr("transform(sequence(0, blocks_ - 1), o -> named_struct('one_', least(o, block_), 'two_', greatest(o, block_)))")
+    # vectors of one mark before the leaf met in the leaf of that mark, so their blocks are compared with those of others alone
+    count = cells.groupBy("leaf_", "mark_").agg(F.ceil(F.count("*") / block).cast("int").alias("n_"))
+    count = count.groupBy("leaf_").agg(F.collect_list(F.struct("mark_", "n_")).alias("marks_"))
+    cells = cells.join(count, "leaf_").withColumn("own_n_", F.expr("filter(marks_, m -> m.mark_ = mark_)[0].n_"))
+    cells = cells.withColumn("start_", F.expr("aggregate(filter(marks_, m -> m.mark_ < mark_), 0, (s, m) -> s + m.n_)"))
+    cells = cells.withColumn("block_", F.col("start_") + F.pmod(F.xxhash64("node_"), F.col("own_n_")).cast("int"))
+    others = "filter(sequence(0, aggregate(marks_, 0, (s, m) -> s + m.n_) - 1), o -> mark_ = leaf_ or o < start_ or o >= start_ + own_n_)"
+    every = F.expr(f"transform({others}, o -> named_struct('one_', least(o, block_), 'two_', greatest(o, block_)))")
     cells = cells.withColumn("cell_", F.explode(every)).select("leaf_", "cell_.*", "block_", "node_", "times_", "own_", "vec_")
     found = cells.groupBy("leaf_", "one_", "two_").applyInArrow(_compare(least), "node_ long, n_ long, root_ long")
     found = work.keep(found, "links")

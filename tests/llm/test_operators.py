@@ -311,3 +311,15 @@ def test_vectors_of_the_table(spark):
     got = {r.vec_id: r.n_links for r in rpforest.near_vectors(table(spark, SF, "embeddings")).collect()}
     want = {r.vec_id: int(n) - 1 for r, n in zip(rows, link.sum(1))}
     assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
+
+
+def test_vectors_of_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(2000, 64)) / 8 * np.sqrt(1 / 0.96 - 1)
+    link = near_vectors_brute(x, 0.95)
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: r.n_links for r in rpforest.near_vectors(df).collect()}
+    assert all(got[i] <= link[i].sum() for i in got)
+    assert sum(got.values()) >= 0.999 * link.sum()
