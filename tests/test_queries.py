@@ -25,3 +25,10 @@ def test_entry(spark):
 def test_topk_plan_has_no_full_sort(spark, sf_dir):
     plan = QUERIES["q02_dense_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "PythonRunner" not in plan
+
+
+def test_pull_goes_on_after_a_full_batch(spark, tmp_path):
+    events = spark.range(250_000).selectExpr("id AS event_id", "id % 7 AS user_id", "'click' AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["q08_incremental_pull"](spark, str(tmp_path))
+    assert [r.seq for r in got.select("seq").collect()] == list(range(250_000))
