@@ -6,35 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact, jaccard, mixing, quality
-from lodestone.llm.common import Scratch, small, table
+from lodestone.llm.common import Scratch, small, table, text_or_empty, without_space
 from lodestone.llm.queries import vocabulary
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not among the dropped; rows without an id stay."""
-    return docs.join(small(dropped.select(F.col("doc_id").alias("gone_")).where("gone_ is not null").distinct(), 1_000_000), F.col("doc_id") == F.col("gone_"), "left_anti")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels of those given."""
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts. Rows that repeat an id together with its text come down to one."""
-    found = Scratch(spark).keep(exact.exact_groups(docs), "groups")
-    out = _without(docs, found.where(~F.col("kept")))
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_"))
+    """One document of each group of equal texts, whether ids are missing, repeated or unique."""
+    found = Scratch(spark).keep(exact.marked(docs).select("doc_id", "len_", "text_sha256", "kept"), "groups")
+    gone = small(found.where(~F.col("kept")).select(F.col("doc_id").alias("id_"), F.col("len_").alias("n_"), F.col("text_sha256").alias("gone_")).distinct(), 1_000_000)
+    text = text_or_empty("text")
+    keyed = docs.withColumn("sha_", F.sha2(without_space(text), 256))
+    out = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.length(text) == F.col("n_")) & (F.col("sha_") == F.col("gone_")), "left_anti")
+    again = found.where("kept").groupBy("text_sha256").count().where("count > 1").select(F.col("text_sha256").alias("twice_"))
     if again.limit(1).count():
-        same = F.col("doc_id") == F.col("twice_")
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+        same = F.col("sha_") == F.col("twice_")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["sha_"]))
+    return out.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    found = Scratch(spark).keep(jaccard.near_duplicates(docs), "components")
-    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    """The document with the smallest id of each component of near copies. Where an id is missing or repeated, rows are
+    numbered in the order of their ids, those without one last, and the numbers stand for the ids."""
+    work, key, rows = Scratch(spark), "doc_id", docs
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        key = "row_"
+        rows = work.keep(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = work.keep(jaccard.near_duplicates(rows, id_col=key), "components")
+    gone = small(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_")), 1_000_000)
+    return rows.join(gone, F.col(key) == F.col("gone_"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

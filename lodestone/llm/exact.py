@@ -25,6 +25,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of null ids keeps null. Rows that repeat an id and its text are one group, and each is marked kept when that
     id wins. Extra columns are ignored. An empty table gives an empty one.
     """
+    return marked(docs, id_col, text_col, salts).drop("len_")
+
+
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """The rows of ``exact_groups`` with len_, the length of the text."""
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("len_"), without_space(text).alias("content_"))
     base = base.withColumn("text_sha256", F.sha2("content_", 256)).withColumn("check_", F.xxhash64("content_"))
@@ -40,6 +45,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = groups.select("text_sha256", "check_", keep.alias("keep_id"), F.col("len_").alias("keep_len_"), "group_size")
     return base.select("doc_id", "len_", "text_sha256", "check_").join(winners, ["text_sha256", "check_"]).select(
         "doc_id",
+        "len_",
         "keep_id",
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len_") == F.col("keep_len_"))).alias("kept"),

@@ -56,3 +56,26 @@ def test_repeated_rows_come_down_to_one(spark):
     df = spark.createDataFrame(rows, table(spark, SF, "documents").schema)
     got = Counter(r.doc_id for r in corpus_pipeline.drop_copies(spark, df, SF).collect())
     assert got[1] == 1 and got[2] == 0 and got[4] == 1
+
+
+def by_id_and_text(spark, stage, rows):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SF, "documents").schema)
+    return Counter((r.doc_id, r.text) for r in stage(spark, df, SF).collect())
+
+
+def test_copies_are_dropped_by_id_and_text(spark):
+    rows = [(3, "c d"), (7, "c d"), (7, "own text"), (17, "a b"), (17, "ab"), (9, "ab"), (19, "a b"), (None, "n o"), (None, "n o"), (None, "no"), (None, "c d"), (None, "alone")]
+    got = by_id_and_text(spark, corpus_pipeline.drop_copies, rows)
+    assert got == {(3, "c d"): 1, (7, "own text"): 1, (17, "a b"): 1, (None, "n o"): 1, (None, "alone"): 1}
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda n: " ".join([*base, f"end{n}"])
+    rows = [(3, near(0)), (7, near(1)), (7, "quite another text of id seven"), (None, near(2)), (None, "quite another text without id")]
+    got = by_id_and_text(spark, corpus_pipeline.drop_near_copies, rows)
+    assert got == {rows[0]: 1, rows[2]: 1, rows[4]: 1}
+    far = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, far + " x"), (None, far + " y"), (5, near(0)), (5, near(1))]
+    got = by_id_and_text(spark, corpus_pipeline.drop_near_copies, rows)
+    assert Counter(i for i, _ in got.elements()) == {None: 1, 5: 1}
