@@ -433,13 +433,13 @@ def q27_kmeans(spark, sf_dir):
 @query()
 def q27b_kmeans_tree(spark, sf_dir):
     x = vectors(spark, sf_dir).select("item_id", F.col("vector").alias("vec"))
-    return training.centroid_tree(x, [4, 4], 10).predict(x).select("item_id", "label", "distance")
+    return training.centroid_tree(x, [4, 4]).predict(x).select("item_id", "label", "distance")
 
 
 @query()
 def q27c_metric(spark, sf_dir):
     x = vectors(spark, sf_dir)
-    y = training.projected(x, training.fit_metric(x, 16, steps=5))
+    y = training.projected(x, training.fit_metric(x, 16))
     return best(y.crossJoin(F.broadcast(one(y))), S.metric_similarity(F.col("vector"), F.col("q_vector")))
 
 

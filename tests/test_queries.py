@@ -32,3 +32,23 @@ def test_pull_goes_on_after_a_full_batch(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["q08_incremental_pull"](spark, str(tmp_path))
     assert [r.seq for r in got.select("seq").collect()] == list(range(250_000))
+
+
+@pytest.mark.parametrize("name, trainer", [("q27_kmeans", "centroids"), ("q27b_kmeans_tree", "centroid_tree"), ("q27c_metric", "fit_metric")])
+def test_training_takes_all_its_steps(spark, sf_dir, monkeypatch, name, trainer):
+    import inspect
+
+    from lodestone.operators import training
+
+    whole, seen = getattr(training, trainer), []
+    form = inspect.signature(whole)
+
+    def traced(*args, **kwargs):
+        given = form.bind(*args, **kwargs)
+        given.apply_defaults()
+        seen.append(given.arguments["steps"])
+        return whole(*args, **kwargs)
+
+    monkeypatch.setattr(training, trainer, traced)
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert seen == [form.parameters["steps"].default]
