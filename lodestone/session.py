@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,10 +18,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset."""
+    """spark.checkpoint.dir. A local folder serves only where executors are threads of the driver; on a cluster without
+    the setting this raises, as tables on local disks would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/lodestone-shared"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/lodestone-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
