@@ -1,14 +1,16 @@
 """BPE encoding and decoding with a minimal acyclic transducer of frequent words.
 
 The vocabulary file is a public tokenizer's JSON with word ends. Frequent words are compiled with their ids into one
-automaton that shares suffixes; its arrays lie in one memory-mapped block. All distinct words of a batch walk it at
-once. Words that it doesn't hold are merged by the file's ranks, exactly.
+automaton that shares suffixes; its arrays lie in one block, broadcast to one file an executor, which all its workers
+memory-map. All distinct words of a slice of texts walk it at once. Words that it doesn't hold are merged by the file's
+ranks, exactly.
 """
 
 from __future__ import annotations
 
 import json
 import mmap
+import pickle
 import struct
 import unicodedata
 from collections import Counter
@@ -19,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, importable, text_or_empty
+from .common import Scratch, importable, text_or_empty, trimmed
+from .words import slices
 
 #: Words compiled at most, and the least number of times that a word must occur to be compiled.
 LEXICON, OFTEN = 100_000, 20
@@ -126,6 +129,7 @@ class Lexicon:
     """
 
     FIELDS = ("keys", "target", "passed", "final", "starts", "ids")
+    MARK = b"\x00lexicon"
 
     @staticmethod
     def compile(entries: dict[str, list[int]]) -> bytes:
@@ -171,16 +175,32 @@ class Lexicon:
             np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.array([y for x in ids for y in x], np.int64),
         ]
         head = np.array([root, *map(len, parts)], np.int64)
-        return b"".join(x.tobytes() for x in (head, *parts))
-
-    def __init__(self, block: bytes):
-        self.map = mmap.mmap(-1, max(len(block), 1))
-        self.map.write(block)
-        head = np.frombuffer(self.map, np.int64, 1 + len(self.FIELDS))
-        self.root, at = int(head[0]), head.nbytes
-        for name, n in zip(self.FIELDS, head[1:]):
-            setattr(self, name, np.frombuffer(self.map, np.int64, int(n), at))
-            at += 8 * int(n)
+        body = b"".join(x.tobytes() for x in (head, *parts))
+        # so many bytes more that the arrays of the pickled block start at a multiple of 8 in its file
+        pad = -(pickle.dumps(Lexicon.MARK + bytes(len(body)), 5).index(Lexicon.MARK) + len(Lexicon.MARK) + 1) % 8
+        return Lexicon.MARK + bytes([pad]) + bytes(pad) + body
+
+    @classmethod
+    def of_broadcast(cls, block) -> Lexicon:
+        """Maps the file that holds the broadcast block on this executor, so its workers share one copy; where there is
+        no such file (encrypted broadcasts), reads the block."""
+        try:
+            with open(block._path, "rb") as f:
+                return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        except (AttributeError, OSError, TypeError, ValueError):
+            return cls(block.value)
+
+    def __init__(self, block):
+        self.block = block
+        at = block[:256].index(self.MARK) + len(self.MARK)
+        at += 1 + block[at]
+        raw = np.frombuffer(block, np.uint8, offset=at)
+        raw = raw[: len(raw) // 8 * 8]
+        body = (raw if raw.ctypes.data % 8 == 0 else raw.copy()).view(np.int64)
+        self.root, at = int(body[0]), 1 + len(self.FIELDS)
+        for name, n in zip(self.FIELDS, body[1:at].tolist()):
+            setattr(self, name, body[at : at + n])
+            at += n
 
     def find(self, words: list[str]) -> np.ndarray:
         """The number of each word, -1 for a word that isn't held."""
@@ -211,65 +231,74 @@ class Lexicon:
 
 
 class Coder:
-    """Encodes and decodes in one worker. The caches hold a bounded number of pieces seen, with ids and decoded text."""
+    """Encodes and decodes in one worker. The cache of pieces seen and their ids holds at most MOST bytes, by what its
+    strings, ids and entries take; a fuller one starts anew. Decoded text is built from the tokens' strings."""
 
-    MOST = 350_000
+    MOST, ENTRY = 64 << 20, 190
 
-    def __init__(self, merger: Merger, block: bytes):
-        self.merger, self.lexicon = merger, Lexicon(block)
+    def __init__(self, merger: Merger, lexicon: Lexicon):
+        self.merger, self.lexicon = merger, lexicon
         self.ids: dict = {}
-        self.said: dict = {}
+        self.held = 0
+        self.token = [merger.token.get(i, "") for i in range(max(merger.token, default=-1) + 1)]
 
     def learn(self, chunks: set) -> None:
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > self.MOST:
+        if self.held > self.MOST:
             self.ids.clear()
-            self.said.clear()
-            new = list(chunks)
+            self.held = 0
+        new = [c for c in chunks if c not in self.ids]
         texts = [c for c in new if isinstance(c, str)]
         split = [self.merger.words(c) for c in texts]
         words = list({w for ws in split for w in ws})
         found = {w: self.lexicon.of(n) if n >= 0 else self.merger.merge(w) for w, n in zip(words, self.lexicon.find(words).tolist())}
         for c, ws in zip(texts, split):
-            self._put(c, [i for w in ws for i in found[w]])
+            self._put(c, found[ws[0]] if len(ws) == 1 else [i for w in ws for i in found[w]])
         for c in new:
             if not isinstance(c, str):
                 self._put(c, [c])
 
     def _put(self, chunk, ids: list[int]) -> None:
         self.ids[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        self.said[chunk] = self.decode(ids)
-
-    def decode(self, ids: list[int]) -> str:
-        """The file names no decoder: tokens are joined by blanks."""
-        return " ".join([self.merger.token[i] for i in ids])
+        self.held += (len(chunk) if isinstance(chunk, str) else 0) + 4 * len(ids) + self.ENTRY
 
     def encode(self, texts: list[str]):
-        """For each text the ids as little-endian 32-bit integers and the decoded text."""
+        """For each text the ids as little-endian 32-bit integers and the decoded text.
+
+        The file names no decoder: tokens are joined by blanks.
+        """
         split = [self.merger.chunks(t) for t in texts]
         self.learn(set().union(*split))
-        ids, said = self.ids.__getitem__, self.said.__getitem__
+        ids, token = self.ids.__getitem__, self.token.__getitem__
         for chunks in split:
-            yield b"".join(map(ids, chunks)), " ".join(map(said, chunks))
+            packed = b"".join(map(ids, chunks))
+            yield packed, " ".join(map(token, np.frombuffer(packed, "<u4").tolist()))
 
 
-def word_counts(docs: DataFrame, spec: str) -> DataFrame:
-    """(word, n) over all documents, counted in each batch before the shuffle."""
+def word_counts(docs: DataFrame, spec: str, most: int = 100_000) -> DataFrame:
+    """(word, n) over all documents. A worker counts up to about ``most`` different pieces before it passes them on."""
 
     def run(batches):
         merger = Merger(json.loads(spec))
-        for b in batches:
-            pieces: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                pieces.update(merger.chunks(t))
+        pieces: Counter = Counter()
+
+        def flush():
             seen: Counter = Counter()
             for c, n in pieces.items():
                 if isinstance(c, str):
                     for w in merger.words(c):
                         seen[w] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            pieces.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        for b in slices(batches, 500, 0):
+            for t in b.column(0).to_pylist():
+                pieces.update(merger.chunks(t))
+            if len(pieces) > most:
+                yield flush()
+        if pieces:
+            yield flush()
 
-    return docs.select("text_").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text_").mapInArrow(trimmed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def commonest(counts: DataFrame, most: int) -> list[str]:
@@ -302,14 +331,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     block = docs.sparkSession.sparkContext.broadcast(Lexicon.compile({w: merger.merge(w) for w in top}))
 
     def run(batches):
-        coder = Coder(Merger(json.loads(spec)), block.value)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                out = list(coder.encode(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return base.mapInArrow(run, "doc_id long, ids binary, decoded string")
+        coder = Coder(Merger(json.loads(spec)), Lexicon.of_broadcast(block))
+        for part in slices(batches, 500, 1):
+            out = list(coder.encode(part.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return base.mapInArrow(trimmed(run), "doc_id long, ids binary, decoded string")
 
 
 def digest_columns(encoded: DataFrame) -> DataFrame:

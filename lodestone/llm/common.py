@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local one serves only where executors are
+    threads of the driver; on a cluster without the setting this raises, as tables on local disks would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/lodestone-shared"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/lodestone-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -92,6 +98,43 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case: ``name``, lengthened as needed."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def trimmed(run):
+    """Wraps the function of a mapInArrow: at its end the worker gives freed memory back, as it will be used again."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
+def join_hot(left: DataFrame, heads: DataFrame, on: str | list[str], count: str, total: int, parts: int = 1000) -> DataFrame:
+    """left join heads on ``on``, where heads has one row per key and ``count`` says how many rows of left have it.
+
+    Keys with more than a ``parts``-th of all ``total`` rows, of which there are fewer than ``parts``, are broadcast, so
+    the shuffled join holds none of their rows. ``heads`` should be a written table, as it is read three times.
+    """
+    on = [on] if isinstance(on, str) else on
+    hot = F.col(count) > max(1000, total // parts)
+    few = F.broadcast(heads.where(hot))
+    if not heads.where(hot).limit(1).count():
+        return left.join(heads, on)
+    cold = left.join(F.broadcast(heads.where(hot).select(*on)), on, "left_anti").join(heads.where(~hot), on)
+    return left.join(few, on).unionByName(cold)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marks a written table for broadcast if it has at most ``rows`` rows; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, text_or_empty
+from .common import Scratch, small, text_or_empty, trimmed
 from .components import components
 from .words import mix, shingle_sets, slices
 
@@ -43,7 +43,7 @@ def frequent_shingles(docs: DataFrame, words: int, share: float, chunk: int) ->
             hot = c >= max(4, share * n)
             return pa.RecordBatch.from_arrays([pa.array(h[hot].view(np.int64)), pa.array(c[hot].astype(np.int64))], names=["h_", "c_"])
 
-        for b in slices(batches):
+        for b in slices(batches, column=0):
             for s in shingle_sets(_utf8(b.column(0)), words):
                 held.append(s)
                 n += 1
@@ -56,7 +56,7 @@ def frequent_shingles(docs: DataFrame, words: int, share: float, chunk: int) ->
     total = docs.count()
     if not total:
         return np.zeros(0, np.uint64)
-    rows = docs.select("text_").mapInArrow(local, "h_ long, c_ long").groupBy("h_").agg(F.sum("c_").alias("c_"))
+    rows = docs.select("text_").mapInArrow(trimmed(local), "h_ long, c_ long").groupBy("h_").agg(F.sum("c_").alias("c_"))
     hot = rows.where(F.col("c_") >= max(4, 0.5 * share * total)).select("h_").toPandas()["h_"].to_numpy(np.int64)
     return np.sort(hot.view(np.uint64))
 
@@ -101,7 +101,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> D
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             n, key, own, pre = [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(_utf8(b.column(1)), words)):
                 n.append(len(s))
@@ -110,17 +110,17 @@ def _signatures(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> D
                 pre.append(_prefix(s, shared.value, percent) if len(s) else s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(own, pa.int64()), _longs(pre)], names=["doc_id", "n_shingles", "key_", "own_", "prefix_"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key_ binary, own_ long, prefix_ array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, key_ binary, own_ long, prefix_ array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             sets = list(shingle_sets(_utf8(b.column(1)), words))
             own = [_own(i, _key(s)) for i, s in zip(b.column(0).to_pylist(), sets)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), _longs(sets)], names=["node_", "set_"])
 
-    return docs.mapInArrow(run, "node_ long, set_ array<long>")
+    return docs.mapInArrow(trimmed(run), "node_ long, set_ array<long>")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, importable, text_or_empty
+from .common import by_hash, importable, text_or_empty, trimmed
 from .words import Words, mix, pieces, slices
 
 #: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on.
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
     picked = base.join(F.broadcast(rows), "doc_id")
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             y = b.column(3).to_pylist()
             done = 0
             for row, slot, weight, x in features(_raw(b.column(1)), b.column(2).to_pylist()):
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
                 ], names=["doc_id", "y", "slot", "weight", "x"])
                 done += n
 
-    found = picked.select("doc_id", "text_", "declared_", "y_").mapInArrow(run, "doc_id long, y int, slot array<int>, weight array<float>, x array<double>").toArrow().sort_by("doc_id")
+    found = picked.select("doc_id", "text_", "declared_", "y_").mapInArrow(trimmed(run), "doc_id long, y int, slot array<int>, weight array<float>, x array<double>").toArrow().sort_by("doc_id")
     y = found["y"].to_numpy().astype(np.float64)
     if not len(y):
         return Machine(np.zeros((len(STATS), BINS - 1)))
@@ -189,11 +189,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty("text").alias("text_"), F.col("n_chars").cast("long").alias("declared_"))
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=2):
             s = held.value.score(_raw(b.column(2)), b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return base.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return base.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -203,9 +203,9 @@ def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=names.index("text")):
             declared = b.column(names.index("n_chars")).cast(pa.int64()).to_pylist() if "n_chars" in names else [None] * b.num_rows
             s = held.value.score(_raw(b.column(names.index("text"))), declared)
             yield b.filter(pa.array(s >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

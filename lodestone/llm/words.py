@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed random odd base and byte values of the polynomial word hash; made from a seed, the same everywhere.
 _RNG = np.random.Generator(np.random.PCG64(20240501))
@@ -77,11 +79,20 @@ def pieces(texts: list[bytes]):
         yield start, len(texts)
 
 
-def slices(batches, rows: int = 1000):
-    """Arrow batches cut into smaller ones, so what a worker holds follows neither the batch nor the partition."""
+def slices(batches, rows: int = 1000, column: int | None = None, most: int = 4_000_000):
+    """Arrow batches cut into smaller ones, so what a worker holds follows neither the batch nor the partition: of
+    ``rows`` rows and, by the lengths of a text ``column``, of about ``most`` bytes or one row."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+        ends = np.arange(rows, b.num_rows + rows, rows)
+        if column is not None and b.num_rows:
+            size = pc.binary_length(b.column(column).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(size) // most
+            ends = np.union1d(ends, np.flatnonzero(np.diff(part)) + 1)
+        lo = 0
+        for hi in ends:
+            if lo < b.num_rows:
+                yield b.slice(lo, int(hi) - lo)
+            lo = int(hi)
 
 
 class Words:
