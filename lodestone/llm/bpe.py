@@ -35,6 +35,9 @@ def _byte_chars() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+#: Stands for the rank of a pair that doesn't join.
+_NONE = (1 << 31) - 1
+
 _CONTROL = regex.compile("[\x1c-\x1f]")
 
 
@@ -53,6 +56,78 @@ class Merger:
         self.word = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chars = [c for _, c in sorted(_byte_chars().items())]
+        self._tables()
+
+    def _tables(self) -> None:
+        """The merges as sorted arrays of pairs of ids, and the ranks of all pairs of single bytes in one matrix."""
+        known = [(self.vocab[a], self.vocab[b], r, self.vocab[a + b]) for (a, b), r in self.ranks.items() if a in self.vocab and b in self.vocab and a + b in self.vocab]
+        self.whole = len(known) == len(self.ranks) and all(c in self.vocab and c + self.end in self.vocab for c in self.chars)
+        if not self.whole:
+            return
+        x = np.array(known, np.int64).reshape(-1, 4)
+        key = x[:, 0] << 32 | x[:, 1]
+        order = np.argsort(key)
+        self.pairs, self.pair_rank, self.pair_into = np.append(key[order], 1 << 62), np.append(x[order, 2], _NONE).astype(np.int32), np.append(x[order, 3], 0).astype(np.int32)
+        inner, last = (np.array([self.vocab[c + e] for c in self.chars], np.int32) for e in ("", self.end))
+        self.first = np.concatenate([inner, last])  # by byte, and by byte + 256 at a word's end
+        a, b = np.repeat(np.arange(256), 512), np.tile(np.arange(512), 256)
+        self.first_rank = self._rank(self.first[a], self.first[b])[0].reshape(256, 512)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs, key)
+        hit = self.pairs[at] == key
+        return np.where(hit, self.pair_rank[at], _NONE), self.pair_into[at]
+
+    def merge_all(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of many words at once: in each round every word joins its leftmost pair of the lowest rank."""
+        out: dict[str, list[int]] = {}
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words:
+            raw = w.encode()
+            if self.whole and 1 < len(raw) <= 32:
+                by_size.setdefault((len(raw) + 3) // 4, []).append((w, raw))
+            else:
+                out[w] = self.merge(w)
+        for size, group in by_size.items():
+            for lo in range(0, len(group), 20_000):
+                part = group[lo : lo + 20_000]
+                if len(part) < 16:
+                    out |= {w: self.merge(w) for w, _ in part}
+                else:
+                    self._merge_block(part, 4 * size, out)
+        return out
+
+    def _merge_block(self, part: list[tuple[str, bytes]], width: int, out: dict) -> None:
+        n = np.array([len(raw) for _, raw in part])
+        byte = np.frombuffer(b"".join(raw.ljust(width, b"\0") for _, raw in part), np.uint8).reshape(-1, width).astype(np.int32)
+        rows, columns = np.arange(len(part)), np.arange(width - 1)
+        byte[rows, n - 1] += 256
+        sym = self.first[byte]
+        rank = np.where(columns < n[:, None] - 1, self.first_rank[byte[:, :-1] & 255, byte[:, 1:]], _NONE)
+        live = rows
+        while len(live):
+            r = rank[live]
+            at = r.argmin(1)
+            more = r[np.arange(len(live)), at] < _NONE
+            live, at, r = live[more], at[more], r[more]
+            if not len(live):
+                break
+            s, i = sym[live], np.arange(len(live))
+            into = self._rank(s[i, at], s[i, at + 1])[1]
+            # what is right of the pair moves one place to the left
+            s[:, :-1] = np.where(columns > at[:, None], s[:, 1:], s[:, :-1])
+            s[i, at] = into
+            r[:, :-1] = np.where(columns[:-1] >= at[:, None], r[:, 1:], r[:, :-1])
+            r[:, -1] = _NONE
+            n[live] -= 1
+            left, right = at > 0, at < n[live] - 1
+            r[i[left], at[left] - 1] = self._rank(s[i[left], at[left] - 1], into[left])[0]
+            r[i[right], at[right]] = self._rank(into[right], s[i[right], at[right] + 1])[0]
+            r[i[~right], np.minimum(at[~right], width - 2)] = _NONE
+            sym[live], rank[live] = s, r
+        for (w, _), k, ids in zip(part, n.tolist(), sym.tolist()):
+            out[w] = ids[:k]
 
     def chunks(self, text: str) -> list:
         """The pieces of a text between white space, after normalisation; specials come as their ids.
@@ -231,35 +306,47 @@ class Lexicon:
 
 
 class Coder:
-    """Encodes and decodes in one worker. The cache of pieces seen and their ids holds at most MOST bytes, by what its
-    strings, ids and entries take; a fuller one starts anew. Decoded text is built from the tokens' strings."""
+    """Encodes and decodes in one worker. Pieces seen are cached with their ids in two generations of at most about MOST
+    bytes each, by what strings, ids and entries take: a full young one becomes the old one, whose pieces come back when
+    they are seen again. Decoded text is built from the tokens' strings."""
 
-    MOST, ENTRY = 64 << 20, 190
+    MOST, ENTRY = 24 << 20, 190
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
         self.merger, self.lexicon = merger, lexicon
         self.ids: dict = {}
+        self.old: dict = {}
         self.held = 0
         self.token = [merger.token.get(i, "") for i in range(max(merger.token, default=-1) + 1)]
 
     def learn(self, chunks: set) -> None:
         if self.held > self.MOST:
-            self.ids.clear()
-            self.held = 0
+            self.old, self.ids, self.held = self.ids, {}, 0
         new = [c for c in chunks if c not in self.ids]
+        if self.old:
+            get, unknown = self.old.get, []
+            for c in new:
+                if known := get(c):
+                    self._keep(c, known)
+                else:
+                    unknown.append(c)
+            new = unknown
         texts = [c for c in new if isinstance(c, str)]
         split = [self.merger.words(c) for c in texts]
         words = list({w for ws in split for w in ws})
-        found = {w: self.lexicon.of(n) if n >= 0 else self.merger.merge(w) for w, n in zip(words, self.lexicon.find(words).tolist())}
+        numbers = self.lexicon.find(words).tolist()
+        found = {w: self.lexicon.of(n) for w, n in zip(words, numbers) if n >= 0}
+        found |= self.merger.merge_all([w for w, n in zip(words, numbers) if n < 0])
         for c, ws in zip(texts, split):
-            self._put(c, found[ws[0]] if len(ws) == 1 else [i for w in ws for i in found[w]])
+            ids = found[ws[0]] if len(ws) == 1 else [i for w in ws for i in found[w]]
+            self._keep(c, struct.pack(f"<{len(ids)}I", *ids))
         for c in new:
             if not isinstance(c, str):
-                self._put(c, [c])
+                self._keep(c, struct.pack("<I", c))
 
-    def _put(self, chunk, ids: list[int]) -> None:
-        self.ids[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        self.held += (len(chunk) if isinstance(chunk, str) else 0) + 4 * len(ids) + self.ENTRY
+    def _keep(self, chunk, packed: bytes) -> None:
+        self.ids[chunk] = packed
+        self.held += (len(chunk) if isinstance(chunk, str) else 0) + len(packed) + self.ENTRY
 
     def encode(self, texts: list[str]):
         """For each text the ids as little-endian 32-bit integers and the decoded text.
@@ -290,7 +377,7 @@ def word_counts(docs: DataFrame, spec: str, most: int = 100_000) -> DataFrame:
             pieces.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-        for b in slices(batches, 500, 0):
+        for b in slices(batches, 500, 0, 1_000_000):
             for t in b.column(0).to_pylist():
                 pieces.update(merger.chunks(t))
             if len(pieces) > most:
@@ -332,7 +419,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         coder = Coder(Merger(json.loads(spec)), Lexicon.of_broadcast(block))
-        for part in slices(batches, 500, 1):
+        for part in slices(batches, 500, 1, 1_000_000):
             out = list(coder.encode(part.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], names=["doc_id", "ids", "decoded"])
 
