@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -40,3 +40,33 @@ def components(edges: DataFrame, work: Scratch, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     return e.select(F.col("u_").alias("node_"), F.col("v_").alias("comp_")).unionByName(e.select(F.col("v_").alias("node_"), F.col("v_").alias("comp_")).distinct())
+
+
+def numbered(groups: DataFrame, keys: list[str], ids: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``groups`` (one row per value of ``keys``, node_ null where no row has an id) with a node_ in every row.
+
+    Groups without an id get a hash of their keys as their number. That no number is an id (``ids``, one long column) or
+    another group's number is checked, so ids may take the whole range of 64 bits. Returns the groups and, if there are
+    any, those without an id.
+    """
+    none = groups.where(F.col("node_").isNull())
+    if not none.limit(1).count():
+        return groups, None
+    known = ids.select(F.col(ids.columns[0]).alias("node_"))
+    for salt in range(100):
+        named = work.keep(none.withColumn("node_", F.xxhash64(F.lit(salt), *keys)), "without-id")
+        twice = named.groupBy("node_").count().where("count > 1")
+        if not twice.limit(1).count() and not known.join(small(named.select("node_")), "node_", "left_semi").limit(1).count():
+            return groups.where(F.col("node_").isNotNull()).unionByName(named), named
+    raise RuntimeError("no free numbers for rows without an id")
+
+
+def by_id(comps: DataFrame, without: DataFrame | None) -> DataFrame:
+    """``comps`` (node_, comp_) with comp_ the least *id* of the component; null where it has none. ``without`` holds the
+    nodes that stand for rows without an id."""
+    if without is None:
+        return comps
+    marked = comps.join(small(without.select("node_", F.lit(True).alias("no_"))), "node_", "left")
+    least = marked.groupBy("comp_").agg(F.min(F.when(F.col("no_").isNull(), F.col("node_"))).alias("id_"))
+    alone = without.select("node_", F.lit(None).cast("long").alias("comp_")).join(comps, "node_", "left_anti")
+    return marked.join(least, "comp_").select("node_", F.col("id_").alias("comp_")).unionByName(alone).withColumn("found_", F.lit(True))

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, text_or_empty, trimmed
-from .components import components
+from .common import Scratch, join_hot, small, text_or_empty, trimmed
+from .components import by_id, components, numbered
 from .words import mix, shingle_sets, slices
 
-#: Nodes that stand for rows without an id lie above this and lose every minimum to real ids.
-NO_ID = 1 << 62
+#: Frequent shingles that are told apart at most.
+MOST_FREQUENT = 1_000_000
 
 
 def _utf8(column) -> list[bytes]:
@@ -31,8 +31,8 @@ def frequent_shingles(docs: DataFrame, words: int, share: float, chunk: int) ->
     """Sorted hashes of the shingles in at least ``share`` of all documents.
 
     A shingle that frequent overall is as frequent in some chunk, so each chunk reports only its own frequent ones and
-    the reports are summed. At most (mean set size / share) shingles can qualify, which bounds the list. The list
-    serves only to order shingles: any order gives the same join.
+    the reports are summed. At most (mean set size / share) shingles can qualify, and of more than MOST_FREQUENT the
+    commonest are taken: 8 MB. The list serves only to order shingles: any order gives the same join.
     """
 
     def local(batches):
@@ -57,8 +57,8 @@ def frequent_shingles(docs: DataFrame, words: int, share: float, chunk: int) ->
     if not total:
         return np.zeros(0, np.uint64)
     rows = docs.select("text_").mapInArrow(trimmed(local), "h_ long, c_ long").groupBy("h_").agg(F.sum("c_").alias("c_"))
-    hot = rows.where(F.col("c_") >= max(4, 0.5 * share * total)).select("h_").toPandas()["h_"].to_numpy(np.int64)
-    return np.sort(hot.view(np.uint64))
+    hot = rows.where(F.col("c_") >= max(4, 0.5 * share * total)).orderBy(F.desc("c_"), "h_").limit(MOST_FREQUENT)
+    return np.sort(hot.select("h_").toArrow()["h_"].to_numpy().view(np.uint64))
 
 
 #: A set's window is longer by this percentage of the set than one common shingle would ask for; in return, linked sets
@@ -92,35 +92,28 @@ def _key(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _own(doc_id: int | None, key: bytes | None) -> int | None:
-    """The node that a row names: its id, or for want of one a number from its set."""
-    return doc_id if doc_id is not None else key and NO_ID + (int.from_bytes(key[:8], "big") >> 2)
-
-
 def _signatures(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for b in slices(batches, column=1):
-            n, key, own, pre = [], [], [], []
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets(_utf8(b.column(1)), words)):
+            n, key, pre = [], [], []
+            for s in shingle_sets(_utf8(b.column(1)), words):
                 n.append(len(s))
                 key.append(_key(s))
-                own.append(_own(i, key[-1]))
                 pre.append(_prefix(s, shared.value, percent) if len(s) else s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(own, pa.int64()), _longs(pre)], names=["doc_id", "n_shingles", "key_", "own_", "prefix_"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), _longs(pre)], names=["doc_id", "n_shingles", "key_", "prefix_"])
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, key_ binary, own_ long, prefix_ array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, key_ binary, prefix_ array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in slices(batches, column=1):
             sets = list(shingle_sets(_utf8(b.column(1)), words))
-            own = [_own(i, _key(s)) for i, s in zip(b.column(0).to_pylist(), sets)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), _longs(sets)], names=["node_", "set_"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_key(s) for s in sets], pa.binary()), _longs(sets)], names=["node_", "key_", "set_"])
 
-    return docs.mapInArrow(trimmed(run), "node_ long, set_ array<long>")
+    return docs.mapInArrow(trimmed(run), "node_ long, key_ binary, set_ array<long>")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
@@ -139,7 +132,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) ->
     return x.select("x_", "y_", (1 - F.col("both_") / any_).alias("d_"), (100 * F.col("both_") >= percent * any_).alias("link_"))
 
 
-def _regions(rows: DataFrame, sizes: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+def _regions(rows: DataFrame, sizes: DataFrame, hot: np.ndarray, percent: int, work: Scratch) -> DataFrame:
     """(h_, node_, n_) for the regions of at least two nodes, from the windows' rows (node_, h_).
 
     How many windows hold a shingle is counted first. Within its window a node enters the regions of its rarest
@@ -149,7 +142,7 @@ def _regions(rows: DataFrame, sizes: DataFrame, hot: np.ndarray, percent: int) -
     spark = rows.sparkSession
     w = Window.partitionBy("h_")
     if len(hot):
-        hots = F.broadcast(spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "h_ long"))
+        hots = F.broadcast(spark.createDataFrame(pa.table({"h_": hot.view(np.int64)})))
         many = rows.join(hots, "h_").select("node_", F.lit(1 << 62).alias("df_"), "h_")
         rows = rows.join(hots, "h_", "left_anti")
     common = rows.withColumn("df_", F.count("*").over(w)).where(F.col("df_") > 1).select("node_", "df_", "h_")
@@ -164,23 +157,19 @@ def _regions(rows: DataFrame, sizes: DataFrame, hot: np.ndarray, percent: int) -
     # distance to the empty set as a second pivot: linked sizes differ by a factor of at most 100 / percent
     size = F.floor(F.log(F.col("n_").cast("double")) / math.log(100 / percent)).cast("int")
     entered = entered.withColumn("size_", F.explode(F.array(size, size + 1))).withColumn("h_", F.xxhash64("h_", "size_"))
-    mark = F.xxhash64("node_")
-    few = entered.where(F.col("df_") < 1 << 62).withColumn("m_", F.count("*").over(w)).withColumn("s_", F.bit_xor(mark).over(w))
-    few = few.where(F.col("m_") > 1).select(F.col("s_").alias("h_"), "node_", "n_")
-    if len(hot):
-        many = entered.where(F.col("df_") == 1 << 62)
-        heads = many.groupBy("h_").agg(F.count("*").alias("m_"), F.bit_xor(mark).alias("s_")).where(F.col("m_") > 1).drop("m_")
-        few = few.unionByName(many.join(heads, "h_").select(F.col("s_").alias("h_"), "node_", "n_"))
-    # regions are named by their members, so those with the same members are one
-    return few.distinct()
+    entered = work.keep(entered.select("h_", "node_", "n_"), "entered")
+    # regions are named by their members, so those with the same members are one; a region of one node is none
+    heads = entered.groupBy("h_").agg(F.count("*").alias("m_"), F.bit_xor(F.xxhash64("node_")).alias("s_")).where(F.col("m_") > 1)
+    named = join_hot(entered, work.keep(heads, "heads"), "h_", "m_", entered.count())
+    return named.select(F.col("s_").alias("h_"), "node_", "n_").distinct()
 
 
-def _pivoted(regions: DataFrame) -> DataFrame:
+def _pivoted(regions: DataFrame, work: Scratch) -> DataFrame:
     """Adds pivot_ to (h_, node_, n_, far_): the far member that is in most regions, so likely the centre of its group."""
     often = regions.groupBy("node_").agg(F.count("*").alias("often_"))
     rows = regions.join(often, "node_")
-    pivots = rows.groupBy("h_").agg(F.max_by("node_", F.struct("far_", "often_", -F.col("node_"))).alias("pivot_"))
-    return rows.join(pivots, "h_").select("h_", "node_", "n_", "pivot_")
+    pivots = rows.groupBy("h_").agg(F.max_by("node_", F.struct("far_", "often_", -F.col("node_"))).alias("pivot_"), F.count("*").alias("m_"))
+    return join_hot(regions, work.keep(pivots, "pivots"), "h_", "m_", regions.count()).select("h_", "node_", "n_", "pivot_")
 
 
 def _side(rows: DataFrame, name: str, *cols: str) -> DataFrame:
@@ -247,9 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Members of one component are never compared again, so a large group of near copies costs one comparison each.
     Regions of frequent shingles get their pivot by a pre-aggregated minimum, others by a window over the region.
 
-    Null and empty texts have no shingles and are alone. A null id has a null component_id unless a row with an id is
-    reachable; rows that repeat an id share its component. Extra columns are ignored. An empty table gives an empty
-    one.
+    Sets are compared by 64-bit hashes of their shingles and told apart by 128-bit digests of those: "exact" is up to
+    a collision of these. Null and empty texts have no shingles and are alone. Ids may be any 64-bit numbers. A null id
+    has a null component_id unless a row with an id is reachable; rows that repeat an id share its component. Extra
+    columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     work = Scratch(spark)
@@ -257,31 +247,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = frequent_shingles(base, words, share, chunk)
     sigs = work.keep(_signatures(base, words, percent, hot), "signatures")
     full = sigs.where(F.col("key_").isNotNull())
-    named = full.groupBy("key_", "own_").agg(F.count("*").alias("n_"))
-    nodes = work.keep(named.groupBy("key_").agg(F.min("own_").alias("node_"), F.min_by("n_", "own_").alias("times_")), "nodes")
-    narrow = work.keep(sigs.select("doc_id", "n_shingles", "key_", "own_"), "narrow")
-    member = narrow.join(nodes, "key_")
+    narrow = work.keep(sigs.select("doc_id", "n_shingles", "key_"), "narrow")
+    named = full.groupBy("key_", "doc_id").agg(F.count("*").alias("n_"))
+    groups = named.groupBy("key_").agg(F.min("doc_id").alias("node_"), F.coalesce(F.min_by("n_", "doc_id"), F.lit(1)).alias("times_"), F.sum("n_").alias("rows_"))
+    nodes, without = numbered(work.keep(groups, "groups"), ["key_"], narrow.select("doc_id"), work)
+    nodes = work.keep(nodes, "nodes")
+    member = join_hot(narrow, nodes, "key_", "rows_", narrow.count())
 
     # a node's window comes from the row that names it, and from one of them where a row is repeated
-    others = work.keep(member.where(F.col("own_") != F.col("node_")).select("key_", "own_").distinct(), "others")
-    rows = full.join(small(others, 500_000), ["key_", "own_"], "left_anti").select("key_", F.col("own_").alias("node_"), "n_shingles", "prefix_")
+    others = work.keep(member.where(F.col("doc_id") != F.col("node_")).select("key_", "doc_id").distinct(), "others")
+    rows = full.where(F.col("doc_id").isNotNull()).join(small(others, 500_000), ["key_", "doc_id"], "left_anti").select("key_", F.col("doc_id").alias("node_"), "n_shingles", "prefix_")
     twice = nodes.where(F.col("times_") > 1).select("key_")
     repeats = bool(twice.limit(1).count())
     if repeats:
         rows = rows.join(twice, "key_", "left_anti").unionByName(rows.join(twice, "key_", "left_semi").dropDuplicates(["node_", "key_"]))
+    if without is not None:
+        missing = full.where(F.col("doc_id").isNull()).join(small(without.select("key_", "node_")), "key_").dropDuplicates(["key_"])
+        rows = rows.unionByName(missing.select("key_", "node_", "n_shingles", "prefix_"))
+    sizes = rows.select("node_", "n_shingles").distinct()
     rows = rows.select("node_", F.explode("prefix_").alias("h_"))
-    regions = work.keep(_regions(rows, member.where(F.col("own_") == F.col("node_")).select("node_", "n_shingles").distinct(), hot, percent).withColumn("far_", F.lit(True)), "regions")
-    regions = work.keep(_pivoted(regions), "regions")
+    regions = work.keep(_regions(rows, sizes, hot, percent, work).withColumn("far_", F.lit(True)), "regions")
+    regions = work.keep(_pivoted(regions, work), "regions")
     work.drop(sigs, others)
     wanted = work.keep(regions.select("node_").distinct().join(nodes.groupBy("node_").agg(F.max("times_").alias("times_")), "node_"), "wanted")
     texts = base.join(small(wanted, 1_000_000), F.col("doc_id") == F.col("node_")).select("doc_id", "text_", "times_")
     if repeats:
         again = texts.where(F.col("times_") > 1).dropDuplicates(["doc_id", "text_"])
         texts = texts.where(F.col("times_") == 1).unionByName(again)
-    texts = texts.select("doc_id", "text_")
-    if narrow.where(F.col("doc_id").isNull()).limit(1).count():
-        texts = texts.unionByName(base.where(F.col("doc_id").isNull()).dropDuplicates(["text_"]))
-    sets = work.keep(_sets(texts, words), "sets")
+    sets = _sets(texts.select("doc_id", "text_"), words).select("node_", "set_")
+    if without is not None:
+        missing = _sets(base.where(F.col("doc_id").isNull()), words).drop("node_").join(small(without.select("key_", "node_")), "key_").dropDuplicates(["key_"])
+        sets = sets.unionByName(missing.select("node_", "set_"))
+    sets = work.keep(sets, "sets")
 
     comps = work.keep(spark.createDataFrame([], "node_ long, comp_ long"), "components")
 
@@ -307,14 +304,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = joined(more)
         known = far.unionByName(more).unionByName(rest.where("not apart_").select("x_", "y_", F.lit(None).cast("double").alias("d_"), F.lit(True).alias("link_")))
         left = regions.join(known.select(F.col("x_").alias("node_"), F.col("y_").alias("pivot_"), "d_", "link_"), ["node_", "pivot_"])
-        edge = left.groupBy("h_").agg(F.min(F.when(~F.col("link_"), F.col("d_"))).alias("edge_")).where(F.col("edge_").isNotNull())
+        left = work.keep(left, "measured")
+        edge = left.groupBy("h_").agg(F.min(F.when(~F.col("link_"), F.col("d_"))).alias("edge_"), F.count("*").alias("rows_")).where(F.col("edge_").isNotNull())
         window = F.coalesce(F.col("d_"), F.lit(1.0)) >= F.col("edge_") - (1 - percent / 100) - 1e-9
-        left = left.join(edge, "h_").where(~F.col("link_") | window)
-        left = left.join(comps, "node_", "left").select("h_", "node_", "n_", "pivot_", "d_", F.coalesce("comp_", "node_").alias("comp_"))
+        left = join_hot(left, work.keep(edge, "edges"), "h_", "rows_", regions.count()).where(~F.col("link_") | window)
+        left = work.keep(left.join(comps, "node_", "left").select("h_", "node_", "n_", "pivot_", F.coalesce("comp_", "node_").alias("comp_")), "inside")
         # a region whose members are all in one component by now is done; else those outside its largest one are far
         span = left.groupBy("h_", "comp_").agg(F.count("*").alias("m_"), F.bit_xor(F.xxhash64("node_")).alias("s_"))
-        span = span.groupBy("h_").agg(F.max_by("comp_", F.struct("m_", "comp_")).alias("main_"), (F.sum("m_") - F.max("m_")).alias("m_"), F.bit_xor("s_").alias("s_"))
-        left = left.join(span.where(F.col("m_") > 0), "h_").withColumn("far_", F.col("comp_") != F.col("main_"))
+        span = span.groupBy("h_").agg(F.max_by("comp_", F.struct("m_", "comp_")).alias("main_"), (F.sum("m_") - F.max("m_")).alias("m_"), F.bit_xor("s_").alias("s_"), F.sum("m_").alias("rows_"))
+        left = join_hot(left, work.keep(span.where(F.col("m_") > 0), "spans"), "h_", "rows_", regions.count()).withColumn("far_", F.col("comp_") != F.col("main_"))
         # regions left with the same members and pivot are one
         left = left.groupBy(F.xxhash64("s_", "pivot_").alias("h_"), "pivot_", "node_", "n_", "comp_", "far_").agg(F.max("m_").alias("m_"))
         left = work.keep(left, "left")
@@ -322,7 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = joined(_measured(pairs, sets, percent, work))
         if deeper is None or not deeper.limit(1).count():
             break
-        regions = work.keep(_pivoted(deeper), "regions")
-    found = member.join(comps, "node_", "left").select("doc_id", "n_shingles", F.coalesce("comp_", "node_").alias("c_"))
-    found = found.select("doc_id", "n_shingles", F.when(F.col("c_") < NO_ID, F.col("c_")).alias("component_id"))
+        regions = work.keep(_pivoted(deeper, work), "regions")
+    comps = by_id(comps, without)
+    in_one = F.col("found_").isNotNull() if without is not None else F.col("comp_").isNotNull()
+    found = member.join(comps, "node_", "left").select("doc_id", "n_shingles", F.when(in_one, F.col("comp_")).otherwise(F.col("node_")).alias("component_id"))
     return found.unionByName(narrow.where(F.col("key_").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
