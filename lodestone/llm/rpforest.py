@@ -6,23 +6,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import Scratch, by_hash
-from .components import components
+from .common import Scratch, by_hash, join_hot, small, trimmed
+from .components import by_id, components, numbered
 
-NO_ID = 1 << 62
-
-#: Vectors that fit the trees at most; sample points that a fitted leaf keeps at least.
-SAMPLE, LEAST = 16_384, 16
+#: Vectors that fit the trees of one dimension at most, and the bytes that they may take; sample points that a fitted
+#: leaf keeps at least; dimensions, the commonest ones, that get a forest. Vectors of any other dimension are one leaf.
+SAMPLE, SAMPLE_BYTES, LEAST, FORESTS = 16_384, 64 << 20, 16, 64
 
 #: Random directions that a node tries; levels beyond those of even halves; the share of a node's pairs that its halves
 #: may leave to compare, or it stays whole.
 TRIES, MORE, WORTH = 4, 2, 0.9
 
 
-def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def unit(vectors) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length 1 in double precision, and which rows have a direction at all."""
-    dim = len(vectors[0]) if vectors else 0
+    dim = len(vectors[0]) if len(vectors) else 0
     x = np.array(vectors, np.float64).reshape(len(vectors), dim)
     ok = np.isfinite(x).all(1) & (x != 0).any(1)
     x[~ok] = 0
@@ -108,9 +108,8 @@ class Forest:
                 row, at = self._split(row, at, p, self.cut[t, node], self.margin[t, node])
             base = at
             for level in range(self.extra):
-                leaf = base >> 0
                 p = x[row] @ self.more[t, level]
-                left, right = p < self.more_cut[t, leaf, level] + self.more_margin[t, leaf, level], p >= self.more_cut[t, leaf, level] - self.more_margin[t, leaf, level]
+                left, right = p < self.more_cut[t, base, level] + self.more_margin[t, base, level], p >= self.more_cut[t, base, level] - self.more_margin[t, base, level]
                 row, base = np.concatenate([row[left], row[right]]), np.concatenate([base[left], base[right]])
                 at = np.concatenate([2 * at[left], 2 * at[right] + 1])
             rows.append(row)
@@ -123,108 +122,146 @@ def _vectors(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _assigned(reps: DataFrame, forest: Forest) -> DataFrame:
-    """One row per vector and leaf. mark_ is the first dense leaf of a vector in its dense leaves, in others the leaf."""
-    held = reps.sparkSession.sparkContext.broadcast(forest)
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+
+def _assigned(reps: DataFrame, forests: dict[int, Forest]) -> DataFrame:
+    """Adds to each vector its leaves (own_, sorted) and a mark for each: the vector's first dense leaf in its dense leaves,
+    in others the leaf itself. Vectors of a dimension without a forest have the leaf 0."""
+    held = reps.sparkSession.sparkContext.broadcast(forests)
 
     def run(batches):
         for b in batches:
-            x, _ = unit(b.column(2).to_pylist())
-            row, leaf, dense = held.value.leaves(x)
-            order = np.lexsort((leaf, row))
-            row, leaf, dense = row[order], leaf[order], dense[order]
-            first = np.searchsorted(row, np.arange(len(x) + 1))
-            mark = np.full(len(x), np.iinfo(np.int64).max)
-            np.minimum.at(mark, row[dense], leaf[dense])
-            mark = np.where(dense, mark[row], leaf)
-            own = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(leaf))
-            take = pa.array(row)
-            vec = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(mark), b.column(0).take(take), b.column(1).take(take), own.take(take), vec.take(take)], names=["leaf_", "mark_", "node_", "times_", "own_", "vec_"])
-
-    return reps.select("node_", "times_", "embedding").mapInArrow(run, "leaf_ long, mark_ long, node_ long, times_ long, own_ array<long>, vec_ array<double>")
-
-
-def _compare(least: float):
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims):
+                part = b.filter(pa.array(dims == dim))
+                n, forest = part.num_rows, held.value.get(int(dim))
+                if forest is None:
+                    leaf, mark, ends = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n + 1)
+                else:
+                    x, _ = unit(_vectors(part.column(3)))
+                    row, leaf, dense = forest.leaves(x)
+                    order = np.lexsort((leaf, row))
+                    row, leaf, dense = row[order], leaf[order], dense[order]
+                    ends = np.searchsorted(row, np.arange(n + 1))
+                    first = np.full(n, np.iinfo(np.int64).max)
+                    np.minimum.at(first, row[dense], leaf[dense])
+                    mark = np.where(dense, first[row], leaf)
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(leaf, ends), _lists(mark, ends)], names=[*part.schema.names, "own_", "marks_"])
+
+    x = reps.select("node_", "times_", "dim_", "embedding")
+    return x.mapInArrow(trimmed(run), f"{x._jdf.schema().toDDL()}, own_ array<long>, marks_ array<long>")
+
+
+def _shared(own: pa.Array, leaf: int) -> np.ndarray:
+    """A column for each leaf before ``leaf`` that at least two of the rows are in: 1 in those rows."""
+    row, value = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False)), own.flatten().to_numpy(zero_copy_only=False)
+    early = value < leaf
+    ids, at, times = np.unique(value[early], return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    both = times[at] > 1
+    inside = np.zeros((len(own), int((times > 1).sum())), np.float32)
+    inside[row[early][both], column[at[both]]] = 1
+    return inside
+
+
+def _compare(least: float, step: int = 512):
     """Compares the vectors of one cell: a whole leaf, or two blocks of a large one.
 
     Returns per vector the copies of others that it links with and a member of its own cluster in the cell. A pair
-    that shares several leaves is counted in the first of them alone.
+    that shares several leaves is counted in the first of them alone. Products are taken for ``step`` rows at a time.
     """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        node, times = t["node_"].to_numpy(), t["times_"].to_numpy()
-        leaf, one, two, block = int(t["leaf_"][0].as_py()), int(t["one_"][0].as_py()), int(t["two_"][0].as_py()), t["block_"].to_numpy()
-        x = _vectors(t["vec_"].combine_chunks())
-        link = x @ x.T >= least
+        node, times = t["node_"].to_numpy(), t["times_"].to_numpy().astype(np.float64)
+        leaf, apart, block = int(t["leaf_"][0].as_py()), t["one_"][0].as_py() != t["two_"][0].as_py(), t["block_"].to_numpy()
+        x, _ = unit(_vectors(t["embedding"].combine_chunks()))
+        link = np.zeros((len(x), len(x)), bool)
+        for lo in range(0, len(x), step):
+            link[lo : lo + step] = x[lo : lo + step] @ x.T >= least
+            if apart:
+                link[lo : lo + step] &= block[lo : lo + step, None] != block[None, :]
         np.fill_diagonal(link, False)
-        if one != two:
-            link &= block[:, None] != block[None, :]
         some = np.flatnonzero(link.any(1))
-        link = link[np.ix_(some, some)]
-        own = t["own_"].combine_chunks().take(pa.array(some))
-        row, value = np.repeat(np.arange(len(some)), own.value_lengths().to_numpy(zero_copy_only=False)), own.flatten().to_numpy(zero_copy_only=False)
-        early = value < leaf
-        ids, at = np.unique(value[early], return_inverse=True)
-        inside = np.zeros((len(some), len(ids)), np.float32)
-        inside[row[early], at] = 1
-        fresh = link & ~(inside @ inside.T > 0)
-        n = (fresh.astype(np.float32) @ times[some].astype(np.float32)).round() if times.sum() < 1 << 24 else fresh @ times[some]
+        link = link[np.ix_(some, some)] if len(some) < len(x) else link
+        inside = _shared(t["own_"].combine_chunks().take(pa.array(some)), leaf)
+        n = np.zeros(len(some), np.int64)
+        for lo in range(0, len(some), step):
+            fresh = link[lo : lo + step]
+            if inside.shape[1]:
+                fresh = fresh & ~(inside[lo : lo + step] @ inside.T > 0)
+            n[lo : lo + step] = (fresh @ times[some]).round()
         root = np.arange(len(some), dtype=np.int32)
         while len(some):
-            least_ = np.where(link, root[None, :], np.int32(len(some))).min(1)
-            new = np.minimum(root, least_)
+            new = root.copy()
+            for lo in range(0, len(some), step):
+                least_ = np.where(link[lo : lo + step], root[None, :], np.int32(len(some))).min(1)
+                new[lo : lo + step] = np.minimum(root[lo : lo + step], least_)
             new = new[new]
             if (new == root).all():
                 break
             root = new
-        return pa.table({"node_": node[some], "n_": n.astype(np.int64), "root_": node[some][root]})
+        return pa.table({"node_": node[some], "n_": n, "root_": node[some][root]})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, trees: int = 8, leaf: int = 128, spill: float = 0.08, block: int = 512) -> DataFrame:
+def _fitted(reps: DataFrame, trees: int, leaf: int, spill: float, least: float) -> dict[int, Forest]:
+    """A forest for each of the commonest dimensions with more vectors than a leaf takes."""
+    out = {}
+    for dim, rows in reps.groupBy("dim_").count().where(F.col("count") > leaf).orderBy(F.desc("count"), "dim_").limit(FORESTS).collect():
+        most = max(1024, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        sample = by_hash(reps.where(F.col("dim_") == dim), most, "a_", "b_").select("embedding").toArrow()["embedding"].combine_chunks()
+        out[dim] = Forest(unit(_vectors(sample))[0], rows, trees, leaf, spill, least)
+    return out
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, trees: int = 3, leaf: int = 512, spill: float = 0.08, block: int = 4096) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id and kept.
 
-    Equal vectors are collapsed to one with a count. A forest fitted to at most SAMPLE vectors (smallest hashes of the
-    vector) sends every vector to its leaves; vectors of a leaf are compared, in double precision, and all pairs at
-    ``least`` or more link. Leaves give counts and one edge per vector, never pairs. A leaf beyond ``block`` vectors is
-    compared in pairs of blocks, each a group of its own. Links that no tree brings together are missed; none is false.
+    Equal vectors are collapsed to one with a count. For each dimension, a forest fitted to at most SAMPLE vectors
+    (smallest hashes of the vector) sends every vector to its leaves; vectors of a leaf are compared, in double
+    precision, and all pairs at ``least`` or more link. Leaves give counts and one edge per vector, never pairs. A leaf
+    beyond ``block`` vectors is compared in pairs of blocks, each a group of its own. Links that no tree brings together
+    are missed; none is false. Vectors of different dimensions never link.
 
-    Null vectors and those with a null or non-finite component or of length zero link with nothing, as do vectors of
-    another dimension than most of the sample. A null id has a null component_id unless it reaches an id; rows that
-    repeat an id share its links. Extra columns are ignored. An empty table gives an empty one.
+    Null vectors and those with a null or non-finite component or of length zero link with nothing. Ids may be any
+    64-bit numbers. A null id has a null component_id unless it reaches an id; rows that repeat an id share its links.
+    Extra columns are ignored. An empty table gives an empty one.
     """
     work = Scratch(vectors.sparkSession)
-    vec = F.col(vec_col).cast("array<double>")
+    of = vectors.schema[vec_col].dataType
+    vec = F.col(vec_col) if getattr(of, "elementType", None) == FloatType() else F.col(vec_col).cast("array<double>")
     usable = vec.isNotNull() & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), vec).alias("embedding"))
     rows = rows.withColumn("a_", F.xxhash64("embedding")).withColumn("b_", F.xxhash64(F.lit("vector"), "embedding"))
-    own = F.coalesce("vec_id", F.shiftrightunsigned(F.col("a_"), 2) + F.lit(NO_ID))
-    reps = rows.where(F.col("embedding").isNotNull()).groupBy("a_", "b_").agg(F.min(own).alias("node_"), F.count("*").alias("times_"), F.any_value("embedding").alias("embedding"))
-    reps = work.keep(reps, "distinct")
-    sample = [r.embedding for r in by_hash(reps, SAMPLE, "a_", "b_").select("embedding").collect()]
-    lengths = sorted(map(len, sample))
-    dim = max(set(lengths), key=lambda d: (lengths.count(d), d)) if lengths and lengths[0] != lengths[-1] else lengths[0] if lengths else 1
-    x, _ = unit([v for v in sample if len(v) == dim] or [[0.0] * dim])
-    forest = Forest(x, reps.count(), trees, leaf, spill, least)
-    cells = work.keep(_assigned(reps.where(F.size("embedding") == dim), forest), "leaves")
+    reps = rows.where(F.col("embedding").isNotNull()).groupBy("a_", "b_").agg(F.min("vec_id").alias("node_"), F.count("*").alias("times_"), F.any_value("embedding").alias("embedding"))
+    reps, without = numbered(work.keep(reps.withColumn("dim_", F.size("embedding")), "distinct"), ["a_", "b_"], rows.select("vec_id"), work)
+    cells = work.keep(_assigned(reps, _fitted(reps, trees, leaf, spill, least)), "leaves")
+    blocks = F.ceil(F.count("*") / F.least(F.lit(block), F.greatest(F.lit(256), F.floor(F.lit(1 << 21) / F.col("dim_"))))).cast("int")
+    marked = F.explode(F.arrays_zip(F.col("own_").alias("leaf_"), F.col("marks_").alias("mark_"))).alias("at_")
     # vectors of one mark before the leaf met in the leaf of that mark, so their blocks are compared with those of others alone
-    count = cells.groupBy("leaf_", "mark_").agg(F.ceil(F.count("*") / block).cast("int").alias("n_"))
-    count = count.groupBy("leaf_").agg(F.collect_list(F.struct("mark_", "n_")).alias("marks_"))
-    cells = cells.join(count, "leaf_").withColumn("own_n_", F.expr("filter(marks_, m -> m.mark_ = mark_)[0].n_"))
-    cells = cells.withColumn("start_", F.expr("aggregate(filter(marks_, m -> m.mark_ < mark_), 0, (s, m) -> s + m.n_)"))
-    cells = cells.withColumn("block_", F.col("start_") + F.pmod(F.xxhash64("node_"), F.col("own_n_")).cast("int"))
-    others = "filter(sequence(0, aggregate(marks_, 0, (s, m) -> s + m.n_) - 1), o -> mark_ = leaf_ or o < start_ or o >= start_ + own_n_)"
-    every = F.expr(f"transform({others}, o -> named_struct('one_', least(o, block_), 'two_', greatest(o, block_)))")
-    cells = cells.withColumn("cell_", F.explode(every)).select("leaf_", "cell_.*", "block_", "node_", "times_", "own_", "vec_")
-    found = cells.groupBy("leaf_", "one_", "two_").applyInArrow(_compare(least), "node_ long, n_ long, root_ long")
+    count = cells.select("dim_", marked).select("dim_", "at_.*").groupBy("dim_", "leaf_", "mark_").agg(blocks.alias("n_"))
+    count = count.groupBy("dim_", "leaf_").agg(F.collect_list(F.struct("mark_", "n_")).alias("list_"), F.sum("n_").alias("of_")).where("of_ > 1")
+    x = cells.select("dim_", "node_", "times_", "own_", "embedding", marked).select("dim_", "node_", "times_", "own_", "embedding", "at_.*")
+    x = x.join(small(work.keep(count.drop("of_"), "large-leaves")), ["dim_", "leaf_"], "left")
+    x = x.withColumn("own_n_", F.expr("filter(list_, m -> m.mark_ = mark_)[0].n_"))
+    x = x.withColumn("start_", F.expr("aggregate(filter(list_, m -> m.mark_ < mark_), 0, (s, m) -> s + m.n_)"))
+    x = x.withColumn("block_", F.coalesce(F.col("start_") + F.pmod(F.xxhash64("node_"), F.col("own_n_")).cast("int"), F.lit(0)))
+    others = "filter(sequence(0, aggregate(list_, 0, (s, m) -> s + m.n_) - 1), o -> mark_ = leaf_ or o < start_ or o >= start_ + own_n_)"
+    every = F.expr(f"if(list_ is null, array(named_struct('one_', 0, 'two_', 0)), transform({others}, o -> named_struct('one_', least(o, block_), 'two_', greatest(o, block_))))")
+    x = x.withColumn("cell_", F.explode(every)).select("dim_", "leaf_", "cell_.*", "block_", "node_", "times_", "own_", "embedding")
+    found = x.groupBy("dim_", "leaf_", "one_", "two_").applyInArrow(_compare(least), "node_ long, n_ long, root_ long")
     found = work.keep(found, "links")
-    comps = work.keep(components(found.select(F.col("node_").alias("u_"), F.col("root_").alias("v_")), work), "components")
+    work.drop(cells)
+    comps = by_id(work.keep(components(found.select(F.col("node_").alias("u_"), F.col("root_").alias("v_")), work), "components"), without)
     sums = found.groupBy("node_").agg(F.sum("n_").alias("n_"))
+    in_one = F.col("found_").isNotNull() if without is not None else F.col("comp_").isNotNull()
     classes = reps.select("a_", "b_", "node_", "times_").join(sums, "node_", "left").join(comps, "node_", "left")
-    classes = classes.select("a_", "b_", (F.col("times_") - 1 + F.coalesce("n_", F.lit(0))).alias("n_links"), F.coalesce("comp_", "node_").alias("c_"))
-    out = rows.where(F.col("embedding").isNotNull()).select("vec_id", "a_", "b_").join(classes, ["a_", "b_"]).select("vec_id", "n_links", F.when(F.col("c_") < NO_ID, F.col("c_")).alias("component_id"))
+    classes = classes.select("a_", "b_", "times_", (F.col("times_") - 1 + F.coalesce("n_", F.lit(0))).alias("n_links"), F.when(in_one, F.col("comp_")).otherwise(F.col("node_")).alias("component_id"))
+    known = rows.where(F.col("embedding").isNotNull()).select("vec_id", "a_", "b_")
+    out = join_hot(known, work.keep(classes, "classes"), ["a_", "b_"], "times_", vectors.count()).select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where(F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

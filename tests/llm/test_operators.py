@@ -171,6 +171,17 @@ def test_near_duplicates_without_ids(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "z"), (None, None)]
     got = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {(None, 3): 2, (3, 3): 2, (None, None): 2}
+    long = lambda p, n: " ".join([*(f"{p}{i}" for i in range(60)), f"end{n}"])
+    rows = [(None, long("a", 0)), (None, long("a", 1)), (None, long("b", 0)), (9, long("b", 1)), (-4, long("c", 0)), (None, long("c", 0))]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, None): 2, (None, 9): 1, (9, 9): 1, (-4, -4): 1, (None, -4): 1}
+
+
+def test_near_duplicates_with_large_ids(spark):
+    long = lambda n: " ".join([*(f"w{i}" for i in range(60)), f"end{n}"])
+    rows = [(2**63 - 1, long(0)), (2**62 + 5, long(1)), (2**62 + 6, "same text"), (2**62 + 7, "same  text"), (-(2**63), "own")]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2**63 - 1: 2**62 + 5, 2**62 + 5: 2**62 + 5, 2**62 + 6: 2**62 + 6, 2**62 + 7: 2**62 + 6, -(2**63): -(2**63)}
 
 
 def test_components(spark):
@@ -304,6 +315,46 @@ def test_vectors(spark):
     assert got[None].component_id == 0 and rpforest.near_vectors(df.limit(0)).count() == 0
 
 
+def brute_links(rows, least=0.95):
+    """n_links and component of each (id, vector), compared within its dimension."""
+    ids, n, up = [i for i, _ in rows], Counter(), {i: i for i, _ in rows}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for dim in {len(v) for _, v in rows}:
+        own = [(i, v) for i, v in rows if len(v) == dim]
+        link = near_vectors_brute(np.array([v for _, v in own], np.float64), least)
+        for a, b in zip(*np.nonzero(np.triu(link, 1))):
+            i, j = own[a][0], own[b][0]
+            n[i] += 1
+            n[j] += 1
+            x, y = top(i), top(j)
+            up[max(x, y)] = min(x, y)
+    return {i: (n[i], top(i), top(i) == i) for i in ids}
+
+
+def test_vectors_of_all_dimensions_and_large_ids(spark):
+    """Ids up to the last 64-bit ones; two dimensions with a forest each, one with a leaf alone; all columns by brute force."""
+    rng, rows, big = np.random.default_rng(9), [], 2**63 - 1
+    for dim, n in ((16, 300), (8, 200), (2, 6)):
+        centres = rng.normal(size=(n // 4, dim))
+        for k in range(n):
+            rows.append((big - len(rows), (centres[k % len(centres)] + 0.03 * rng.normal(size=dim)).tolist()))
+    rows += [(-(2**63), rows[0][1]), (-5, [1.0, 1.0]), (2**62 + 5, [1.0, 1.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rpforest.near_vectors(df, leaf=32, block=48).collect()}
+    assert got == brute_links(rows)
+
+
+def test_vectors_without_ids(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.01]), (7, [0.0, 1.0]), (None, [0.01, 1.0]), (None, [-1.0, 0.0])]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in rpforest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == {(None, 1, None, True): 2, (7, 1, 7, True): 1, (None, 1, 7, False): 1, (None, 0, None, True): 1}
+
+
 def test_vectors_of_the_table(spark):
     rows = table(spark, SF, "embeddings").collect()
     x = np.array([r.embedding for r in rows], np.float64)
