@@ -51,6 +51,20 @@ def test_exact_rules(spark):
     assert (5, 5, 3, True) in got and (6, 5, 3, False) in got
 
 
+def test_exact_compares_contents_where_digests_clash(spark, monkeypatch):
+    monkeypatch.setattr(exact, "_digests", lambda content: [F.lit("same").alias("text_sha256"), F.length(content).cast("long").alias("check_")])
+    rows = [(1, "ab"), (2, "a b"), (3, "cd"), (4, "c  d"), (5, "cd"), (6, "xyz"), (6, "xyz"), (None, "ab")]
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 2, 3, False): 1, (2, 2, 3, True): 1, (None, 2, 3, False): 1, (3, 4, 3, False): 1, (4, 4, 3, True): 1, (5, 4, 3, False): 1, (6, 6, 2, True): 1, (6, 6, 2, False): 1}
+
+
+def test_exact_keeps_one_of_repeated_rows_and_splits_hot_groups(spark):
+    rows = [(7, "hot text")] * 3000 + [(None, "n")] * 5 + [(2**63 - 1, "q"), (-(2**63), "q")]
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    low, high = -(2**63), 2**63 - 1
+    assert got == {(7, 7, 3000, True): 1, (7, 7, 3000, False): 2999, (None, None, 5, True): 1, (None, None, 5, False): 4, (low, low, 2, True): 1, (high, low, 2, False): 1}
+
+
 def test_mix_meets_targets(spark):
     x = mixing.mix(table(spark, SF, "documents")).toPandas()
     assert (x.taken <= 2 * x["size"]).all() and x.target.ge(0).all()
