@@ -50,10 +50,11 @@ class Scratch:
         importable(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", *by: str) -> DataFrame:
+        """``by`` names columns that get a folder for each value, so reading one value reads its files alone."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, strip_space, text_or_empty
+from .common import Scratch, ascii_lower, join_hot, small, strip_space, text_or_empty
 
 KEY = ["a_", "b_"]
 
@@ -21,16 +21,19 @@ def digest(key: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of line keys, each with the number of documents seen and the largest id among them.
-
-    ``add`` merges a batch against every run: keys that no run holds (anti-join) come in as new rows, the others as
-    additions to known rows; both form the batch's own sorted run at level 0. ``fanout`` runs of one level are
-    compacted into one of the next, so a batch meets at most fanout - 1 runs a level and rows are rewritten once a
-    level. Runs are Parquet in the shared folder, hash-partitioned and sorted by key.
+    """Levelled sorted runs of line keys. Batches come in descending order of ids, so the batch that first shows a key
+    holds the largest id with it.
+
+    ``add`` merge-anti-joins a batch with the runs. A key that no run holds is new: it comes in with its count and its
+    largest id, which no later batch can change. A key that the runs hold adds its count alone, and nothing once
+    ``enough`` documents are counted, so lines on very many documents cost later batches no row. The rows that came in
+    form the batch's own sorted run at level 0. ``fanout`` runs of one level are compacted into one of the next, so a
+    batch meets at most fanout - 1 runs a level and rows are rewritten once a level. Runs are Parquet in the shared
+    folder, hash-partitioned and sorted by key.
     """
 
-    def __init__(self, work: Scratch, fanout: int = 4):
-        self.work, self.fanout, self.levels = work, fanout, [[]]
+    def __init__(self, work: Scratch, enough: int, fanout: int = 4):
+        self.work, self.enough, self.fanout, self.levels = work, enough, fanout, [[]]
 
     def _write(self, rows: DataFrame, level: int) -> DataFrame:
         return self.work.keep(rows.repartition(*KEY).sortWithinPartitions(*KEY), f"run-level{level}")
@@ -40,7 +43,7 @@ class LineRuns:
         rows = runs[0]
         for r in runs[1:]:
             rows = rows.unionByName(r)
-        return rows.groupBy(*KEY).agg(F.sum("docs_").alias("docs_"), F.max("last_").alias("last_"), F.max("new_").alias("new_"))
+        return rows.groupBy(*KEY).agg(F.sum("docs_").alias("docs_"), F.max("last_").alias("last_"))
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -49,17 +52,14 @@ class LineRuns:
         """Takes a batch of (doc_id, a_, b_), one row per document and key; returns the run that it became."""
         own = batch.groupBy(*KEY).agg(F.count("*").alias("docs_"), F.max("doc_id").alias("last_"))
         if known := self.runs():
-            seen = known[0].select(*KEY)
-            for r in known[1:]:
-                seen = seen.unionByName(r.select(*KEY))
             own = self.work.keep(own, "batch")
-            fresh = own.join(seen, KEY, "left_anti").withColumn("new_", F.lit(1))
-            own_ = fresh.unionByName(own.join(seen, KEY, "left_semi").withColumn("new_", F.lit(0)))
-        else:
-            own_ = own.withColumn("new_", F.lit(1))
-        run = self._write(own_, 0)
-        if known:
+            held = self._merged(known).select(*KEY, F.col("docs_").alias("held_"))
+            fresh = own.join(held, KEY, "left_anti")
+            more = own.join(held.where(F.col("held_") < self.enough), KEY).select(*KEY, "docs_", F.lit(None).cast("long").alias("last_"))
+            run = self._write(fresh.unionByName(more), 0)
             self.work.drop(own)
+        else:
+            run = self._write(own, 0)
         self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -71,34 +71,46 @@ class LineRuns:
             level += 1
         return run
 
-    def totals(self) -> DataFrame:
-        return self._merged(self.runs())
+    def common(self) -> DataFrame:
+        """The keys of at least ``enough`` documents, with the largest id among those (null where none has an id)."""
+        return self._merged(self.runs()).where(F.col("docs_") >= self.enough)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, batches: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, batches: int = 6, fanout: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped and the text of the lines that stay.
 
-    Keys of at least ``least_chars`` code points found in at least ``least_docs`` rows lose all their lines, except
-    those in the largest id that holds the key. The keys of all documents come in ``batches`` by a hash of the id and
-    go through ``LineRuns``. Each document then gets the digests that it loses and filters its own lines, so lines
-    keep their order and no text is exploded. A line common to many documents is counted by partial aggregation; the
-    join that hands its digest back is skewed on the key alone and is split by adaptive execution.
+    Keys of at least ``least_chars`` code points found in at least ``least_docs`` documents lose all their lines, except
+    those in the largest id that holds the key. The keys of all documents come in ``batches`` by ranges of the id, the
+    highest first, and go through ``LineRuns``. Each document then gets the digests that it loses and filters its own
+    lines, so lines keep their order and no text is exploded. A line common to many documents is counted by partial
+    aggregation, and its digest goes back by broadcast (``join_hot``).
 
-    Null and empty texts are one empty line. A row counts as one document, so rows that repeat an id count each and
-    keep their lines together; rows with a null id never hold the last copy and lose nothing. Extra columns are
-    ignored. An empty table gives an empty one.
+    Null and empty texts are one empty line. Rows that repeat an id are one document: a key counts once for them, and
+    they keep its lines together. A row with a null id is a document of its own, never holds the last copy and loses
+    nothing. Extra columns are ignored. An empty table gives an empty one.
     """
     work = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text_"))
+    ids = base.where(F.col("doc_id").isNotNull()).select("doc_id")
+    cuts = ids.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     long_keys = F.filter(line_keys(F.col("text_")), lambda k: F.length(k) >= least_chars)
     rows = base.select("doc_id", F.explode(F.array_distinct(F.transform(long_keys, digest))).alias("k_")).select("doc_id", "k_.*")
-    keys = work.keep(rows.withColumn("batch_", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "keys")
-    runs = LineRuns(work)
-    for i in range(batches):
+    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.where(F.col("doc_id").isNotNull()).distinct().unionByName(rows.where(F.col("doc_id").isNull()))
+    # descending: batch 0 has the highest ids, the last one also the rows without an id
+    above = sum((F.when(F.col("doc_id") > c, 0).otherwise(1) for c in cuts), F.lit(0))
+    keys = work.keep(rows.withColumn("batch_", above.cast("int")), "keys", "batch_")
+    runs = LineRuns(work, least_docs, fanout)
+    for i in range(len(cuts) + 1):
         runs.add(keys.where(F.col("batch_") == i).drop("batch_"))
-    common = work.keep(runs.totals().where(F.col("docs_") >= least_docs).select(*KEY, "last_"), "common")
+    common = runs.common().where(F.col("last_").isNotNull())
+    common = work.keep(common.select(*KEY, "last_", "docs_"), "common")
     work.drop(*runs.runs())
-    lost = keys.join(common, KEY).where(F.col("doc_id") < F.col("last_")).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("lost_"))
+    # docs_ stops growing at enough, so how many rows a key has is counted for the join
+    held = keys.drop("batch_").join(small(common.select(*KEY)), KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("rows_"))
+    heads = work.keep(common.drop("docs_").join(held, KEY), "heads")
+    lost = join_hot(keys.drop("batch_"), heads, KEY, "rows_", keys.count()).where(F.col("doc_id") < F.col("last_"))
+    lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("lost_"))
     x = base.join(lost, "doc_id", "left")
     lines = F.split("text_", "\n")
     drops = F.zip_with(lines, line_keys(F.col("text_")), lambda line, k: F.when((F.length(k) < least_chars) | ~F.array_contains("lost_", digest(k)), line))
@@ -107,10 +119,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 ORACLE = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, rid, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
 k AS (SELECT *, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l),
-c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id < c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
-SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT CASE WHEN doc_id IS NULL THEN 'row ' || rid ELSE doc_id::VARCHAR END) >= 3),
+m AS (SELECT k.*, c.key IS NOT NULL AND coalesce(k.doc_id < c.last, false) AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid
 """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, chat, components, exact, html_template, jaccard, lines, mixing, pii, quality, queries, rpforest
 from lodestone.llm.common import Scratch, table
-from tests.oracle import same
+from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,11 +85,24 @@ def test_line_rules(spark):
 
 
 def test_line_runs_are_compacted(spark):
-    runs = lines.LineRuns(Scratch(spark), fanout=2)
-    for i in range(5):
-        runs.add(spark.createDataFrame([(i, k, k) for k in range(i, i + 3)], "doc_id long, a_ long, b_ long"))
+    """A key comes in with its largest id once, adds counts up to what is enough, and then nothing."""
+    runs, came = lines.LineRuns(Scratch(spark), enough=2, fanout=2), []
+    for i in range(5, 0, -1):
+        run = runs.add(spark.createDataFrame([(i, k, k) for k in [*range(i, i + 3), 100]], "doc_id long, a_ long, b_ long"))
+        came.append({} if runs.levels[0] == [] else {r.a_: (r.docs_, r.last_) for r in run.collect()})
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert {r.a_: (r.docs_, r.last_) for r in runs.totals().collect()} == {k: (sum(i <= k < i + 3 for i in range(5)), min(k, 4)) for k in range(7)}
+    assert came[4] == {1: (1, 1), 2: (1, None)}  # 3 and 100 are on enough documents by now
+    assert {r.a_: r.last_ for r in runs.common().collect()} == {2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 100: 5}
+
+
+def test_lines_of_repeated_and_missing_ids(spark, tmp_path):
+    a, b, c, d = (f"line {x} of more than twenty characters" for x in "abcd")
+    rows = [(1, f"{a}\n{b}"), (1, f"{a}\n{c}"), (2, f"{b}\n{a}"), (None, f"{c}\n{a}"), (None, f"{c}\nx"), (-(2**63), f"{c}\n{d}"), (2**63 - 1, f"{d}\n{d}"), (5, d), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for n in (1, 3):
+        x = lines.dedup_lines(df, batches=n).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+        assert Counter(map(tuple, x.collect())) == Counter(connect(str(tmp_path)).sql(lines.ORACLE).fetchall())
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
