@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import by_hash, importable, text_or_empty, trimmed
 from .words import Words, mix, pieces, slices
 
-#: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on.
-BITS, BINS, RANK = 15, 12, 8
+#: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on. A row that the machine
+#: learns from brings at most SLOTS words to the driver, the heaviest ones.
+BITS, BINS, RANK, SLOTS = 15, 12, 8, 1024
 
 STATS = (
     "chars", "words", "word_length", "upper", "digits", "marks", "symbols", "beyond_ascii", "distinct", "distinct_runs",
@@ -132,6 +133,21 @@ def _raw(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _declared(docs: DataFrame) -> Column:
+    """n_chars, or null where there is no such column."""
+    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("declared_")
+
+
+def _heaviest(row: np.ndarray, slot: np.ndarray, weight: np.ndarray, n: int) -> tuple:
+    """The SLOTS entries of the greatest weight of each row."""
+    if not len(row) or np.bincount(row, minlength=n).max() <= SLOTS:
+        return row, slot, weight
+    order = np.lexsort((slot, -weight, row))
+    first = np.searchsorted(row, np.arange(n))
+    kept = np.sort(order[np.arange(len(row)) - first[row] < SLOTS])
+    return row[kept], slot[kept], weight[kept]
+
+
 def held_out(doc_id: Column) -> Column:
     """A third of the ids, by checksum; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -140,13 +156,13 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: str = "quality") -> Machine:
     """Fits a machine to at most ``sample`` labelled rows that aren't held out: those with the smallest hashes of their id.
 
-    The bound is what reaches the driver: word slots and statistics, no text. Rows with a null label or id are left
-    out. Without labelled rows, or with one class alone, the machine gives the share of label 1 (0.5 without rows).
+    The bound is what reaches the driver: at most SLOTS word slots a row and statistics, no text. Rows with a null label
+    or id are left out. A table without n_chars is taken as one where it is null. Without labelled rows, or with one class alone, the machine gives the share of label 1 (0.5 without rows).
     """
     importable(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y_")).where("doc_id is not null and y_ is not null")
     rows = by_hash(rows.where(~held_out(F.col("doc_id"))), sample, "doc_id", "y_")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text_"), F.col("n_chars").cast("long").alias("declared_"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text_"), _declared(docs))
     picked = base.join(F.broadcast(rows), "doc_id")
 
     def run(batches):
@@ -155,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
             done = 0
             for row, slot, weight, x in features(_raw(b.column(1)), b.column(2).to_pylist()):
                 n = len(x)
+                row, slot, weight = _heaviest(row, slot, weight, n)
                 ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(done, n), pa.array(y[done : done + n], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slot.astype(np.int32))),
@@ -180,13 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher for better) and predicted.
 
-    Only the text and n_chars are read; a null n_chars is taken from the text. Null and empty texts score as texts
+    Only the text and n_chars are read; a null n_chars, or a table without it, takes it from the text. Null and empty texts score as texts
     without words. Null and repeated ids stay as they are; extra columns are ignored; an empty table gives an empty
     one. Nothing is shuffled; the machine (1.3 MB, whatever the input) is broadcast.
     """
     importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty("text").alias("text_"), F.col("n_chars").cast("long").alias("declared_"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty("text").alias("text_"), _declared(docs))
 
     def run(batches):
         for b in slices(batches, column=2):

@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -339,6 +341,58 @@ def test_quality_on_held_out_rows(spark):
     assert (x.quality == x.predicted).mean() > 0.98 and x[x.quality == 1].predicted.mean() > 0.99
 
 
+def plain_score(machine, text, declared):
+    """The score of one text, word by word and pair by pair: no arrays over texts, no sum-of-squares identity."""
+    from lodestone.llm import words as W
+
+    bits, base = (1 << 64) - 1, int(W._BASE)
+
+    def finish(x):
+        x = ((x ^ x >> 30) * int(W._MIX1)) & bits
+        x = ((x ^ x >> 27) * int(W._MIX2)) & bits
+        return x ^ x >> 31
+
+    raw = (text or "").encode()
+    found = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    hashes = [finish((sum(int(W._BYTE[c]) * pow(base, i, 1 << 64) for i, c in enumerate(w.translate(bytes(W._LOWER)))) + len(w)) & bits) for w in found]
+    times = Counter(h >> 24 for h in hashes)
+    length = math.sqrt(sum((1 + math.log(n)) ** 2 for n in times.values()))
+    x = [(k >> 40 - quality.BITS, (1 + math.log(n)) / length) for k, n in times.items()]
+    runs = {finish((a * 31 + b * 37 + c) & bits) >> 24 for a, b, c in zip(hashes, hashes[1:], hashes[2:])}
+    n, size, many = len(found), len(raw), lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    marks, symbols = b".,;:!?'\"()-", [c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,;:!?'\"()-"]
+    upper, lower = range(65, 91), range(97, 123)
+    stats = [
+        math.log1p(size), math.log1p(n), sum(map(len, found)) / max(n, 1), many(upper) / max(many([*upper, *lower]), 1), many(b"0123456789") / max(size, 1),
+        many(marks) / max(size, 1), many(symbols) / max(n, 1), many(range(192, 256)) / max(size, 1), len(times) / max(n, 1),
+        len(runs) / max(n - 2, 1) if n > 2 else 1.0, max(times.values(), default=0) / max(n, 1), sum(a == b for a, b in zip(hashes, hashes[1:])) / max(n, 1),
+        math.log1p(size / (raw.count(b"\n") + 1)), many(marks) / max(n, 1), many(b".!?") / max(n, 1), math.log1p(size if declared is None or declared < 0 else declared),
+    ]
+    x += [((1 << quality.BITS) + j * quality.BINS + sum(e < v for e in machine.edges[j]), 0.5) for j, v in enumerate(stats)]
+    z = machine.bias + sum(float(machine.w[i]) * v for i, v in x)
+    if len(x) < 60:
+        z += sum(float(machine.v[i].astype(float) @ machine.v[j].astype(float)) * v * u for k, (i, v) in enumerate(x) for j, u in x[:k])
+    else:
+        rows = np.array([machine.v[i].astype(float) * v for i, v in x])
+        product = rows @ rows.T
+        z += np.tril(product, -1).sum()
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_quality_equals_a_plain_scorer(spark):
+    """Every row of the query's table, and odd texts, against a scorer that goes word by word and pair by pair."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    machine = quality.train(docs, labels)
+    got = {r.doc_id: r for r in queries.op1_quality(spark, SF).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id].score == pytest.approx(plain_score(machine, r.text, r.n_chars), abs=2e-3), r.doc_id
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    odd = [(1, None), (2, ""), (3, "one"), (4, "a\x0bb \t\n"), (5, "é 😀 " * 50), (6, "w " * 200_000), (7, "A.B,c! " * 9)]
+    df = spark.createDataFrame(odd, "doc_id long, text string")
+    assert all(r.score == pytest.approx(plain_score(machine, dict(odd)[r.doc_id], None), abs=2e-3) for r in quality.score(df, machine).collect())
+    assert quality.train(df, spark.createDataFrame([(i, i % 2) for i in range(1, 8)], "doc_id long, quality int")).bias is not None
+
+
 def test_quality_interactions_are_linear_time_identity():
     m = quality.Machine(np.zeros((len(quality.STATS), quality.BINS - 1)))
     rng = np.random.default_rng(0)
