@@ -139,7 +139,7 @@ def join_hot(left: DataFrame, heads: DataFrame, on: str | list[str], count: str,
 def small(df: DataFrame, rows: int = 100_000, size: int = 256 << 20) -> DataFrame:
     """Marks a written table for broadcast if it has at most ``rows`` rows and its files at most ``size`` bytes; a larger
     one is left to a shuffled join."""
-    files = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    files = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows and (files <= size or rows <= 1000) else df
 
 

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestone.llm import quality
 from lodestone.llm.common import Scratch, table
@@ -79,3 +81,34 @@ def test_near_copies_are_dropped_by_row(spark):
     rows = [(None, far + " x"), (None, far + " y"), (5, near(0)), (5, near(1))]
     got = by_id_and_text(spark, corpus_pipeline.drop_near_copies, rows)
     assert Counter(i for i, _ in got.elements()) == {None: 1, 5: 1}
+
+
+def odd(spark):
+    """Nulls in every column, empty and very long texts, ties and repeated rows, and columns named as the stages name theirs."""
+    long = "word " * 60_000
+    rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "abcdefg", None, None, None), (None, "x y z", "en", "s", 5), (None, None, None, None, None), (None, None, None, "s", 0)]
+    rows += [(3, "", "en", "s", 0), (4, long, "en", "t", len(long)), (5, long + "end", "en", "t", 7), (2**63 - 1, "own text of this row", "fr", "t", 20)]
+    df = spark.createDataFrame(rows, table(spark, SF, "documents").schema)
+    return df.withColumns({c: F.lit(1) for c in ("times", "copy_", "i_", "s_", "gone_", "twice_", "row_", "id_", "source_", "times_", "kept", "text_", "size", "h_")})
+
+
+def test_stages_on_odd_rows(spark):
+    df = odd(spark)
+    ids = lambda x: Counter((r.doc_id, r.text) for r in x.collect())
+    all_rows, long = ids(df), "word " * 60_000
+    by_name = dict(corpus_pipeline.STAGES)
+    got = {n: by_name[n](spark, df, SF) for n, _ in corpus_pipeline.STAGES}
+    for name, x in list(got.items())[:-1]:
+        assert x.columns == df.columns and not ids(x).keys() - all_rows.keys(), name
+    copies = ids(got["exact dedup"])
+    assert copies == {(1, "a b c d e f g"): 1, (None, "x y z"): 1, (3, ""): 1, (4, long): 1, (5, long + "end"): 1, (2**63 - 1, "own text of this row"): 1}
+    near = ids(got["n-gram Jaccard join"])
+    assert near[(1, "a b c d e f g")] == 1 and near[(2, "abcdefg")] == 1 and near[(None, None)] == 2 and near[(4, long)] + near[(5, long + "end")] == (1 if near_brute({4: long, 5: long + "end"})[5][1] == 4 else 2)
+    mixed = ids(got["mixing sources to target weights"])
+    assert all(n <= 2 * all_rows[r] for r, n in mixed.items())
+    assert got["BPE encoding and decoding"].count() == df.count()
+
+
+def test_stages_on_an_empty_table(spark):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd(spark).limit(0), SF).count() == 0, name
