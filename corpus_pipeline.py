@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over documents, each written to the shared folder and reread before the next."""
+"""The corpus pipeline: stages over documents, each written to the shared folder and reread before the next.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, an empty table, and extra columns of any
+name, which all but the last hand on.
+"""
 
 from __future__ import annotations
 
@@ -6,51 +10,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact, jaccard, mixing, quality
-from lodestone.llm.common import Scratch, small, table, text_or_empty, without_space
+from lodestone.llm.common import Scratch, fresh, small, table
 from lodestone.llm.queries import vocabulary
 
 
+def _by_row(docs: DataFrame, work: Scratch) -> tuple[DataFrame, str]:
+    """The documents and a column that tells their rows apart: doc_id, or where an id is missing or repeated, numbers in
+    the order of the ids, rows without one last."""
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return docs, "doc_id"
+    key = fresh("row_", docs)
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn(key, F.monotonically_increasing_id())
+    return work.keep(rows, "numbered"), key
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` isn't in the one column of ``gone``, a written table."""
+    name = fresh("gone_", docs)
+    gone = small(gone.select(F.col(gone.columns[0]).alias(name)), 1_000_000)
+    return docs.join(gone, F.col(key).cast("long") == F.col(name), "left_anti")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; it learns from the labels of those given."""
+    """Documents that the quality classifier doesn't reject; it learns from the labels of those given. A null text is
+    scored as an empty one."""
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, whether ids are missing, repeated or unique."""
-    found = Scratch(spark).keep(exact.marked(docs).select("doc_id", "len_", "text_sha256", "kept"), "groups")
-    gone = small(found.where(~F.col("kept")).select(F.col("doc_id").alias("id_"), F.col("len_").alias("n_"), F.col("text_sha256").alias("gone_")).distinct(), 1_000_000)
-    text = text_or_empty("text")
-    keyed = docs.withColumn("sha_", F.sha2(without_space(text), 256))
-    out = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.length(text) == F.col("n_")) & (F.col("sha_") == F.col("gone_")), "left_anti")
-    again = found.where("kept").groupBy("text_sha256").count().where("count > 1").select(F.col("text_sha256").alias("twice_"))
-    if again.limit(1).count():
-        same = F.col("sha_") == F.col("twice_")
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["sha_"]))
-    return out.select(*docs.columns)
+    """One document of each group of equal texts, the one that ``exact`` keeps; null and empty texts are one group."""
+    work = Scratch(spark)
+    rows, key = _by_row(docs, work)
+    found = work.keep(exact.marked(rows, row_col=key).select("row_", "kept"), "groups")
+    return _without(rows, key, found.where("not kept").select("row_")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies. Where an id is missing or repeated, rows are
-    numbered in the order of their ids, those without one last, and the numbers stand for the ids."""
-    work, key, rows = Scratch(spark), "doc_id", docs
-    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
-        key = "row_"
-        rows = work.keep(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn(key, F.monotonically_increasing_id()), "numbered")
+    compared by their numbers; documents without words are alone."""
+    work = Scratch(spark)
+    rows, key = _by_row(docs, work)
     found = work.keep(jaccard.near_duplicates(rows, id_col=key), "components")
-    gone = small(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_")), 1_000_000)
-    return rows.join(gone, F.col(key) == F.col("gone_"), "left_anti").select(*docs.columns)
+    return _without(rows, key, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken (not at all, once or twice)."""
-    taken = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias("i_"), F.col("source").alias("s_"), "times").distinct()
+    """The mix: each document as often as it is taken (not at all, once or twice). A null source is a source; rows that
+    repeat an id are taken alike; a document without words is taken as its id's hash falls."""
+    i, s, n, copy = (fresh(c, docs) for c in ("id_", "source_", "times_", "copy_"))
+    taken = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("times").alias(n)).distinct()
     taken = small(Scratch(spark).keep(taken, "taken"), 1_000_000)
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("i_")) & F.col("source").eqNullSafe(F.col("s_")))
-    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    out = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, with their count and digests."""
+    """The ids of each document, with their count and digests; null and empty texts have no ids."""
     return bpe.digest_columns(bpe.encode(docs, vocabulary()))
 
 
