@@ -1,17 +1,24 @@
-"""HTML main text by equivalence classes of tokens: pages of a host share a template, and its slots hold the text."""
+"""HTML main text by equivalence classes of tokens: pages of a host share a template, and its slots hold the text.
+
+A page's tokens are its elements, each named by the path of open elements, and its blocks of text, each with the path it
+stands under. Tokens that occur equally often on every page of a host form a class; classes of at least two tokens
+that nest in one place of another make the template, and what lies between are its slots.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import html as htmllib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, text_or_empty
+from .common import Scratch, join_hot, small, text_or_empty, trimmed
+from .words import slices
 
 #: Elements by what they do.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "noframes")
@@ -23,208 +30,378 @@ MAIN = frozenset(("article", "main"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: The start of these closes an open paragraph, too.
 ENDS_P = frozenset("address article aside blockquote dir div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Words of a class or id that mark what isn't main text.
+#: Whole class or id names that mark what isn't main text, anywhere.
+CHROME_EXACT = frozenset(
+    "ad ads advert advertisement advertising sponsor sponsored promo banner sidebar nav navigation menu breadcrumb breadcrumbs footer masthead cookie-notice cookie-banner notice popup modal"
+    " newsletter subscribe comment comments comment-list commentlist disqus disqus_thread respond share sharing social related widget toolbar pagination pager".split()
+)
+#: Words of a class or id that mark it outside main slots.
 CHROME_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|nav\w*|menu|breadcrumbs?|header|footer|masthead|cookies?|consent|notices?|popup|modal"
     r"|newsletter|subscribe|comments?|commentlist|disqus|respond|share|sharing|social|related|widget|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An open element of these keeps what is outside it from being closed by the start of another element.
+_HOLDS = frozenset(("ul", "ol", "table", "dl", "div", "article", "section", "td"))
+
+#: How an element is marked: not at all, by a word of its name, or by its tag or its whole name.
+PLAIN, WEAK, STRONG = 0, 1, 2
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _marked(tag: str, name: str) -> int:
+    if tag in CHROME or name and any(n in CHROME_EXACT for n in name.lower().split()):
+        return STRONG
+    return WEAK if name and CHROME_NAMES.search(name) else PLAIN
+
+
+def pieces(page: str):
+    """A page in one pass: ("text", text), ("tag", end, tag, attributes) and ("raw", tag) for an element whose inside isn't markup.
+
+    Comments and declarations are left out. A ">" inside quotes doesn't end a tag; once a quote is found that nothing
+    closes, quotes mean nothing on the rest of the page. A "<" that starts no tag is text. Time is linear in the page.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        if start > at:
+            yield "text", page[at:start]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif start > last:
+            at = start
+            break
+        elif m := _TAG.match(page, start):
+            close = quotes and _ATTRIBUTES.match(page, m.end())
+            quotes = bool(close)
+            end = close.end() - 1 if close else page.find(">", m.end())
+            tag, at = m[2].lower(), end + 1
+            if tag in _RAW_END and not m[1]:
+                found = _RAW_END[tag].search(page, at)
+                at = found.end() if found else len(page)
+                yield "raw", tag
+            else:
+                yield "tag", bool(m[1]), tag, page[m.end() : end]
+        elif page[start + 1] in "!?/":
+            at = page.find(">", start) + 1
+        else:
+            yield "text", "<"
+            at = start + 1
+    if at < len(page):
+        yield "text", page[at:]
 
 
 def walk(page: str):
-    """What a page holds in order: ("open", path, depth, tag, chrome), ("close", depth), ("break",) and ("text", path, text).
+    """What a page holds in order: ("open", path, depth, tag, mark, parent), ("close", depth), ("break",) and ("text", path, text).
 
-    The path names the open elements other than inline ones. Missing end tags are implied as browsers do for
-    paragraphs, lists and tables; an end tag without its start is ignored.
+    A path is a 64-bit hash of the open elements other than inline ones, with their class, id and role. Missing end tags
+    are implied as browsers do for paragraphs, lists and tables; an end tag without its start is ignored. Where the open
+    elements of each tag are is kept, so no step searches the stack.
     """
-    stack: list[tuple[str, str]] = [("", "")]
-    for m in _TOKEN.finditer(page):
-        s, tag = m.group(), m["tag"]
-        if s[0] != "<" or s == "<":
-            yield ("text", stack[-1][1], s)
-        elif tag is None:
-            if m["raw"]:
-                yield ("break",) if m["raw"].lower() not in ("svg", "noscript") else ("text", stack[-1][1], " ")
-        elif (tag := tag.lower()) == "br":
-            yield ("text", stack[-1][1], " ")
+    stack: list[tuple[str, int]] = [("", 0)]
+    places: dict[str, list[int]] = defaultdict(list)
+    holds = [0]
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            if tag in _HOLDS:
+                holds.pop()
+
+    for piece in pieces(page):
+        if piece[0] == "text":
+            yield "text", stack[-1][1], piece[1]
+        elif piece[0] == "raw":
+            yield ("text", stack[-1][1], " ") if piece[1] in ("svg", "noscript") else ("break",)
+        elif (tag := piece[2]) == "br":
+            yield "text", stack[-1][1], " "
         elif tag in INLINE:
             pass
-        elif m["end"]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if at:
-                del stack[at:]
-                yield ("close", at)
+        elif piece[1]:
+            if places.get(tag):
+                depth = places[tag][-1]
+                cut(depth)
+                yield "close", depth
             elif tag == "p":
                 yield ("break",)
         else:
-            closed = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closed:
-                    del stack[i:]
-                    yield ("close", i)
-                    break
-                if stack[i][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td"):
-                    break
-            name = " ".join(filter(None, (g for x in _NAME.findall(m["attrs"]) for g in x))) if "=" in m["attrs"] else ""
-            chrome = tag in CHROME or bool(name and CHROME_NAMES.search(name))
-            path = f"{stack[-1][1]}/{tag}" + (f".{'.'.join(name.split())}" if name else "")
-            yield ("open", path, len(stack), tag, chrome)
-            if tag not in VOID and not m["attrs"].endswith("/"):
+            closed = CLOSES.get(tag, frozenset()) | ({"p"} if tag in ENDS_P else set())
+            depth = max((places[t][-1] for t in closed if places.get(t)), default=0)
+            # a holder that is itself closed by the tag doesn't protect itself
+            if depth and depth >= holds[-1]:
+                cut(depth)
+                yield "close", depth
+            attributes = piece[3]
+            name = " ".join(filter(None, (g for x in _NAME.findall(attributes) for g in x))) if "=" in attributes else ""
+            parent = stack[-1][1]
+            path = _hash(parent.to_bytes(8, "little", signed=True), tag.encode(), name.encode(errors="replace"))
+            depth = len(stack)
+            yield "open", path, depth, tag, _marked(tag, name), parent
+            if tag not in VOID and not attributes.endswith("/"):
                 stack.append((tag, path))
+                places[tag].append(depth)
+                if tag in _HOLDS:
+                    holds.append(depth)
             else:
-                yield ("close", len(stack))
+                yield "close", depth
+
+
+def tidy(run: list[str]) -> str:
+    return " ".join(htmllib.unescape("".join(run)).split())
+
+
+def block_token(path: int, text: str) -> int:
+    return _hash(b"text", path.to_bytes(8, "little", signed=True), text.encode(errors="replace"))
 
 
-def _tokens(page: str) -> Counter:
-    """How often each token occurs on a page: element paths, and words with the path that they stand under."""
-    n: Counter = Counter()
+def tokens(page: str) -> dict[int, list]:
+    """token -> [times on the page, parent path, is an element, is an article or main element, mark, characters directly inside]."""
+    found: dict[int, list] = {}
+    run: list[str] = []
+    under = 0
+
+    def flush():
+        if text := tidy(run):
+            x = found.setdefault(block_token(under, text), [0, under, False, False, PLAIN, 0])
+            x[0] += 1
+            x[5] += len(text)
+            if under in found:
+                found[under][5] += len(text)
+        run.clear()
+
     for e in walk(page):
-        if e[0] == "open":
-            n["<" + e[1]] += 1
-        elif e[0] == "text":
-            n.update([f"{w} {e[1]}" for w in htmllib.unescape(e[2]).split()])
-    return n
+        if e[0] == "text":
+            if not run:
+                under = e[1]
+            run.append(e[2])
+        else:
+            flush()
+            if e[0] == "open":
+                x = found.setdefault(e[1], [0, e[5], True, e[3] in MAIN, e[4], 0])
+                x[0] += 1
+    flush()
+    return found
 
 
-def _hash(*x) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little", signed=True)
+#: Three sums of this many bits name an occurrence vector; so many of them add up to less than 63 bits.
+LANE = 36
+STATS = "host string, token long, parent long, element boolean, main boolean, mark int, pages long, chars long, a long, b long, c long"
 
 
-def token_vectors(pages: DataFrame, least: float, chunk: int = 1000) -> DataFrame:
-    """(host, token, pages, vector): on how many pages of its host a token occurs, and a hash of how often on each.
+def token_vectors(pages: DataFrame, held: int = 200_000) -> DataFrame:
+    """(host, token, ...): on how many of its host's pages a token occurs, its characters, and its occurrence vector.
 
-    Two tokens of a host have equal vectors when they occur equally often on every page. A token on at least ``least``
-    of a host's pages is so in some chunk, and a template's tokens are so in all; each chunk reports those alone.
+    The vector of how often a token occurs on each page is told by three sums, over all its occurrences, of a page's
+    random numbers: equal vectors have equal sums, others don't but for chance. Sums are exact however rows are dealt and
+    whatever a worker holds: it adds up to ``held`` tokens before it passes them on. The token 0 stands for the page.
     """
 
     def run(batches):
+        seen: dict = {}
+
         def flush():
-            out = [(h, "", n, 0) for h, n in count.items()] + [(h, t, p, v) for (h, t), (p, v) in seen.items() if p >= least * count[h]]
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["host", "token", "pages", "vector"])
-
-        count: Counter = Counter()
-        seen: dict = defaultdict(lambda: [0, 0])
-        total = 0
-        for b in batches:
-            for host, page, html in zip(*(c.to_pylist() for c in b.columns)):
-                count[host] += 1
-                here = {n: _hash(page, n) for n in range(1, 4)}
-                for t, n in _tokens(html).items():
-                    x = seen[host, t]
-                    x[0] += 1
-                    x[1] ^= here.get(n) or here.setdefault(n, _hash(page, n))
-                total += 1
-                if total >= chunk:
-                    yield flush()
-                    count, total = Counter(), 0
-                    seen = defaultdict(lambda: [0, 0])
-        if total:
+            keys, rows = list(seen), list(seen.values())
+            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
+            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+            cols += [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            cols += [pa.array([r[i] & (1 << LANE) - 1 for r in rows], pa.int64()) for i in (6, 7, 8)]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in STATS.split(", ")])
+
+        for b in slices(batches, 500, 3):
+            for host, x, y, page in zip(*(c.to_pylist() for c in b.columns)):
+                numbers = (x & (1 << LANE) - 1, y & (1 << LANE) - 1, (x >> LANE & (1 << 27) - 1) << 9 | y >> LANE & 511)
+                found = tokens(page)
+                found[0] = [1, 0, False, False, PLAIN, 0]
+                for token, (times, parent, element, main, mark, chars) in found.items():
+                    s = seen.setdefault((host, token), [parent, element, main, mark, 0, 0, 0, 0, 0])
+                    s[4] += 1
+                    s[5] += chars
+                    for i, n in enumerate(numbers):
+                        s[6 + i] += n * times
+            if len(seen) > held:
+                yield flush()
+        if seen:
             yield flush()
 
-    rows = pages.select("host", F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(run, "host string, token string, pages long, vector long")
-    return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    whole = F.xxhash64("page_id", "url", "html")
+    rows = pages.select("host", whole.alias("x"), F.xxhash64(F.lit("other"), whole).alias("y"), "html").mapInArrow(trimmed(run), STATS)
+    first = [F.min(c).alias(c) for c in ("parent", "element", "main", "mark")]
+    lanes = [F.pmod(F.sum(c), F.lit(1 << LANE)).alias(c) for c in "abc"]
+    return rows.groupBy("host", "token").agg(*first, F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), *lanes)
 
 
-def templates(vectors: DataFrame, least: float) -> DataFrame:
-    """(host, template): per host the tokens of its valid equivalence classes, as (token, class).
+def deduce(rows: list[dict]) -> tuple[list[int], list[int], bool]:
+    """The template of a host from its frequent tokens: (slots, fixed texts, whether article or main elements name the slots).
 
-    A class is valid with at least two tokens, one of them an element, on at least two pages and ``least`` of the
-    host's. A page's tokens bound the list, as each of them is on that share of the pages.
+    A class holds at least two tokens of one occurrence vector, one of them an element. It is valid if the elements that
+    it starts with all stand in the same class above, the place where it nests. The slots are the outermost article or
+    main elements; without any, the innermost element of a valid class that has most of the text which isn't fixed.
     """
-    hosts = vectors.where(F.col("token") == "").select("host", F.col("pages").alias("of_")).where(F.col("of_") > 1)
-    x = vectors.where(F.col("token") != "").join(hosts, "host").where((F.col("pages") > 1) & (F.col("pages") >= least * F.col("of_")))
-    k = x.groupBy("host", "pages", "vector").agg(F.count("*").alias("n_"), F.max(F.col("token").startswith("<")).alias("element_")).where((F.col("n_") > 1) & F.col("element_"))
-    x = x.join(k, ["host", "pages", "vector"])
-    return x.groupBy("host").agg(F.collect_list(F.struct("token", F.concat_ws(":", F.col("pages").cast("string"), F.col("vector").cast("string")).alias("class"))).alias("template"))
-
-
-class Template:
-    """A host's template: its classes nested by path, and the slots that hold main text."""
-
-    def __init__(self, rows: list[dict] | None):
-        self.tokens = {r["token"]: r["class"] for r in rows or ()}
-        elements = sorted((t[1:] for t in self.tokens if t[0] == "<"), key=lambda p: (p.count("/"), p))
-        main = [p for p in elements if p.rsplit("/", 1)[-1].split(".")[0] in MAIN]
-        #: Outermost slots: an element of a class nested in another one's slot belongs to that slot.
-        self.slots = {p for p in main if not any(p.startswith(q + "/") for q in main)}
-
-    def extract(self, page: str) -> str:
-        events = list(walk(page))
-        chrome_depth, slot_depth = 0, 0
-        slots = {e[1] for e in events if e[0] == "open"} & self.slots or {e[1] for e in events if e[0] == "open" and e[3] in MAIN}
-        blocks: list[str] = []
-        run: list[str] = []
-        known = True
+    by_vector = defaultdict(list)
+    at = {r["token"]: r for r in rows}
+    for r in rows:
+        by_vector[r["pages"], r["a"], r["b"], r["c"]].append(r)
+    group = {r["token"]: k for k, own in by_vector.items() if len(own) > 1 and any(r["element"] for r in own) for r in own}
+    above: dict[tuple, int] = {}
+
+    def ancestor(token: int, without) -> int:
+        """The nearest element above that is in a class other than ``without``, 0 if there is none."""
+        way, up = [], at[token]["parent"]
+        while up in at and (group.get(up) is None or group[up] == without):
+            if (up, without) in above:
+                up = above[up, without]
+                break
+            way.append(up)
+            up = at[up]["parent"]
+        up = up if up in at else 0
+        for t in way:
+            above[t, without] = up
+        return up
+
+    for k, own in sorted(by_vector.items(), key=lambda x: (-x[0][0], x[0])):
+        if own[0]["token"] in group:
+            places = {group.get(ancestor(r["token"], k)) for r in own if r["element"]}
+            if len(places) > 1:
+                for r in own:
+                    del group[r["token"]]
+                above.clear()
+    fixed = sorted(t for t in group if not at[t]["element"])
+    marked: dict[int, bool] = {}
+
+    def beneath(token: int, test, known: dict) -> bool:
+        """Whether an element, or one above it, passes the test."""
+        way = []
+        while token in at and token not in known:
+            way.append(token)
+            if test(at[token]):
+                known[token] = True
+                break
+            token = at[token]["parent"]
+        answer = known.get(token, False)
+        for t in way:
+            known[t] = answer
+        return answer
+
+    elements = sorted(t for t, r in at.items() if r["element"])
+    chrome = {t for t in elements if beneath(t, lambda r: r["mark"] != PLAIN and not r["main"], marked)}
+    inside: dict[int, bool] = {}
+    main = [t for t in elements if at[t]["main"] and t not in chrome and not beneath(at[t]["parent"], lambda r: r["main"], inside)]
+    if main:
+        return main, fixed, True
+    text = {t: at[t]["chars"] for t in elements if t not in chrome}
+    for t in fixed:
+        if at[t]["parent"] in text:
+            text[at[t]["parent"]] -= at[t]["chars"]
+    depth: dict[int, int] = {}
+    for t in elements:
+        way = []
+        while t in at and t not in depth:
+            way.append(t)
+            t = at[t]["parent"]
+        n = depth.get(t, 0)
+        for i, u in enumerate(reversed(way), 1):
+            depth[u] = n + i
+    total, under = sum(text.values()), defaultdict(int, text)
+    for t in sorted(elements, key=depth.get, reverse=True):
+        under[at[t]["parent"]] += under[t]
+    fit = [t for t in elements if t in group and t not in chrome and total > 0 and under[t] >= 0.8 * total]
+    return ([max(fit, key=lambda t: (depth[t], t))] if fit else []), fixed, False
 
-        def flush():
-            nonlocal known
-            if run:
-                # outside a main slot, a block made of template words alone is part of the template
-                if (text := " ".join("".join(run).split())) and not known:
-                    blocks.append(text)
-                run.clear()
-            known = True
-
-        for e in events:
-            if e[0] == "text":
-                if not chrome_depth and (slot_depth or not slots):
-                    text = htmllib.unescape(e[2])
-                    run.append(text)
-                    known = known and not slot_depth and all(f"{w} {e[1]}" in self.tokens for w in text.split())
-            elif e[0] == "open":
-                flush()
-                if e[4] and not chrome_depth and e[3] not in MAIN:
-                    chrome_depth = e[2]
-                if e[1] in slots and not slot_depth:
-                    slot_depth = e[2]
-            elif e[0] == "close":
-                flush()
-                if chrome_depth >= e[1]:
-                    chrome_depth = 0
-                if slot_depth >= e[1]:
-                    slot_depth = 0
-            else:
-                flush()
+
+def templates(vectors: DataFrame, least: float) -> DataFrame:
+    """(host, of_, slots, fixed, by_tag): the template of each host, from its tokens on at least ``least`` of its pages,
+    and on two. So many pages hold each of them that a host has at most 1 / least times the tokens of a page."""
+    hosts = vectors.where(F.col("token") == 0).select("host", F.col("pages").alias("of_"))
+    often = vectors.where((F.col("token") != 0) & (F.col("pages") > 1)).join(hosts, "host").where(F.col("pages") >= least * F.col("of_")).drop("of_")
+
+    def run(t: pa.Table) -> pa.Table:
+        slots, fixed, by_tag = deduce(t.drop(["host"]).to_pylist())
+        return pa.table({"host": t["host"][:1], "slots": pa.array([slots], pa.list_(pa.int64())), "fixed": pa.array([fixed], pa.list_(pa.int64())), "by_tag": pa.array([by_tag])})
+
+    found = often.groupBy("host").applyInArrow(run, "host string, slots array<long>, fixed array<long>, by_tag boolean")
+    return hosts.join(found, "host", "left")
+
+
+def extract(page: str, slots: set[int], fixed: set[int], by_tag: bool) -> str:
+    """The text in a page's slots, without elements marked strongly.
+
+    A page that has none of the host's slots uses its own article or main elements. One without those, too, gives what
+    stands outside marked elements. Where no article or main element names the slot, blocks that are fixed on the host
+    go, unless nothing would stay.
+    """
+    events = list(walk(page))
+    here = {e[1] for e in events if e[0] == "open"} & slots
+    if not here:
+        by_tag, here = True, {e[1] for e in events if e[0] == "open" and e[3] in MAIN}
+    blocks: list[tuple[str, bool]] = []
+    run: list[str] = []
+    out, into, under = 0, 0, 0
+
+    def flush():
+        if run and (text := tidy(run)):
+            blocks.append((text, not (by_tag and here) and block_token(under, text) in fixed))
+        run.clear()
+
+    for e in events:
+        if e[0] == "text":
+            if not out and (into or not here):
+                under = under if run else e[1]
+                run.append(e[2])
+            continue
         flush()
-        return "\n".join(blocks)
+        if e[0] == "open":
+            if e[1] in here and not into:
+                into = e[2]
+            elif not out and e[3] not in MAIN and (e[4] == STRONG or e[4] == WEAK and not into):
+                out = e[2]
+        elif e[0] == "close":
+            out = 0 if out >= e[1] else out
+            into = 0 if into >= e[1] else into
+    flush()
+    kept = [text for text, is_fixed in blocks if not is_fixed] or [text for text, _ in blocks]
+    return "\n".join(kept)
 
 
 def main_text(pages: DataFrame, least: float = 0.5, most_hosts: int = 20_000) -> DataFrame:
     """One row per page: page_id, url and the main text, its blocks joined by newlines.
 
-    Tokens are grouped by host and occurrence vector, valid classes make the host's template, and what remains in its
-    main slots is the text, without elements inside them that hold menus, adverts, forms, comments and the like. A host
-    with one page, or a page off its host's template, uses its own article or main element; without one, all text
-    outside such elements that isn't the template's. Templates are broadcast up to ``most_hosts`` hosts; more are joined
-    by host, where adaptive execution splits a large host.
+    Tokens are counted exactly by host, their occurrence vectors make classes, valid classes the host's template, and the
+    template's slots hold the text; ``deduce`` and ``extract`` say how. Class and id names count as words outside slots
+    and by the whole name inside. A host with one page has no template. Templates are broadcast up to ``most_hosts``
+    hosts; of more, those with very many pages are, and the others are joined by host. The result depends on the table
+    alone, not on how its rows are dealt.
 
-    Null and empty html give the empty text; a null url, or one without a host, belongs to the host ''. Null and
-    repeated ids stay as they are; extra columns are ignored; an empty table gives an empty one.
+    Null and empty html give the empty text; a null url, or one without a host, belongs to the host ''. A repeated page
+    counts as often as it is there. Null and repeated ids stay as they are; extra columns are ignored; an empty table
+    gives an empty one.
     """
     work = Scratch(pages.sparkSession)
-    base = pages.select("page_id", "url", text_or_empty("html").alias("html"), F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host"))
-    found = work.keep(templates(work.keep(token_vectors(base, least), "vectors"), least), "templates")
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_or_empty("html").alias("html"), host.alias("host"))
+    found = work.keep(templates(work.keep(token_vectors(base), "vectors"), least), "templates")
 
     def run(batches):
-        made: dict = {}
-        for b in batches:
-            hosts, html, given = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
+        held: dict = {}
+        for b in slices(batches, 500, 3):
             out = []
-            for i, (host, page) in enumerate(zip(hosts, html)):
-                if host not in made:
-                    if len(made) > 500:
-                        made.clear()
-                    made[host] = Template(given[i].as_py())
-                out.append(made[host].extract(page))
+            for host, page, slots, fixed, by_tag in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), b.column(6)):
+                if host not in held:
+                    if len(held) > 500:
+                        held.clear()
+                    held[host] = set(slots.as_py() or ()), set(fixed.as_py() or ()), bool(by_tag.as_py())
+                out.append(extract(page, *held[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    x = base.join(small(found, most_hosts), "host", "left").select("page_id", "url", "host", "html", "template")
-    return x.mapInArrow(run, "page_id long, url string, text string")
+    few = found.limit(most_hosts + 1).count() <= most_hosts
+    x = base.join(small(found, most_hosts), "host") if few else join_hot(base, found, "host", "of_", base.count())
+    return x.select("page_id", "url", "host", "html", "slots", "fixed", "by_tag").mapInArrow(trimmed(run), "page_id long, url string, text string")

@@ -301,11 +301,69 @@ def test_html_pages(spark):
     assert all(got[r.page_id] == want(r.html) for r in pages.collect())
 
 
-def test_html_templates_are_found(spark):
+def test_html_templates_equal_brute_force(spark):
+    """Classes from whole occurrence vectors, a dictionary of pages per token, against those from the sums; then the template."""
     pages = table(spark, SF, "pages").withColumn("host", F.regexp_extract("url", "://([^/]*)", 1))
-    t = html_template.templates(html_template.token_vectors(pages.select("page_id", "url", "html", "host"), 0.5), 0.5)
-    some = t.first().template
-    assert any(r.token.startswith("<") and r.token.endswith("/article") for r in some)
+    vectors = html_template.token_vectors(pages.select("page_id", "url", "html", "host"))
+    seen, kept, hosts = {}, {}, Counter()
+    for r in pages.collect():
+        hosts[r.host] += 1
+        for t, x in html_template.tokens(r.html).items():
+            seen.setdefault((r.host, t), {})[r.page_id] = x[0]
+            kept[r.host, t] = x
+    rows = [r.asDict() for r in vectors.collect()]
+    assert {(r["host"], r["token"]): r["pages"] for r in rows if r["token"]} == {k: len(v) for k, v in seen.items()}
+    by_sums, by_vector = {}, {}
+    for r in rows:
+        if r["token"]:
+            by_sums.setdefault((r["host"], r["a"], r["b"], r["c"]), set()).add(r["token"])
+            by_vector.setdefault((r["host"], tuple(sorted(seen[r["host"], r["token"]].items()))), set()).add(r["token"])
+    assert sorted(map(sorted, by_sums.values())) == sorted(map(sorted, by_vector.values()))
+    got = {r.host: r for r in html_template.templates(vectors, 0.5).collect()}
+    for host, n in hosts.items():
+        mains = {t for (h, t), v in seen.items() if h == host and kept[h, t][3] and n > 1 and 2 * len(v) >= n}
+        assert set(got[host].slots or ()) == mains and got[host].of_ == n and (n == 1 or got[host].by_tag)
+
+
+def html_of(spark, rows, parts=1, schema="page_id long, url string, html string"):
+    return Counter((r.page_id, r.text) for r in html_template.main_text(spark.createDataFrame(rows, schema).repartition(parts)).collect())
+
+
+def test_html_does_not_depend_on_partitions(spark):
+    """A block on all of the first pages and on some of the others, and pages that are there twice."""
+    page = lambda i: f"<body><div class=top><p>Same words here</p></div><div class=body>{'<p>often there</p>' if i < 100 or i % 5 < 2 else ''}<p>own {i} {'text ' * 30}</p></div></body>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(400)] + [(i, f"https://h.example/{i}", page(i)) for i in range(0, 400, 7)]
+    got = html_of(spark, rows)
+    assert got == html_of(spark, rows, 4) == html_of(spark, rows, 64)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartitionByRange(4, "page_id")
+    assert got == Counter((r.page_id, r.text) for r in html_template.main_text(df).collect())
+    assert all("own" in t and "Same words" not in t for _, t in got)
+
+
+def test_html_slots_are_found_without_main_elements(spark):
+    """Only the template tells the slot here: labels that every page has, a side column with little text, a story with much."""
+    page = lambda i: f"<body><div class=x1><p>The Daily</p></div><div class=x2><p>Today {i}</p></div><div class=x3><p>Story</p>{''.join(f'<p>{i} {k} told at length and more {i * k}</p>' for k in range(3 + i % 4))}</div><div class=x4><p>All rights</p></div></body>"
+    got = html_of(spark, [(i, f"https://h.example/{i}", page(i)) for i in range(20)], 3)
+    for i in range(20):
+        assert got[(i, "\n".join(f"{i} {k} told at length and more {i * k}" for k in range(3 + i % 4)))] == 1
+    same_page = [(i, f"https://copy.example/{i}", page(3)) for i in range(6)]
+    assert all("told at length" in t for _, t in html_of(spark, same_page))
+
+
+def test_html_keeps_named_blocks_inside_articles(spark):
+    page = "<article><h1>T</h1><div class='related-work'><p>one</p></div><p class='header-note'>two</p><div class='ad'>buy</div><aside>side</aside><div id=comments>first!</div><p>three</p></article>"
+    assert set(html_of(spark, [(1, "https://h.example/", page)])) == {(1, "T\none\ntwo\nthree")}
+    assert set(html_of(spark, [(1, "https://h.example/", page)], 1, "page_id int, url string, html string")) == {(1, "T\none\ntwo\nthree")}
+
+
+def test_html_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 200_000, "<x>" * 30_000 + "<h1></h1>" * 30_000, '<a "' * 100_000 + ">", "<p><ul>" + "<x>" * 30_000 + "<h1></h1>" * 30_000, "<div>" * 30_000 + "</x>" * 30_000, "<p>" * 60_000, "<!--" * 60_000):
+        html_template.extract(page, set(), set(), False)
+        html_template.tokens(page)
+    assert time.time() - began < 20
 
 
 def test_bpe_equals_library(spark):
