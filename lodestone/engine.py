@@ -87,13 +87,9 @@ class Engine:
         delete(self.spark, self.index.root)
 
     def vacuum_index(self) -> None:
-        """Rewrites the index's items in few files."""
+        """Rewrites the index in few files; a failure on the way leaves it as it was."""
         self._stored()
-        kept = f"{self.index.root}-vacuum"
-        rows = self.index._table("items", "seq long, item_id string, vector string, flag int, commit_id long, bucket string")
-        rows.repartition("bucket").sortWithinPartitions("seq").write.mode("overwrite").parquet(kept)
-        self.spark.read.parquet(kept).write.mode("overwrite").parquet(f"{self.index.root}/items")
-        delete(self.spark, kept)
+        self.index.vacuum()
 
     def pull(self) -> None:
         self._stored()

@@ -43,3 +43,9 @@ def text_to_floats(text: Column, n: int | None = None) -> Column:
     parts = F.transform(F.filter(F.split(F.trim(text), "\\s+"), lambda s: s != ""), lambda s: F.try_to_number_double(s) if hasattr(F, "try_to_number_double") else s.try_cast("double"))
     ok = F.forall(parts, lambda x: x.isNotNull())
     return F.when(ok if n is None else ok & (F.size(parts) == n), parts)
+
+
+def block_words(block: Column, bits: Column) -> Column:
+    """The words of one 64-bit block of a bitmap."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return F.transform(held, lambda i: block * 64 + i)

@@ -120,4 +120,5 @@ def power_normalized(v: Column, exponent: float) -> Column:
 
 def weighted_concat(*parts: tuple[Column, float]) -> Column:
     """Parts scaled by the roots of their weights, one after another."""
-    return F.concat(*[F.transform(v, lambda x, w=w: x.cast("double") * (w**0.5)) for v, w in parts])
+    scaled = lambda v, root: F.transform(v, lambda x: x.cast("double") * root)  # noqa: E731  a second parameter would be the place
+    return F.concat(*[scaled(v, w**0.5) for v, w in parts])

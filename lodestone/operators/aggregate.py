@@ -91,3 +91,41 @@ def dense(rows: DataFrame, by: str, size: int | Column, zero: Column, to: str) -
     filled = F.flatten(F.zip_with("e_", before, lambda e, p: F.concat(F.array_repeat(zero, e["index"] - p - 1), F.array(e["value"]))))
     rest = F.array_repeat(zero, (size if isinstance(size, Column) else F.lit(size)) - 1 - F.element_at(at, -1))
     return x.select(by, F.concat(filled, rest).alias(to))
+
+
+def bitmap_blocks(words: DataFrame) -> DataFrame:
+    """(item, word) to (item, block, bits): 64 words a block, bit word % 64 of block word / 64; blocks without words are left out."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("word") % 64).cast("int"))
+    return words.groupBy("item", F.floor(F.col("word") / 64).cast("long").alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def plain_histogram(points: DataFrame, item: str = "item") -> DataFrame:
+    """(item, colour, n): how many points have each colour."""
+    return points.groupBy(item, "colour").agg(F.count("*").alias("n"))
+
+
+def major_two(labelled: DataFrame, item: str = "item") -> DataFrame:
+    """(item, place, vec): the floored means of an item's two largest clusters, from points (item, label, vec of three).
+
+    Means are sums over the cluster, so items' points are pre-aggregated; at most one row a label is left to rank.
+    """
+    mean = F.array(*[F.floor(F.avg(F.col("vec")[i])) for i in range(3)])
+    x = labelled.groupBy(item, "label").agg(F.count("*").alias("n_"), mean.alias("vec"))
+    w = Window.partitionBy(item).orderBy(F.desc("n_"), F.asc("label"))
+    return x.withColumn("place", F.row_number().over(w)).where("place <= 2").select(item, "place", "vec")
+
+
+def colour_residuals(labelled: DataFrame, palette: DataFrame, item: str = "item") -> DataFrame:
+    """(item, cell, colour, value): sums of differences of colours (item, cell, label, vec) from those of the palette, a
+    value for each label and channel; ``level_normalized`` takes roots and lengths."""
+    book = palette.select("label", F.col("vec").cast("array<double>").alias("c_"))
+    diff = F.zip_with("vec", "c_", lambda x, c: x.cast("double") - c)
+    x = labelled.join(F.broadcast(book), "label").select(item, "cell", "label", F.posexplode(diff).alias("dim", "d_"))
+    return x.groupBy(item, "cell", (F.col("label") * 3 + F.col("dim")).alias("colour")).agg(F.sum("d_").alias("value"))
+
+
+def signed_words(points: DataFrame, bright: DataFrame, dark: DataFrame, half: int, cols: list[str]) -> DataFrame:
+    """Words of points (cols, sign, vec): bright ones by one codebook, dark ones by another whose words come ``half`` later."""
+    one = nearest(points.where("sign = 1"), bright, cols).withColumnRenamed("label", "word")
+    other = nearest(points.where("sign = 0"), dark, cols).withColumn("word", F.col("label") + half).drop("label")
+    return one.unionByName(other)

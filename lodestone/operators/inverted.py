@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArguments
+from ..session import exists
 
 #: More shared words than this are needed unless a call says otherwise.
 HIT_THRESHOLD = 8
@@ -87,3 +90,74 @@ def flagged(word: Column, region: Column) -> Column:
 
 def unflagged(word: Column) -> Column:
     return word.bitwiseAND(F.lit(~sum(REGION_FLAGS) & 0xFFFFFFFF))
+
+
+class StoredIndex:
+    """An inverted index on disk: postings by ranges of hashed words, items with their words, weights, norms.
+
+    ``add`` leaves out items that are there, writes the others' postings and items, then the weights and norms that
+    now hold, and ends with a row of ``batches``. Only what such a row names is read, so a write that fails half-way
+    leaves nothing to see, and is done again by the next ``add``. ``search`` reads the postings of the ranges that its
+    words lie in.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, ranges: int = 64):
+        self.spark, self.root, self.ranges = spark, root, ranges
+
+    def _range(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.ranges)).cast("int")
+
+    def batches(self) -> list:
+        """Rows (n, batch), one an ``add``: few, as many as there were pulls."""
+        path = f"{self.root}/batches"
+        return sorted(self.spark.read.parquet(path).collect(), key=lambda r: r.n) if exists(self.spark, path) else []
+
+    def _table(self, name: str) -> DataFrame | None:
+        own = [r.batch for r in self.batches()]
+        return self.spark.read.parquet(f"{self.root}/{name}").where(F.col("batch").isin(own)) if own else None
+
+    def postings(self) -> DataFrame | None:
+        return self._table("postings")
+
+    def items(self) -> DataFrame | None:
+        return self._table("items")
+
+    def _last(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/{self.batches()[-1].batch}")
+
+    def weights(self) -> DataFrame:
+        return self._last("weights")
+
+    def norms(self) -> DataFrame:
+        return self._last("norms")
+
+    def add(self, posts: DataFrame, stop: int = 0) -> None:
+        """Takes (item, word) pairs. Weights are by ``idf`` over all items then there, with ``stop`` as there."""
+        known, n, batch = self.items(), len(self.batches()), uuid.uuid4().hex
+        new = posts.select("item", "word").distinct()
+        new = new if known is None else new.join(known.select("item"), "item", "left_anti")
+        new = new.withColumn("batch", F.lit(batch)).withColumn("range_", self._range(F.col("word")))
+        # a word on very many items is written by several tasks
+        new.repartition("range_", F.pmod(F.xxhash64("item"), F.lit(4))).sortWithinPartitions("range_", "word").write.mode("append").partitionBy("batch", "range_").parquet(f"{self.root}/postings")
+        own = self.spark.read.parquet(f"{self.root}/postings").where(F.col("batch") == batch)
+        own.groupBy("item").agg(F.count("*").alias("n_words")).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{self.root}/items")
+        names = [r.batch for r in self.batches()] + [batch]
+        every = self.spark.read.parquet(f"{self.root}/postings").where(F.col("batch").isin(names))
+        items = self.spark.read.parquet(f"{self.root}/items").where(F.col("batch").isin(names))
+        total = items.agg(F.count("*").cast("double").alias("n_"))
+        weights = doc_freq(every).crossJoin(F.broadcast(total)).select("word", "df", idf(F.col("df"), F.col("n_"), stop).alias("weight"), self._range(F.col("word")).alias("range_"))
+        weights.repartition("range_").write.partitionBy("range_").parquet(f"{self.root}/weights/{batch}")
+        item_norms(every, self.spark.read.parquet(f"{self.root}/weights/{batch}").select("word", "weight")).write.parquet(f"{self.root}/norms/{batch}")
+        self.spark.createDataFrame([(n, batch)], "n int, batch string").coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
+
+    def near(self, words: DataFrame) -> DataFrame:
+        """(item, word): the postings of the ranges that ``words`` (word) lie in; at most ``ranges`` numbers are collected."""
+        found = [r.r for r in words.select(self._range(F.col("word")).alias("r")).distinct().collect()]
+        posts = self.postings()
+        return posts.where(F.col("range_").isin(found)).select("item", "word")
+
+    def search(self, queries: DataFrame, k: int, threshold: int = HIT_THRESHOLD) -> DataFrame:
+        """As ``index_topk``, for queries (query, word)."""
+        ranges = [r.r for r in queries.select(self._range(F.col("word")).alias("r")).distinct().collect()]
+        weights = self.weights().where(F.col("range_").isin(ranges)).select("word", "weight")
+        return index_topk(self.near(queries), weights, queries, k, threshold, self.norms())

@@ -105,3 +105,8 @@ def dense_topk_many(items: DataFrame, queries: DataFrame, k: int, id_col: str =
 def overfetched(items: DataFrame, score: Column, k: int, factor: int, id_col: str = "item_id") -> DataFrame:
     """The older order of steps: cut to factor * k rows, then drop the deleted, then cut to k. May return fewer than k."""
     return live(topk(items, score, factor * k, id_col)).orderBy(F.col("similarity").desc(), F.col(id_col).asc()).limit(k)
+
+
+def with_columns(found: DataFrame, table: DataFrame, key: str = "item_id") -> DataFrame:
+    """Adds a table's columns to the winners of a search. Winners are few and are broadcast to the table's rows."""
+    return table.join(F.broadcast(found), key)

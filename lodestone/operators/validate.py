@@ -36,3 +36,8 @@ def group_score(items: DataFrame, k: int = 4) -> DataFrame:
     near = near.join(labels, "item_id").join(labels.select(F.col("item_id").alias("query_id"), F.col("label").alias("own_")), "query_id")
     per = near.groupBy("query_id").agg(F.sum((F.col("label") == F.col("own_")).cast("long")).alias("n_"))
     return per.agg(F.avg("n_").alias("score"), F.count("*").alias("queries"))
+
+
+def macro_mean(scores: DataFrame) -> DataFrame:
+    """(classes, accuracy, precision, recall): the means over classes of ``knn_scores``, each class with the same weight."""
+    return scores.agg(F.count("*").alias("classes"), *[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall")])

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArguments
@@ -29,6 +29,11 @@ def table_name(namespace: str, driver: str) -> str:
     return f"{namespace}_{driver}" if namespace else driver
 
 
+def is_namespace(name: Column) -> Column:
+    """What ``table_name`` takes as a namespace, for a column of names."""
+    return name.rlike(r"^[A-Za-z0-9_]*\z")
+
+
 def absent(new: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of ``new`` whose item_id isn't known yet, one each: the one with the smallest seq."""
     first = new.groupBy("item_id").agg(F.min("seq").alias("seq"))
@@ -111,6 +116,11 @@ class Master:
         """The stored vector of an id, deleted or not."""
         return self.items().where((F.col("bucket") == item_id[:1]) & (F.col("item_id") == item_id)).select("item_id", "vector")
 
+    def vectors(self, ids: DataFrame) -> DataFrame:
+        """(item_id, vector) of the stored ids among ``ids``, deleted or not. The buckets join prunes the files read."""
+        wanted = ids.select("item_id").distinct().withColumn("bucket", F.substring("item_id", 1, 1))
+        return self.items().select("bucket", "item_id", "vector").join(wanted, ["bucket", "item_id"], "left_semi").select("item_id", "vector")
+
     def new_items(self, after: int, up_to: int, shard: str | list[str] | None = None, limit: int | None = None) -> DataFrame:
         x = self.items().where((F.col("seq") > after) & (F.col("seq") <= up_to))
         x = x if shard is None else x.where(shard_of(F.col("item_id"), shard))

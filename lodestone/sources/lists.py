@@ -34,3 +34,17 @@ def write_matrix(rows: DataFrame, path: str) -> None:
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("row int, vec array<double>").parquet(path)
+
+
+def with_flips(listed: DataFrame) -> DataFrame:
+    """A training list with every image twice: as it is, and mirrored left and right."""
+    return listed.withColumn("flip", F.explode(F.array(F.lit(False), F.lit(True))))
+
+
+def with_paths(found: DataFrame, store: DataFrame) -> DataFrame:
+    """A search's results with the path that a key-value store (key, value) has for each id; null where it has none.
+    Results are few, so they go to the store's rows."""
+    keyed = found.withColumn("key_", F.col("item_id").cast("string"))
+    held = store.select(F.col("key").cast("string").alias("key_"), F.col("value").cast("string").alias("path"))
+    held = held.join(F.broadcast(keyed.select("key_")), "key_", "left_semi")
+    return keyed.join(held, "key_", "left").drop("key_")

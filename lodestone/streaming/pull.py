@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import shard as shard_of
-from ..session import exists
+from ..session import delete, exists
 from ..sources.catalog import CHANGES, ITEMS, Master, last_ids, resolved
 
 STATE = "last_seq long, last_commit long, at timestamp"
@@ -23,8 +23,40 @@ class LocalIndex:
     def __init__(self, spark: SparkSession, root: str, shard: str | list[str] | None = None):
         self.spark, self.root, self.shard = spark, root, shard
 
+    def _versions(self) -> list[int]:
+        """Numbers of the versions that are whole: each but the first ends with a marker, written after all its tables."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and exists(self.spark, f"{self.root}/{n}/_whole"))
+
+    @property
+    def base(self) -> str:
+        """The folder of the last whole version."""
+        found = self._versions()
+        return f"{self.root}/v{found[-1]}" if found else f"{self.root}/v0"
+
+    def vacuum(self) -> None:
+        """Rewrites the index in few files, with each item's last flag alone. The new version counts from the moment its
+        marker is there, so a failure on the way leaves the old one as it was."""
+        old, n = self.base, max([0, *self._versions()]) + 1
+        new = f"{self.root}/v{n}"
+        delete(self.spark, new)
+        self.items().select(*[c.split()[0] for c in ITEMS.split(", ")]).repartition("bucket").sortWithinPartitions("seq").write.parquet(f"{new}/items")
+        seq, commit = self.cursors()
+        self._state(seq, commit).write.parquet(f"{new}/state")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{new}/_whole")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path).close()
+        delete(self.spark, old)
+
+    def drop(self) -> None:
+        delete(self.spark, self.root)
+
+    def _state(self, seq: int, commit: int) -> DataFrame:
+        return self.spark.range(1).select(F.lit(seq).cast("long").alias("last_seq"), F.lit(commit).cast("long").alias("last_commit"), F.current_timestamp().alias("at")).coalesce(1)
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path = f"{self.base}/{name}"
         return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def items(self) -> DataFrame:
@@ -37,12 +69,12 @@ class LocalIndex:
     def append_items(self, rows: DataFrame) -> None:
         rows = rows if self.shard is None else rows.where(shard_of(F.col("item_id"), self.shard))
         known = self._table("items", ITEMS).select("item_id")
-        rows.dropDuplicates(["item_id"]).join(known, "item_id", "left_anti").select(*[c.split()[0] for c in ITEMS.split(", ")]).write.mode("append").parquet(f"{self.root}/items")
+        rows.dropDuplicates(["item_id"]).join(known, "item_id", "left_anti").select(*[c.split()[0] for c in ITEMS.split(", ")]).write.mode("append").parquet(f"{self.base}/items")
 
     def append_changes(self, rows: DataFrame) -> None:
         rows = rows if self.shard is None else rows.where(shard_of(F.col("item_id"), self.shard))
         known = self._table("changes", CHANGES).select("item_id", "commit_id")
-        rows.select("item_id", "flag", "commit_id").distinct().join(known, ["item_id", "commit_id"], "left_anti").select("item_id", "flag", "commit_id").write.mode("append").parquet(f"{self.root}/changes")
+        rows.select("item_id", "flag", "commit_id").distinct().join(known, ["item_id", "commit_id"], "left_anti").select("item_id", "flag", "commit_id").write.mode("append").parquet(f"{self.base}/changes")
 
     def pull(self, master: Master) -> None:
         """New items, then flag changes, up to one snapshot of the master's largest numbers."""
@@ -50,7 +82,7 @@ class LocalIndex:
         top_seq, top_commit = last_ids(master.items(), master.changes())
         self.append_items(master.new_items(seq, top_seq, self.shard))
         self.append_changes(master.new_changes(commit, top_commit, self.shard))
-        self.spark.range(1).select(F.lit(top_seq).cast("long").alias("last_seq"), F.lit(top_commit).cast("long").alias("last_commit"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{self.root}/state")
+        self._state(top_seq, top_commit).write.mode("append").parquet(f"{self.base}/state")
 
     def pull_stream(self, master: Master, checkpoint: str, once: bool = True) -> list[StreamingQuery]:
         """The same as two file streams. With ``once`` each takes what is there and stops."""
