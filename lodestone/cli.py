@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
         engine = Engine.open(spark, args.config)
         if args.command == "import":
             paths = [r.path for r in lists.read_list(spark, args.list).toLocalIterator()]
-            engine.insert(images.read_files(spark, ",".join(paths)).select("item_id", "image"))
+            engine.insert(images.read_files(spark, paths).select("item_id", "image"))
         elif args.command == "search":
             for r in engine.search(args.n, {"file": args.file}).select(lists.result_json(F.col("item_id"), F.col("similarity")).alias("j")).collect():
                 print(r.j)

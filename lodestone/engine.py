@@ -12,8 +12,8 @@ from .errors import InvalidArguments, NoData, NotSupported, SystemFailure
 from .features import FeatureKind, Metric, Models, Words, kind_of
 from .functions.ids import content_id_of, parse_id
 from .operators import inverted, topk
-from .operators.strip import strip
-from .session import delete, importable, shared_dir
+from .operators.strip import OVERFETCH, strip
+from .session import delete, exists, importable, shared_dir
 from .sources import images as I
 from .sources.catalog import Master, table_name
 from .streaming.pull import LocalIndex
@@ -54,6 +54,7 @@ class Engine:
         root = str(O.get(config, "driver.data_dir", f"{shared_dir(spark)}/engine")).rstrip("/")
         self.master = Master(spark, f"{O.get(config, 'database.name', root)}/master/{table}")
         self.index = LocalIndex(spark, f"{root}/index/{table}", O.get(config, "driver.shard"))
+        self.postings = inverted.StoredIndex(spark, f"{self.index.root}-postings")
         self._active = True
 
     @classmethod
@@ -80,11 +81,12 @@ class Engine:
     def drop_database(self) -> None:
         self._stored()
         self.master.drop()
-        delete(self.spark, self.index.root)
+        self.drop_index()
 
     def drop_index(self) -> None:
         self._stored()
-        delete(self.spark, self.index.root)
+        self.index.drop()
+        delete(self.spark, self.postings.root)
 
     def vacuum_index(self) -> None:
         """Rewrites the index in few files; a failure on the way leaves it as it was."""
@@ -94,6 +96,12 @@ class Engine:
     def pull(self) -> None:
         self._stored()
         self.index.pull(self.master)
+        self._index_postings()
+
+    def _index_postings(self) -> None:
+        if self.storage == "index":
+            x = self.index.items().select(F.col("item_id").alias("item"), F.explode(self.kind.decode(F.col("vector"))["words"]).alias("word"))
+            self.postings.add(x, weigh=False)
 
     def pull_stream(self, checkpoint: str, once: bool = True):
         self._stored()
@@ -118,11 +126,9 @@ class Engine:
         """(item_id, feature) of images (item_id, image); those whose id is stored are read, the rest extracted."""
         if not self.load_fv:
             return self.kind.extract(inputs, self.models)
-        try:
-            known = self.master.items().select("item_id", "vector")
-            known.limit(0).count()
-        except Exception:  # no database yet
+        if not exists(self.spark, self.master.items_path):
             return self.kind.extract(inputs, self.models)
+        known = self.master.items().select("item_id", "vector")
         old = known.join(inputs.select("item_id").distinct(), "item_id", "left_semi").select("item_id", self.kind.decode(F.col("vector")).alias("feature"))
         return old.unionByName(self.kind.extract(inputs.join(known.select("item_id"), "item_id", "left_anti"), self.models))
 
@@ -215,32 +221,44 @@ class Engine:
         options = self._query_options(options or {})
         items = topk.live(self.index.items()).select("item_id", self.kind.decode(F.col("vector")).alias("item_"))
         if self.storage == "index":
-            return self._index_search(items, queries, n, options)
+            return self._index_search(queries, n, options)
+        asked = OVERFETCH * n if options["strip"] else n
         queries = queries.select("query_id", F.col("feature").alias("query_"))
         if "weights" in options:  # the weights of a model's words: a table of fixed size, as one map
             queries = queries.crossJoin(F.broadcast(self.models.idf.agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").cast("long"), F.col("weight").cast("double")))).alias("weights_"))))
         score, first = self.kind.score(F.col("query_"), F.col("item_"), options), self.kind.first(F.col("query_"), F.col("item_"), options)
         if first is not None:
-            kept = topk.topk_many(items, queries, first, max(10 * n, 100)).drop("rank", "similarity")
+            kept = topk.topk_many(items, queries, first, max(10 * asked, 100)).drop("rank", "similarity")
             from pyspark.sql import Window
 
             w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("item_id").asc())
-            found = kept.withColumn("similarity", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            found = kept.withColumn("similarity", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= asked)
         else:
-            found = topk.topk_many(items, queries, score, n)
+            found = topk.topk_many(items, queries, score, asked)
         found = found.select("query_id", "rank", "item_id", F.col("similarity").cast("double").alias("similarity"))
-        return strip(found, "query_id") if options["strip"] else found
+        return strip(found, "query_id").where(F.col("rank") <= n) if options["strip"] else found
 
-    def _index_search(self, items: DataFrame, queries: DataFrame, n: int, options: dict) -> DataFrame:
-        posts = items.select(F.col("item_id").alias("item"), F.explode("item_.words").alias("word"))
+    def _index_search(self, queries: DataFrame, n: int, options: dict) -> DataFrame:
+        """Reads the stored postings of the queries' words, and the words of the items that share enough of them."""
         asked = queries.select(F.col("query_id").alias("query"), F.explode("feature.words").alias("word"))
-        plain = inverted.unflagged(F.col("word")) if self.kind.split else F.col("word")
-        words = asked.select("word").distinct().unionByName(posts.select("word").distinct()).distinct().withColumn("w_", plain)
+        items = self.index.items()
+        stored = self.postings.items()
+        if stored is None:
+            return self.spark.createDataFrame([], "query_id long, rank int, item_id string, similarity double")
+        gone = items.where(F.col("flag").bitwiseAND(1) != 0).select(F.col("item_id").alias("item"))
+        posts = self.postings.near(asked).join(gone, "item", "left_anti")
         if self.rerank and self.models.idf is not None:
-            weights = words.join(self.models.idf.select(F.col("word").alias("w_"), "weight"), "w_").select("word", "weight")
+            idf = F.broadcast(self.models.idf.select(F.col("word").alias("w_"), "weight"))
+            plain = inverted.unflagged(F.col("word")) if self.kind.split else F.col("word")
+            weights = asked.select("word").distinct().withColumn("w_", plain).join(idf, "w_").select("word", "weight")
+            hits = posts.join(F.broadcast(asked.where("word is not null")), "word").groupBy("query", "item").count().where(F.col("count") > max(1, options["hit_threshold"]))
+            words = items.select(F.col("item_id").alias("item"), "vector").join(hits.select("item").distinct(), "item", "left_semi")
+            words = words.select("item", F.explode(self.kind.decode(F.col("vector"))["words"]).alias("word")).withColumn("w_", plain)
+            norms = words.join(idf, "w_").groupBy("item").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
         else:
-            weights = words.select("word", F.lit(1.0).alias("weight"))
-        found = inverted.index_topk(posts, weights, asked, n, options["hit_threshold"])
+            weights = asked.select("word").distinct().select("word", F.lit(1.0).alias("weight"))
+            norms = stored.select("item", F.sqrt(F.col("n_words").cast("double")).alias("norm"))
+        found = inverted.index_topk(posts, weights, asked, n, options["hit_threshold"], norms)
         return found.select(F.col("query").alias("query_id"), "rank", F.col("item").alias("item_id"), "similarity")
 
     def search(self, n: int, x: dict) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .errors import InvalidArguments
 from .functions import similarity as S
-from .functions.codec import floats_to_text, hex_to_words, text_to_floats, words_to_hex
+from .functions.codec import block_words, floats_to_text, hex_to_words, text_to_floats, words_to_hex
 from .operators import aggregate, inverted, training
 from .sources import images as I
 
@@ -126,8 +126,8 @@ class Words:
         parts = F.split(text, "_")
         body = parts[0]
         if self._blocks:
-            digits = lambda b: F.conv(F.substring(body, b * 16 + 1, 16), 16, -10).cast("long")
-            every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(self._blocks - 1)), lambda b: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", digits(b), i).bitwiseAND(1) == 1), lambda i: (b * 64 + i).cast("long"))))
+            blocks = F.transform(F.sequence(F.lit(0), F.lit(self._blocks - 1)), lambda b: F.conv(F.substring(body, b * 16 + 1, 16), 16, -10).cast("long"))
+            every = F.flatten(F.transform(blocks, lambda bits, b: block_words(b.cast("long"), bits)))  # a block is parsed once
             words = F.when(body.rlike(f"^[0-9a-f]{{{16 * self._blocks}}}$"), every)
         else:
             words = hex_to_words(body)

@@ -131,8 +131,9 @@ class StoredIndex:
     def norms(self) -> DataFrame:
         return self._last("norms")
 
-    def add(self, posts: DataFrame, stop: int = 0) -> None:
-        """Takes (item, word) pairs. Weights are by ``idf`` over all items then there, with ``stop`` as there."""
+    def add(self, posts: DataFrame, stop: int = 0, weigh: bool = True) -> None:
+        """Takes (item, word) pairs. Weights are by ``idf`` over all items then there, with ``stop`` as there; without
+        ``weigh`` none are kept, for searches that bring their own."""
         known, n, batch = self.items(), len(self.batches()), uuid.uuid4().hex
         new = posts.select("item", "word").distinct()
         new = new if known is None else new.join(known.select("item"), "item", "left_anti")
@@ -141,14 +142,18 @@ class StoredIndex:
         new.repartition("range_", F.pmod(F.xxhash64("item"), F.lit(4))).sortWithinPartitions("range_", "word").write.mode("append").partitionBy("batch", "range_").parquet(f"{self.root}/postings")
         own = self.spark.read.parquet(f"{self.root}/postings").where(F.col("batch") == batch)
         own.groupBy("item").agg(F.count("*").alias("n_words")).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{self.root}/items")
-        names = [r.batch for r in self.batches()] + [batch]
+        if weigh:
+            self._weigh([r.batch for r in self.batches()] + [batch], stop)
+        self.spark.createDataFrame([(n, batch)], "n int, batch string").coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
+
+    def _weigh(self, names: list[str], stop: int) -> None:
+        batch = names[-1]
         every = self.spark.read.parquet(f"{self.root}/postings").where(F.col("batch").isin(names))
         items = self.spark.read.parquet(f"{self.root}/items").where(F.col("batch").isin(names))
         total = items.agg(F.count("*").cast("double").alias("n_"))
         weights = doc_freq(every).crossJoin(F.broadcast(total)).select("word", "df", idf(F.col("df"), F.col("n_"), stop).alias("weight"), self._range(F.col("word")).alias("range_"))
         weights.repartition("range_").write.partitionBy("range_").parquet(f"{self.root}/weights/{batch}")
         item_norms(every, self.spark.read.parquet(f"{self.root}/weights/{batch}").select("word", "weight")).write.parquet(f"{self.root}/norms/{batch}")
-        self.spark.createDataFrame([(n, batch)], "n int, batch string").coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
 
     def near(self, words: DataFrame) -> DataFrame:
         """(item, word): the postings of the ranges that ``words`` (word) lie in; at most ``ranges`` numbers are collected."""

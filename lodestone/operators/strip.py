@@ -21,11 +21,18 @@ def _cluster(scores: np.ndarray, k: int = 16, steps: int = 50) -> np.ndarray:
     return label
 
 
+#: How many times n a search takes before the cut.
+OVERFETCH = 8
+
+#: Results that are never cut: clusters of so few say nothing.
+FEW = 16
+
+
 def leading_run(scores: np.ndarray, high: float = 0.8) -> int:
     """How many of the descending scores to keep: the run with the top one's label; if all of it is at least ``high``, the
-    next run, too."""
-    if not len(scores):
-        return 0
+    next run, too. FEW or fewer are all kept."""
+    if len(scores) <= FEW:
+        return len(scores)
     label = _cluster(np.asarray(scores, np.float64))
     ends = [*np.flatnonzero(np.diff(label)) + 1, len(scores)]
     keep = int(ends[0])
@@ -33,7 +40,8 @@ def leading_run(scores: np.ndarray, high: float = 0.8) -> int:
 
 
 def strip(results: DataFrame, query_col: str | None = None) -> DataFrame:
-    """Keeps the leading cluster of each query's results. ``results`` is what a search returned, a few rows a query."""
+    """Keeps the leading cluster of each query's results. ``results`` is what a search returned, a few rows a query; a
+    search that is to return n takes OVERFETCH times as many first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("similarity", ascending=False, kind="stable")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,10 @@ def topk_many(items: DataFrame, queries: DataFrame, score: Column, k: int, id_co
     ``queries`` is a stated set; it is broadcast once its size is checked, so items are scored where they are, and each
     task passes on its own k best of a query (window group limit).
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise InvalidArguments(f"more than {most_queries} queries; split them")
+    parts = -(-queries.count() // most_queries)
+    if parts > 1:  # so many broadcasts, each of a size that was checked
+        of = lambda i: queries.where(F.pmod(F.xxhash64(query_col), F.lit(parts)) == i)
+        return reduce(DataFrame.unionByName, [topk_many(items, of(i), score, k, id_col, query_col, 2 * most_queries) for i in range(parts)])
     w = Window.partitionBy(query_col).orderBy(F.col("similarity").desc(), F.col(id_col).asc())
     scored = items.crossJoin(F.broadcast(queries)).withColumn("similarity", score)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

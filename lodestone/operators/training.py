@@ -42,6 +42,26 @@ def palette(pixels: DataFrame, n: int = 64, sample: int = 200_000) -> DataFrame:
     return centroids(sampled(pixels.select(F.array("h", "s", "v").alias("vec")), sample, "vec"), n)
 
 
+def _descended(v: np.ndarray, levels: list, children: list, number: dict, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, squared distance) of each row: level by level the distances of all rows to all nodes are one matrix, and
+    a row goes on with the children of its ``beam`` nearest nodes. Ties go to the smaller path."""
+    open_ = np.zeros((len(v), 1), bool) | True
+    names: list[tuple] = [()]
+    for level, below in zip(levels, children):
+        paths = sorted(p for n in names for p in below.get(n, ()))
+        parent = np.array([names.index(p[:-1]) for p in paths])
+        c = np.array([level[p] for p in paths])
+        d = np.stack([((v - x) ** 2).sum(1) for x in c], axis=1) if len(v) else np.zeros((0, len(c)))
+        d[~open_[:, parent]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :beam]
+        open_ = np.zeros(d.shape, bool)
+        np.put_along_axis(open_, order, True, axis=1)
+        open_ &= np.isfinite(d)
+        names = paths
+    best = d.argmin(1)
+    return np.array([number[p] for p in names])[best], d[np.arange(len(v)), best]
+
+
 @dataclass
 class CentroidTree:
     """Hierarchical centroids: ``levels[i]`` is (path, vec) for the nodes at depth i + 1, a path being its child numbers.
@@ -69,19 +89,12 @@ class CentroidTree:
                 for path in sorted(level):
                     below.setdefault(path[:-1], []).append(path)
                 children.append(below)
-            for b in batches:
-                labels, distances = [], []
-                for v in b.column(at).to_pylist():
-                    v = np.array(v, np.float64)
-                    front = [()]
-                    for level, below in zip(levels, children):
-                        paths = [p for f in front for p in below.get(f, ())]
-                        d = ((np.array([level[p] for p in paths]) - v) ** 2).sum(1)
-                        order = np.argsort(d, kind="stable")[:beam]
-                        front = [paths[i] for i in order]
-                    labels.append(number[front[0]])
-                    distances.append(float(d[order[0]]))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.int32()), pa.array(distances)], names=[*cols, "label", "distance"])
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 2000):
+                    b = whole.slice(lo, 2000)
+                    v = np.array(b.column(at).to_pylist(), np.float64).reshape(b.num_rows, -1)
+                    label, distance = _descended(v, levels, children, number, beam)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.int32()), pa.array(distance)], names=[*cols, "label", "distance"])
 
         schema = points.select(*cols).schema.add("label", T.IntegerType()).add("distance", T.DoubleType())
         return points.select(*cols).mapInArrow(run, schema)

@@ -483,7 +483,11 @@ def q31_strip(spark, sf_dir):
     return strip(best(x.crossJoin(F.broadcast(one(x))), S.dot(F.col("vector"), F.col("q_vector")), 80))
 
 
-@query()
+@query("""
+SELECT row_number() OVER (ORDER BY similarity DESC, item_id)::INT AS rank, '{"id":"' || item_id || '","value":{"similarity":' || similarity::VARCHAR || '}}' AS json FROM (
+  SELECT a.vec_id AS item_id, round(list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings a, embeddings q WHERE q.vec_id = 0 ORDER BY similarity DESC, item_id LIMIT 10)
+""")
 def q32_json(spark, sf_dir):
     found = q02_dense_topk(spark, sf_dir)
     return found.select("rank", lists.result_json(F.col("item_id").cast("string"), F.col("similarity")).alias("json"))
@@ -502,7 +506,15 @@ def q33_stream_pull(spark, sf_dir):
     return index.items().select("item_id", "flag", "commit_id")
 
 
-@query()
+@query("""
+WITH v AS (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+px AS (SELECT id, i % 8 AS x, i // 8 AS y, trunc(greatest(0.0e0, least(255.0e0, v * 400 + 128)))::INT AS r, trunc(greatest(0.0e0, least(255.0e0, v * 300 + 128)))::INT AS g, trunc(greatest(0.0e0, least(255.0e0, v * 200 + 128)))::INT AS b FROM v),
+m AS (SELECT *, greatest(r, g, b)::DOUBLE AS most, least(r, g, b)::DOUBLE AS least, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS d FROM px),
+h AS (SELECT id, x, y, floor(CASE WHEN most = least THEN 0.0e0 WHEN most = r THEN ((g - b) / d) - 6 * floor(((g - b) / d) / 6) WHEN most = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END * 60 / 60)::INT AS colour FROM m),
+c AS (SELECT id, unnest([least(y * 3 // 8, 2) * 3 + least(x * 3 // 8, 2), 9 + least(y * 4 // 8, 3), 13 + least(y * 2 // 8, 1), 15])::INT AS cell, colour FROM h),
+n AS (SELECT id, cell, colour, count(*) AS n FROM c GROUP BY ALL), l AS (SELECT *, n / max(n) OVER (PARTITION BY id, cell) * 3.99e0 AS v FROM n)
+SELECT id AS item, cell, colour, n, CASE WHEN v > 0.01e0 THEN floor(v) + 1 ELSE 0 END::INT AS level FROM l
+""")
 def q34_image_colours(spark, sf_dir):
     """Every vector as an 8 x 8 picture, as PNG bytes through decoding and pixels to the counts of its cells."""
     import numpy as np
@@ -514,12 +526,10 @@ def q34_image_colours(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["item_id", "content"])
 
     files = vectors(spark, sf_dir).select("item_id", "vector").mapInPandas(png, "item_id long, content binary")
-    px = images.pixels(images.read_bytes(files))
+    px = images.pixels(images.read_bytes(files, id_col="item_id"))
     hue = F.floor(images.hsv(F.col("r"), F.col("g"), F.col("b"))[0] / 60).cast("int")
     x = px.select(F.col("item_id").alias("item"), hue.alias("colour"), F.explode(aggregate.cells(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).alias("cell"))
     return aggregate.unary_levels(x.groupBy("item", "cell", "colour").agg(F.count("*").alias("n")), ["item", "cell"], 3.99)
 
 
-
-
 from . import extra  # noqa: E402, F401  registers its queries with those above

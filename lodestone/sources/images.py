@@ -50,20 +50,21 @@ def _decode_png(data: bytes) -> np.ndarray:
     above = np.zeros(w * channels, np.int32)
     for y in range(h):
         rule, line = rows[y, 0], rows[y, 1:].astype(np.int32)
-        if rule == 2:
+        if rule == 1:
+            line = (np.cumsum(line.reshape(w, channels), axis=0) & 255).ravel()
+        elif rule == 2:
             line = (line + above) & 255
         elif rule:
-            for x in range(len(line)):
-                left = line[x - channels] if x >= channels else 0
-                corner = above[x - channels] if x >= channels else 0
-                if rule == 1:
-                    guess = left
-                elif rule == 3:
-                    guess = (left + above[x]) // 2
+            left, corner = np.zeros(channels, np.int32), np.zeros(channels, np.int32)
+            for x in range(0, len(line), channels):  # each pixel needs the one before it; its channels are done at once
+                up = above[x : x + channels]
+                if rule == 3:
+                    guess = (left + up) // 2
                 else:
-                    p = left + above[x] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))[2]
-                line[x] = (line[x] + guess) & 255
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                line[x : x + channels] = left = (line[x : x + channels] + guess) & 255
+                corner = up
         out[y] = above = line
     x = out.reshape(h, w, channels).astype(np.uint8)
     if kind == 3:
@@ -98,8 +99,8 @@ def decode(data: bytes) -> np.ndarray | None:
         return None
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, item_id, image) of the image files under a path, decoded by Spark's image source; ids are of the bytes."""
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, item_id, image) of the image files under a path, or under each of several, decoded by Spark's image source; ids are of the bytes."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.sha1("content").alias("item_id"))
     pixels = spark.read.format("image").option("dropInvalid", "true").load(path)
     image = F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("data"))
@@ -108,8 +109,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("path", tail(F.col("path"))).join(pixels, "path")
 
 
-def read_bytes(df: DataFrame, content: str = "content") -> DataFrame:
-    """(item_id, image) from a column of file bytes; image is null where they can't be decoded."""
+def read_bytes(df: DataFrame, content: str = "content", id_col: str | None = None) -> DataFrame:
+    """(item_id, image) from a column of file bytes; image is null where they can't be decoded. The id is of the bytes,
+    unless a column has it."""
 
     def run(batches):
         for b in batches:
@@ -117,7 +119,8 @@ def read_bytes(df: DataFrame, content: str = "content") -> DataFrame:
             rows = [None if x is None else {"height": x.shape[0], "width": x.shape[1], "data": np.ascontiguousarray(x[..., ::-1]).tobytes()} for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.struct([("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())]))], names=["item_id", "image"])
 
-    return df.select(F.sha1(content).alias("item_id"), content).mapInArrow(run, f"item_id string, image {IMAGE}")
+    x = df.select((F.col(id_col) if id_col else F.sha1(content)).alias("item_id"), content)
+    return x.mapInArrow(run, f"item_id {x.schema['item_id'].dataType.simpleString()}, image {IMAGE}")
 
 
 def from_pixels(data: Column, width: Column, height: Column, order: str = "bgr") -> Column:
@@ -125,25 +128,35 @@ def from_pixels(data: Column, width: Column, height: Column, order: str = "bgr")
     if order not in ("bgr", "rgb"):
         raise InvalidArguments(f"not a pixel order: {order!r}")
     if order == "rgb":
-        swap = F.transform(F.sequence(F.lit(0), width * height - 1), lambda i: F.concat(F.substring(data, i * 3 + 3, 1), F.substring(data, i * 3 + 2, 1), F.substring(data, i * 3 + 1, 1)))
-        data = F.aggregate(swap, F.lit(b""), lambda a, p: F.concat(a, p))
+        data = F.unhex(F.regexp_replace(F.hex(data), "(..)(..)(..)", "$3$2$1"))
     return F.struct(height.cast("int").alias("height"), width.cast("int").alias("width"), data.alias("data"))
 
 
 def pixels(images: DataFrame, step: int = 1, region: tuple[int, int, int, int] | None = None, flip: bool = False) -> DataFrame:
     """(item_id, x, y, width, height, r, g, b) of every step-th pixel; ``region`` (x, y, width, height) crops first and
-    ``flip`` mirrors left and right. Expressions alone."""
-    w, h = F.col("image.width"), F.col("image.height")
-    x0, y0, cw, ch = (F.lit(v) for v in region) if region else (F.lit(0), F.lit(0), w, h)
-    cw, ch = F.least(cw, w - x0), F.least(ch, h - y0)
-    hexed = F.hex("image.data")
-    at = images.where(F.col("image").isNotNull()).select("item_id", cw.alias("width"), ch.alias("height"), x0.alias("x0"), y0.alias("y0"), w.alias("w"), hexed.alias("d"))
-    at = at.where("width > 0 and height > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(step))))
-    at = at.withColumn("row", F.substring("d", ((F.col("y") + F.col("y0")) * F.col("w") + F.col("x0")) * 6 + 1, F.col("width") * 6)).drop("d")
-    at = at.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1, F.lit(step))))
-    byte = lambda i: F.conv(F.substring("row", F.col("x") * 6 + 1 + 2 * i, 2), 16, 10).cast("int")
-    out_x = F.col("width") - 1 - F.col("x") if flip else F.col("x")
-    return at.select("item_id", out_x.alias("x"), "y", "width", "height", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+    ``flip`` mirrors left and right. A picture's bytes are taken as one array."""
+    x0, y0, cw, ch = region or (0, 0, None, None)
+
+    def run(batches):
+        for b in batches:
+            for item, img in zip(b.column(0), b.column(1).to_pylist()):
+                if img is None:
+                    continue
+                data = np.frombuffer(img["data"], np.uint8)[: img["height"] * img["width"] * 3].reshape(img["height"], img["width"], 3)
+                data = data[y0 : None if ch is None else y0 + ch, x0 : None if cw is None else x0 + cw]
+                height, width = data.shape[:2]
+                if not height or not width:
+                    continue
+                ys, xs = np.arange(0, height, step), np.arange(0, width, step)
+                part = data[ys[:, None], xs[None]].reshape(-1, 3).astype(np.int32)
+                x = np.tile(width - 1 - xs if flip else xs, len(ys)).astype(np.int32)
+                n = len(part)
+                same = lambda v: np.full(n, v, np.int32)  # noqa: E731, B023
+                cols = [x, np.repeat(ys, len(xs)).astype(np.int32), same(width), same(height), part[:, 2], part[:, 1], part[:, 0]]
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * n, item.type), *map(pa.array, cols)], names=["item_id", "x", "y", "width", "height", "r", "g", "b"])
+
+    kind = images.schema["item_id"].dataType.simpleString()
+    return images.select("item_id", "image").mapInArrow(run, f"item_id {kind}, x int, y int, width int, height int, r int, g int, b int")
 
 
 def hsv(r: Column, g: Column, b: Column) -> Column:
