@@ -31,8 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: so many long texts would be hundreds of MB, twice.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers that share this file system import the package, wherever the driver was started."""
+    """Lets Python workers that share this file system import the package, wherever the driver was started, and keeps the
+    batches that they get small."""
+    if spark.conf.get(BATCH[0], BATCH[1]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

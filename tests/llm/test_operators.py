@@ -75,6 +75,31 @@ def test_mix_meets_targets(spark):
     assert by.target.sum() == pytest.approx(1.5 * x["size"].sum()) and (by.target <= 2 * by.own + 1e-6).all()
 
 
+def test_mix_on_odd_rows(spark):
+    """Sizes, shares and what is taken, row by row: nulls, a source without words, repeated ids, clashing columns."""
+    rows = [(i, "w " * 10, "en", f"s{i % 3}", 1) for i in range(30)] + [(100, None, "en", "empty", 0), (None, "a b", "en", None, 3), (5, "w " * 10, "en", "s2", 1), (5, "w " * 10, "en", "s2", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("size", "times", "h_", "target", "low_", "taken")})
+    got = mixing.mix(df).collect()
+    size = {"s0": 100, "s1": 100, "s2": 120, "empty": 0, None: 2}
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len((t or "").split())) for i, t, _, s, _ in rows)
+    assert all(r.source_size == size[r.source] for r in got)
+    weight, share = {"empty": 3, "s0": 1, "s1": 2, "s2": 3, None: 1}, 1.5 * 322
+    goal, left = {}, dict(weight)
+    while left:
+        level = (share - sum(goal.values())) / sum(left.values())
+        full = {s for s in left if 2 * size[s] <= level * left[s]}
+        if not full:
+            goal |= {s: level * w for s, w in left.items()}
+            break
+        goal |= {s: 2.0 * size[s] for s in full}
+        left = {s: w for s, w in left.items() if s not in full}
+    for s in size:
+        own = [r for r in got if r.source == s]
+        assert all(r.target == pytest.approx(goal[s]) for r in own) and abs(sum(r.taken for r in own) - goal[s]) <= 30
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in own)
+    assert len({r.taken for r in got if r.doc_id == 5 and r.source == "s2"}) == 1
+
+
 def test_line_rules(spark):
     common, rows = "A line that is long enough", []
     for i in range(4):
@@ -211,6 +236,24 @@ def test_near_duplicates_are_exact(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_brute(texts)
 
 
+def test_near_duplicates_recur(spark, monkeypatch):
+    """Groups that share most of one text and differ by shared passages outside it: regions below the first get pivots of
+    their own; the result is that of all pairs."""
+    levels, whole = [], jaccard._pivoted
+    monkeypatch.setattr(jaccard, "_pivoted", lambda regions, work: levels.append(1) or whole(regions, work))
+    rng, texts = random.Random(8), {}
+    core = [f"core{i}" for i in range(60)]
+    for a in range(4):
+        one = [f"a{a}_{i}" for i in range(14)]
+        for b in range(4):
+            two = [f"b{a}{b}_{i}" for i in range(10)]
+            for _ in range(5):
+                texts[len(texts)] = " ".join([*edited(rng, core, 0.01), *one, *two, f"own{len(texts)}"])
+    got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), cell=2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_brute(texts)
+    assert len(levels) >= 2  # the first regions and those below
+
+
 def test_near_duplicates_on_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     want = near_brute({r.doc_id: r.text for r in docs.collect()})
