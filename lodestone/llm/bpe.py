@@ -25,7 +25,7 @@ from .common import Scratch, importable, text_or_empty, trimmed
 from .words import slices
 
 #: Words compiled at most, and the least number of times that a word must occur to be compiled.
-LEXICON, OFTEN = 100_000, 20
+LEXICON, OFTEN = 200_000, 20
 
 
 def _byte_chars() -> dict[int, str]:
@@ -55,6 +55,8 @@ class Merger:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: whether the rule takes a run of letters whole, as the file's does
+        self.letters = self.word.findall("abcdefghijklmnopqrstuvwxyz") == ["abcdefghijklmnopqrstuvwxyz"] and "\\p{L}]+" in split["pattern"]["Regex"]
         self.chars = [c for _, c in sorted(_byte_chars().items())]
         self._tables()
 
@@ -79,21 +81,24 @@ class Merger:
         hit = self.pairs[at] == key
         return np.where(hit, self.pair_rank[at], _NONE), self.pair_into[at]
 
-    def merge_all(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of many words at once: in each round every word joins its leftmost pair of the lowest rank."""
-        out: dict[str, list[int]] = {}
+    def packed(self, word: str) -> bytes:
+        return np.array(self.merge(word), "<u4").tobytes()
+
+    def merge_all(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of many words at once: in each round every word joins its leftmost pair of the lowest rank."""
+        out: dict[str, bytes] = {}
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
             raw = w.encode()
             if self.whole and 1 < len(raw) <= 32:
                 by_size.setdefault((len(raw) + 3) // 4, []).append((w, raw))
             else:
-                out[w] = self.merge(w)
+                out[w] = self.packed(w)
         for size, group in by_size.items():
             for lo in range(0, len(group), 20_000):
                 part = group[lo : lo + 20_000]
                 if len(part) < 16:
-                    out |= {w: self.merge(w) for w, _ in part}
+                    out |= {w: self.packed(w) for w, _ in part}
                 else:
                     self._merge_block(part, 4 * size, out)
         return out
@@ -126,8 +131,9 @@ class Merger:
             r[i[right], at[right]] = self._rank(into[right], s[i[right], at[right] + 1])[0]
             r[i[~right], np.minimum(at[~right], width - 2)] = _NONE
             sym[live], rank[live] = s, r
-        for (w, _), k, ids in zip(part, n.tolist(), sym.tolist()):
-            out[w] = ids[:k]
+        whole = sym.astype("<u4").tobytes()
+        for (w, _), at, k in zip(part, range(0, len(whole), 4 * width), n.tolist()):
+            out[w] = whole[at : at + 4 * k]
 
     def chunks(self, text: str) -> list:
         """The pieces of a text between white space, after normalisation; specials come as their ids.
@@ -151,7 +157,8 @@ class Merger:
         return out
 
     def words(self, chunk: str) -> list[str]:
-        return self.word.findall(chunk)
+        """A run of ASCII letters is one word by the rule, and most pieces are."""
+        return [chunk] if self.letters and chunk.isascii() and chunk.isalpha() else self.word.findall(chunk)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: joins the leftmost pair of the lowest rank until none is left; long words use a heap."""
@@ -304,13 +311,23 @@ class Lexicon:
     def of(self, number: int) -> list[int]:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
+    def packed(self, numbers: np.ndarray) -> list[bytes]:
+        """The ids of many words, each word's as little-endian 32-bit integers."""
+        first, last = self.starts[numbers], self.starts[numbers + 1]
+        size = last - first
+        end = np.cumsum(size)
+        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - end + size, size)
+        whole = self.ids[at].astype("<u4").tobytes()
+        ends = (4 * end).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
 
 class Coder:
     """Encodes and decodes in one worker. Pieces seen are cached with their ids in two generations of at most about MOST
     bytes each, by what strings, ids and entries take: a full young one becomes the old one, whose pieces come back when
     they are seen again. Decoded text is built from the tokens' strings."""
 
-    MOST, ENTRY = 24 << 20, 190
+    MOST, ENTRY = 32 << 20, 190
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
         self.merger, self.lexicon = merger, lexicon
@@ -324,29 +341,24 @@ class Coder:
             self.old, self.ids, self.held = self.ids, {}, 0
         new = [c for c in chunks if c not in self.ids]
         if self.old:
-            get, unknown = self.old.get, []
-            for c in new:
-                if known := get(c):
-                    self._keep(c, known)
-                else:
-                    unknown.append(c)
-            new = unknown
-        texts = [c for c in new if isinstance(c, str)]
-        split = [self.merger.words(c) for c in texts]
-        words = list({w for ws in split for w in ws})
-        numbers = self.lexicon.find(words).tolist()
-        found = {w: self.lexicon.of(n) for w, n in zip(words, numbers) if n >= 0}
-        found |= self.merger.merge_all([w for w, n in zip(words, numbers) if n < 0])
-        for c, ws in zip(texts, split):
-            ids = found[ws[0]] if len(ws) == 1 else [i for w in ws for i in found[w]]
-            self._keep(c, struct.pack(f"<{len(ids)}I", *ids))
-        for c in new:
-            if not isinstance(c, str):
-                self._keep(c, struct.pack("<I", c))
-
-    def _keep(self, chunk, packed: bytes) -> None:
-        self.ids[chunk] = packed
-        self.held += (len(chunk) if isinstance(chunk, str) else 0) + len(packed) + self.ENTRY
+            old = self.old
+            back = {c: old[c] for c in new if c in old}
+            new = [c for c in new if c not in back]
+            self._keep(back)
+        special = {c: struct.pack("<I", c) for c in new if c.__class__ is not str}
+        texts = [c for c in new if c.__class__ is str] if special else new
+        split = list(map(self.merger.words, texts))
+        words = list(set().union(*split))
+        numbers = self.lexicon.find(words)
+        held = np.flatnonzero(numbers >= 0)
+        found = dict(zip([words[i] for i in held.tolist()], self.lexicon.packed(numbers[held])))
+        found |= self.merger.merge_all([words[i] for i in np.flatnonzero(numbers < 0).tolist()])
+        self._keep({c: found[ws[0]] if len(ws) == 1 else b"".join([found[w] for w in ws]) for c, ws in zip(texts, split)})
+        self._keep(special)
+
+    def _keep(self, more: dict) -> None:
+        self.ids.update(more)
+        self.held += sum(len(c) for c in more if c.__class__ is str) + sum(map(len, more.values())) + self.ENTRY * len(more)
 
     def encode(self, texts: list[str]):
         """For each text the ids as little-endian 32-bit integers and the decoded text.
@@ -361,7 +373,7 @@ class Coder:
             yield packed, " ".join(map(token, np.frombuffer(packed, "<u4").tolist()))
 
 
-def word_counts(docs: DataFrame, spec: str, most: int = 100_000) -> DataFrame:
+def word_counts(docs: DataFrame, spec: str, most: int = 150_000) -> DataFrame:
     """(word, n) over all documents. A worker counts up to about ``most`` different pieces before it passes them on."""
 
     def run(batches):

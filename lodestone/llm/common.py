@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -115,10 +116,15 @@ def fresh(name: str, *frames: DataFrame) -> str:
 
 
 def trimmed(run):
-    """Wraps the function of a mapInArrow: at its end the worker gives freed memory back, as it will be used again."""
+    """Wraps the function of a mapInArrow: at its end the worker gives freed memory back, as it will be used again. What
+    these functions hold has no cycles, so Python needn't look for any while they run."""
 
     def wrapped(batches):
-        yield from run(batches)
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
