@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArguments
+from ..session import importable
 
-#: Queries that one pass over the items takes at most.
-QUERY_BLOCK = 4096
+#: Vector queries that are broadcast at most; products that a worker holds at once; decimals of a similarity that count.
+QUERY_BLOCK, CELLS, DIGITS = 4096, 1 << 23, 12
 
 
 def live(items: DataFrame) -> DataFrame:
@@ -55,52 +56,77 @@ def topk_many(items: DataFrame, queries: DataFrame, score: Column, k: int, id_co
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_topk_many(items: DataFrame, queries: DataFrame, k: int, id_col: str = "item_id", vec_col: str = "vector", similarity: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+class _Best:
+    """The k best items of each of a block's queries so far, as flat arrays of (query row, item id, similarity)."""
+
+    def __init__(self, queries: np.ndarray, k: int, similarity: Callable[[np.ndarray], np.ndarray] | None):
+        self.q, self.k, self.similarity = queries, k, similarity
+        self.row, self.id, self.value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.step = max(1, CELLS // max(1, len(queries)))
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for lo in range(0, len(x), self.step):
+            s = self.q @ x[lo : lo + self.step].T
+            s = np.round(s if self.similarity is None else self.similarity(s), DIGITS)
+            n = s.shape[1]
+            # all that reach the k-th value go on, so that equal ones are told apart by id
+            row, at = np.nonzero(s >= np.partition(s, n - self.k, axis=1)[:, n - self.k, None]) if n > self.k else np.indices(s.shape).reshape(2, -1)
+            row, found, value = np.concatenate([self.row, row]), np.concatenate([self.id, ids[lo + at]]), np.concatenate([self.value, s[row, at]])
+            order = np.lexsort((found, -value, row))
+            row = row[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+            self.row, self.id, self.value = row[keep], found[order][keep], value[order][keep]
+
+    def columns(self, query_ids: np.ndarray) -> dict[str, np.ndarray]:
+        return {"query_id": query_ids[self.row], "item_id": self.id, "similarity": self.value}
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def dense_topk_many(items: DataFrame, queries: DataFrame, k: int, id_col: str = "item_id", vec_col: str = "vector", similarity: Callable[[np.ndarray], np.ndarray] | None = None, most_queries: int = QUERY_BLOCK, block: int = 16_384) -> DataFrame:
     """The k best items by dot product for very many queries: (query_id, item_id, similarity, rank).
 
-    Queries come in blocks of QUERY_BLOCK, each one matrix that every task multiplies with its batches of items while it
-    holds k candidates a query; the tasks' candidates meet in one exchange by query. Double precision throughout.
+    Up to ``most_queries`` queries, of 256 MB at most, are broadcast, so items are scored where they are and each task
+    passes on k candidates a query. More are never gathered: queries and items are dealt to blocks of about ``block``
+    rows or 32 MB, each pair of blocks is one task's matrix product, and its k best of a query meet those of the query's
+    other pairs in one exchange. Vectors are of one dimension; null ones are left out. Double precision; similarities
+    that agree to DIGITS decimals are equal, whatever the blocks, and go to the smaller id.
     """
-    spark = items.sparkSession
-    out = None
-    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    block, blocks = [], []
-    for r in rows.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    if block:
-        blocks.append(block)
     schema = "query_id long, item_id long, similarity double"
-    items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    for block in blocks:
-        held = spark.sparkContext.broadcast((np.array([r.query_id for r in block]), np.array([r.v for r in block], np.float64)))
-
-        def run(batches, held=held):
+    importable(items.sparkSession)
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("q_")).where("q_ is not null")
+    items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(vec_col).cast("array<double>").alias("v_")).where("v_ is not null")
+    n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q_")), F.lit(1))).first()
+    if n <= most_queries and n * dim <= 1 << 25:
+        t = queries.toArrow().combine_chunks()
+        held = items.sparkSession.sparkContext.broadcast((t["query_id"].to_numpy(), _matrix(t["q_"].combine_chunks()) if n else np.zeros((0, dim))))
+
+        def run(batches):
             ids, q = held.value
-            best = np.zeros((len(ids), 0))
-            best_id = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                s = q @ x.T
-                if similarity is not None:
-                    s = similarity(s)
-                best = np.concatenate([best, s], axis=1)
-                best_id = np.concatenate([best_id, np.broadcast_to(b.column(0).to_numpy(), s.shape)], axis=1)
-                if best.shape[1] > k:
-                    order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                    best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            n = best.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query_id", "item_id", "similarity"])
-
-        part = items.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema + ", rank int")
+            best = _Best(q, k, similarity)
+            for b in batches if len(ids) else ():
+                if b.num_rows:
+                    best.add(b.column(0).to_numpy(), _matrix(b.column(1)))
+            yield pa.RecordBatch.from_pydict(best.columns(ids))
+
+        out = items.mapInArrow(run, schema)
+    else:
+        rows = min(block, max(256, (1 << 22) // dim))
+        of_queries, of_items = -(-n // rows), max(1, -(-items.count() // rows))
+        number = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        left = queries.withColumn("one_", number("query_id", of_queries)).withColumn("two_", every(of_items))
+        right = items.withColumn("two_", number("item_id", of_items)).withColumn("one_", every(of_queries))
+
+        def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+            best = _Best(_matrix(a["q_"].combine_chunks()) if a.num_rows else np.zeros((0, dim)), k, similarity)
+            if a.num_rows and b.num_rows:
+                best.add(b["item_id"].to_numpy(), _matrix(b["v_"].combine_chunks()))
+            return pa.table(best.columns(a["query_id"].to_numpy()))
+
+        out = left.groupBy("one_", "two_").cogroup(right.groupBy("one_", "two_")).applyInArrow(compare, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("item_id").asc())
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -99,11 +99,16 @@ def test_dense_topk_many_equals_numpy(spark):
     x = rng.normal(size=(300, 8))
     x[7] = x[3]
     items = spark.createDataFrame([(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)], "item_id long, vector array<double>, label int").repartition(5)
-    got = {}
-    for r in topk.dense_topk_many(items, items.selectExpr("item_id as query_id", "vector").where("query_id < 20"), 6).collect():
-        got.setdefault(r.query_id, {})[r.rank] = r.item_id
-    for q in range(20):
-        assert [got[q][i] for i in range(1, 7)] == sorted(range(300), key=lambda i: (-(x[q] @ x[i]), i))[:6]
+    queries, missing = items.selectExpr("item_id as query_id", "vector"), spark.createDataFrame([(500, None, 0)], items.schema)
+    for few in ({}, {"most_queries": 10, "block": 64}):  # broadcast, and in blocks
+        got = {}
+        for r in topk.dense_topk_many(items.union(missing), queries.where("query_id < 20"), 6, **few).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.item_id
+        assert len(got) == 20
+        for q in range(20):
+            assert [got[q][i] for i in range(1, 7)] == sorted(range(300), key=lambda i: (-round(x[q] @ x[i], 12), i))[:6]
+    assert topk.dense_topk_many(items.where("false"), queries, 6, most_queries=10).count() == 0
+    assert topk.dense_topk_many(items.where("item_id < 4"), queries, 6, most_queries=10, block=64).count() == 1200
     assert topk.dense_topk_many(items, items.selectExpr("item_id as query_id", "vector").where("false"), 3).count() == 0
     assert validate.group_score(items).first().queries == 300
 
