@@ -115,6 +115,15 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def trimmed(run):
     """Wraps the function of a mapInArrow: at its end the worker gives freed memory back, as it will be used again. What
     these functions hold has no cycles, so Python needn't look for any while they run."""
@@ -125,11 +134,7 @@ def trimmed(run):
             yield from run(batches)
         finally:
             gc.enable()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return wrapped
 

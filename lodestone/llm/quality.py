@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, importable, text_or_empty, trimmed
+from .common import by_hash, give_back, importable, text_or_empty, trimmed
 from .words import Words, mix, pieces, slices
 
 #: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on. A row that the machine
@@ -80,8 +80,8 @@ class Machine:
         """Adds each text's bins to its words; entries come sorted by row."""
         n = len(x)
         bins = np.stack([np.searchsorted(self.edges[j], x[:, j]) for j in range(len(STATS))], axis=1)
-        more = (1 << BITS) + np.arange(len(STATS)) * BINS + bins
-        rows = np.concatenate([row, np.repeat(np.arange(n), len(STATS))])
+        more = ((1 << BITS) + np.arange(len(STATS)) * BINS + bins).astype(slot.dtype)
+        rows = np.concatenate([row, np.repeat(np.arange(n, dtype=row.dtype), len(STATS))])
         order = np.argsort(rows, kind="stable")
         return rows[order], np.concatenate([slot, more.ravel()])[order], np.concatenate([weight, np.full(more.size, 0.5, np.float32)])[order]
 
@@ -183,14 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
     y = found["y"].to_numpy().astype(np.float64)
     if not len(y):
         return Machine(np.zeros((len(STATS), BINS - 1)))
-    x = np.array(found["x"].to_pylist())
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     slots, weights = found["slot"].combine_chunks(), found["weight"].combine_chunks()
     length = slots.value_lengths().to_numpy(zero_copy_only=False)
     edges = np.quantile(x, np.arange(1, BINS) / BINS, axis=0).T
     m = Machine(edges)
     m.bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     if 0 < y.mean() < 1:
-        m.fit(*m.joined(np.repeat(np.arange(len(y)), length), slots.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), x), y)
+        # 32-bit numbers and no copy that outlives its use: the driver holds the sample twice at most
+        entries = m.joined(np.repeat(np.arange(len(y), dtype=np.int32), length), slots.flatten().to_numpy(), weights.flatten().to_numpy(), x)
+        del found, slots, weights
+        m.fit(*entries, y)
+        del entries
+    give_back()
     return m
 
 
