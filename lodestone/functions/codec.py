@@ -34,8 +34,20 @@ def hex_to_words(text: Column, idf: Column | None = None) -> Column:
     return words if idf is None else F.filter(words, lambda w: F.coalesce(F.element_at(idf, w), F.lit(0.0)) > 0)
 
 
+def _scientific(x: Column) -> Column:
+    # %e rounds the shortest decimal that names x, and halves up; this rounds x itself, and halves to even. Whole numbers
+    # go in as such, since of a double the formatter doesn't know that it is exactly between two.
+    x = x.cast("double")
+    digits = lambda n: F.call_function("format_number", n, F.lit("0.000000E00"))
+    whole = (x == F.rint(x)) & (F.abs(x) >= 1e7) & (F.abs(x) < float(1 << 63))
+    text = F.when(whole, digits(x.cast("long"))).otherwise(digits(x))
+    text = F.replace(F.replace(F.replace(text, F.lit("E-"), F.lit("e-")), F.lit("E"), F.lit("e+")), F.lit("∞"), F.lit("inf"))
+    return F.when(x.isNull(), "null").when(F.isnan(x), "nan").otherwise(text)
+
+
 def floats_to_text(v: Column) -> Column:
-    return F.array_join(F.transform(v, lambda x: F.format_string("%e", x)), " ")
+    """Seven digits and an exponent each, rounded exactly; only doubles below 2.3e-308 are rounded from their shortest form."""
+    return F.array_join(F.transform(v, _scientific), " ")
 
 
 def text_to_floats(text: Column, n: int | None = None) -> Column:

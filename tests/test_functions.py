@@ -47,6 +47,17 @@ def test_codec_rejects(spark):
     assert r[0] is None and list(r[1]) == [1, 10, 15] and r[2] is None and list(r[3]) == [1.0, -2.5]
 
 
+def test_floats_to_text_rounds_exactly(spark):
+    """Exact halves go to even, near halves to their own side, as C's printf has it."""
+    near = [float(f"{m}5e{e}") for m in (1000000, 1289062, 2345678, 9999999) for e in (-40, -14, -8, -3, 0, 6, 11, 14, 30)]
+    v = [2.0**-11, 0.12890625, *near, *[float(np.nextafter(x, 0)) for x in near], 2.0**62, 2.0**63, 1e300, 1.0, 0.1, 0.0, -0.0, float("inf")]
+    v += [-x for x in v] + [float("nan")]
+    got = spark.createDataFrame([(v,)], "v array<double>").select(codec.floats_to_text(F.col("v"))).first()[0]
+    assert got.split() == [f"{x:.6e}" for x in v]
+    odd = spark.createDataFrame([([0.12890625, None],)], "v array<float>").select(codec.floats_to_text(F.col("v")).alias("t")).select("t", codec.text_to_floats(F.col("t"))).first()
+    assert tuple(odd) == ("1.289062e-01 null", None)
+
+
 def test_similarities(spark):
     v = lambda *x: F.array(*[F.lit(float(a)) for a in x])
     r = row(
