@@ -173,7 +173,7 @@ def _pivoted(regions: DataFrame, work: Scratch) -> DataFrame:
 
 
 def _side(rows: DataFrame, name: str, *cols: str) -> DataFrame:
-    return rows.select(*[F.col(c).alias(c if c in ("pivot_", "h_") else f"{c[0]}{name}_") for c in cols], F.col("node_").alias(f"{name}_"), F.col("n_").alias(f"n{name}_"), F.col("comp_").alias(f"c{name}_"))
+    return rows.select(*[F.col(c).alias(c if c in ("pivot_", "h_", "class_") else f"{c[0]}{name}_") for c in cols], F.col("node_").alias(f"{name}_"), F.col("n_").alias(f"n{name}_"), F.col("comp_").alias(f"c{name}_"))
 
 
 def _open(percent: int):
@@ -186,32 +186,52 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x_", "y_").alias("x_"), F.greatest("x_", "y_").alias("y_")).distinct()
 
 
+#: Logarithm of the ratio of sizes that a class spans.
+CLASS = math.log(1.05)
+
+
+def _size_class(n):
+    return F.floor(F.log(n.cast("double")) / CLASS).cast("int")
+
+
 def _beyond_pivot(regions: DataFrame, sets: DataFrame, percent: int, most: int | None, work: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs between a region's members outside its largest component and all others, and deeper regions.
 
     Two sets share at most min(|x & p|, |y & p|) within the pivot p. Where that is too little for a link, they must
     share the rest outside p, so the members enter regions of their rarest shingles outside p. Regions of one pivot are
     taken together. A new region in which more than ``most`` pairs could be compared is not; it is returned as deeper.
+    Of the pairs in the others, those go on for which the pivot and the shingles from the region's on leave enough.
     """
     g = work.keep(regions.groupBy("pivot_", "node_", "n_", "comp_").agg(F.max("far_").alias("far_")), "members")
     pivots = work.keep(g.select("pivot_").distinct(), "pivots")
     of = sets.select(F.col("node_").alias("pivot_"), F.col("set_").alias("of_")).join(small(pivots, 500_000), "pivot_")
     g = sets.join(small(g, 500_000), "node_").join(of, "pivot_")
     g = work.keep(g.select("pivot_", "node_", "n_", "comp_", "far_", F.array_except("set_", "of_").alias("out_")).withColumn("b_", F.col("n_") - F.size("out_")), "outside")
-    needed = F.floor((percent * (F.col("nx_") + F.col("ny_")) + 99 + percent) / (100 + percent))
+    least = lambda n: F.floor((percent * n + 99) / 100)
+    needed = lambda both: F.floor((percent * both + 99 + percent) / (100 + percent))
+    # pairs that may link by what they share within the pivot; that bounds the partner's size, so few sizes are looked up
     within = g.where(100 * F.col("b_") >= percent * F.col("n_"))
-    near = _side(within.where("far_"), "x", "pivot_", "b_").join(_side(within, "y", "pivot_", "b_"), "pivot_").where(_open(percent) & (F.least("bx_", "by_") >= needed))
+    hi = F.least(F.floor(100 * F.col("n_") / percent), F.floor((100 + percent) * F.col("b_") / percent) - F.col("n_"))
+    asks = within.where("far_").withColumn("lo_", least(F.col("n_"))).withColumn("hi_", hi).where("lo_ <= hi_")
+    asks = asks.withColumn("class_", F.explode(F.sequence(_size_class(F.col("lo_")), _size_class(F.col("hi_")))))
+    near = _side(asks, "x", "pivot_", "class_", "b_").join(_side(within.withColumn("class_", _size_class(F.col("n_"))), "y", "pivot_", "class_", "b_"), ["pivot_", "class_"])
+    near = near.where(_open(percent) & (F.least("bx_", "by_") >= needed(F.col("nx_") + F.col("ny_"))))
     # a set of n needs at least ceil(t n) - |x & p| from outside, so of its rarest outside shingles all but that many will do
-    from_out = F.greatest(F.floor((percent * F.col("n_") + 99) / 100) - F.col("b_"), F.lit(1))
-    e = g.select("pivot_", "node_", "n_", "comp_", "far_", (F.size("out_") - from_out + 1).alias("enter_"), F.explode("out_").alias("e_")).where(F.col("enter_") > 0)
+    from_out = F.greatest(least(F.col("n_")) - F.col("b_"), F.lit(1))
+    e = g.select("pivot_", "node_", "n_", "b_", "comp_", "far_", F.size("out_").alias("size_"), from_out.alias("from_"), F.explode("out_").alias("e_")).where(F.col("size_") >= F.col("from_"))
     e = e.withColumn("df_", F.count("*").over(Window.partitionBy("pivot_", "e_")))
-    e = e.withColumn("rank_", F.row_number().over(Window.partitionBy("pivot_", "node_").orderBy("df_", "e_"))).where((F.col("rank_") <= F.col("enter_")) & (F.col("df_") > 1))
-    span = e.groupBy("pivot_", "e_").agg((F.sum(F.col("far_").cast("long")) * F.count("*")).alias("pairs_"), F.bit_xor(F.xxhash64("node_", "far_")).alias("s_"), F.min("comp_").alias("lo_"), F.max("comp_").alias("hi_"))
-    span = span.where((F.col("lo_") < F.col("hi_")) & (F.col("pairs_") > 0)).select("pivot_", "e_", "pairs_", "s_")
-    # regions with the same members are one
-    e = work.keep(e.join(span, ["pivot_", "e_"]).select(F.col("s_").alias("h_"), "node_", "n_", "comp_", "far_", "pairs_").distinct(), "deeper")
+    e = e.withColumn("rank_", F.row_number().over(Window.partitionBy("pivot_", "node_").orderBy("df_", "e_")))
+    # how many outside shingles are left from this one on: what two sets share within p and after their first common one
+    e = e.withColumn("spare_", F.col("size_") - F.col("rank_") + 1).where((F.col("spare_") >= F.col("from_")) & (F.col("df_") > 1))
+    span = e.groupBy("pivot_", "e_").agg((F.sum(F.col("far_").cast("long")) * F.count("*")).alias("pairs_"), F.bit_xor(F.xxhash64("pivot_", "node_", "far_")).alias("h_"), F.min("comp_").alias("min_"), F.max("comp_").alias("max_"))
+    span = span.where((F.col("min_") < F.col("max_")) & (F.col("pairs_") > 0)).select("pivot_", "e_", "pairs_", F.xxhash64("pivot_", "h_").alias("h_"))
+    # regions of a pivot with the same members are one
+    e = e.join(span, ["pivot_", "e_"]).groupBy("h_", "node_", "n_", "comp_", "far_", "pairs_").agg(F.max("b_").alias("b_"), F.max("spare_").alias("spare_"))
+    e = work.keep(e, "deeper")
     few = e if most is None else e.where(F.col("pairs_") <= most)
-    out = _side(few.where("far_"), "x", "h_").join(_side(few, "y", "h_"), "h_").where(_open(percent))
+    # a pair needs more than the least that each alone may need; near copies of p have its size, so they need far more
+    out = _side(few.where("far_"), "x", "h_", "b_", "spare_").join(_side(few, "y", "h_", "b_", "spare_"), "h_").where(_open(percent))
+    out = out.where(F.least("bx_", "by_") + F.least("sx_", "sy_") >= needed(F.col("nx_") + F.col("ny_")))
     pairs = _ordered(near.select("x_", "y_").unionByName(out.select("x_", "y_")))
     return pairs, None if most is None else e.where(F.col("pairs_") > most).select("h_", "node_", "n_", "far_")
 

@@ -254,6 +254,28 @@ def test_near_duplicates_recur(spark, monkeypatch):
     assert len(levels) >= 2  # the first regions and those below
 
 
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Copies of one text with deleted words, many by the same ones, of several lengths: all links, and few pairs compared
+    beyond the pivot, though members outside the largest component share deletions with many others."""
+    compared, whole = [], jaccard._beyond_pivot
+
+    def counted(*args):
+        pairs, deeper = whole(*args)
+        compared.append(pairs.count())
+        return pairs, deeper
+
+    monkeypatch.setattr(jaccard, "_beyond_pivot", counted)
+    rng, texts = random.Random(11), {}
+    base = [f"w{i}" for i in range(150)]
+    for i in range(400):
+        p, words = rng.uniform(0, 0.065), base[: 150 if i % 4 else rng.randint(100, 150)]
+        kept = [f"n{rng.randint(0, 10**6)}" if rng.random() < 0.6 * p else w for w in words if rng.random() >= 0.4 * p]
+        texts[i] = " ".join(kept)
+    got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_brute(texts)
+    assert sum(compared) < 6 * len(texts), compared
+
+
 def test_near_duplicates_on_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     want = near_brute({r.doc_id: r.text for r in docs.collect()})
