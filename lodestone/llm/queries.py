@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, exact, html_template, jaccard, lines, mixing, pii, quality, repair, rpforest
+from . import audit, bpe, chat, exact, html_template, jaccard, lines, mixing, pii, quality, repair, rpforest, rules
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judged(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = repair.repair(repair.damage(table(spark, sf_dir, "conversations")), lost_col="lost")
     return x.withColumn("repaired_sha256", F.sha2("text", 256)).drop("text")
@@ -69,6 +74,6 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_pii, op3_mixing, op4_exact_dedup, op5_ngram_jaccard, op6_chat, op7_html, op8_bpe, op9_embedding_dedup, op10_line_dedup, op12_repair, op13_filter_audit)
+    for f in (op1_quality, op2_pii, op3_mixing, op4_exact_dedup, op5_ngram_jaccard, op6_chat, op7_html, op8_bpe, op9_embedding_dedup, op10_line_dedup, op11_rules, op12_repair, op13_filter_audit)
 }
 ORACLES = {"op2_pii": pii.ORACLE, "op3_mixing": mixing.ORACLE, "op4_exact_dedup": exact.ORACLE, "op6_chat": chat.ORACLE, "op10_line_dedup": lines.ORACLE, "op12_repair": repair.ORACLE, "op13_filter_audit": audit.ORACLE}
