@@ -112,6 +112,11 @@ class Rule:
             out = out & (F.col(stat) <= t if op == "<=" else F.col(stat) > t)
         return out
 
+    def with_one(self, stat: str, op: str, t: float) -> Rule:
+        """One more condition, which takes the place of a weaker one on the same side of the same statistic."""
+        kept = tuple(c for c in self.conditions if c[:2] != (stat, op))
+        return Rule((*kept, (stat, op, t)))
+
     def __str__(self) -> str:
         return " and ".join(f"{stat} {op} {t:g}" for stat, op, t in self.conditions)
 
@@ -122,10 +127,11 @@ def _thresholds(v: np.ndarray, most: int = 64) -> np.ndarray:
     return np.unique([float(f"{c:.3g}") for c in (cuts[:-1] + cuts[1:]) / 2]) if len(cuts) > 1 else cuts[:0]
 
 
-def _grown(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
-    """Adds the condition of the greatest information gain until the rule holds for bad rows alone."""
-    conditions, there = [], np.ones(len(bad), bool)
-    while len(conditions) < longest:
+def _grown(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> list[Rule]:
+    """Adds the condition of the greatest information gain until the rule holds for bad rows alone; all the rules on the
+    way, from the first condition on."""
+    rules, there = [Rule(())], np.ones(len(bad), bool)
+    while len(rules) <= longest:
         p, n = (there & bad).sum(), (there & ~bad).sum()
         if not p or not n:
             break
@@ -140,23 +146,24 @@ def _grown(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
                     best = gain.max(), (stat, op, float(cuts[gain.argmax()]))
         if best[1] is None:
             break
-        conditions.append(best[1])
-        there &= Rule((best[1],)).holds(x)
-    return Rule(tuple(conditions))
+        rules.append(rules[-1].with_one(*best[1]))
+        there &= rules[-1].holds(x)
+    return rules[1:]
 
 
-def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, int]:
-    """Bad rows less others, over all rows that the rule holds for; and how many these are."""
+def _precision(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, float, int]:
+    """Of the rows that the rule holds for: the share of bad ones after one of either kind is added, as few rows say
+    little; the share itself; the number."""
     held = rule.holds(x)
-    n = int(held.sum())
-    return (2 * int((held & bad).sum()) / n - 1 if n else -1.0), n
+    n, p = int(held.sum()), int((held & bad).sum())
+    return (p + 1) / (n + 2), p / n if n else 0.0, n
 
 
 def cover(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 16, longest: int = 4, precision: float = 0.9) -> list[Rule]:
     """Learns an ordered list of rules for the bad rows, one after another, each from what those before it leave.
 
-    Two thirds of the rows grow a rule, the rest prunes it: of the rule and its beginnings, the one of greatest worth
-    there stays. A rule counts if at least ``precision`` of the rows that it holds for are bad, among the rows that prune
+    Two thirds of the rows grow a rule, the rest prunes it: of the rule and its beginnings, the one of greatest precision
+    there stays, where few rows count for less. A rule counts if at least ``precision`` of the rows that it holds for are bad, among the rows that prune
     and among all, and five of them at least; the first that doesn't ends the list.
     """
     rules, left = [], np.ones(len(bad), bool)
@@ -164,14 +171,12 @@ def cover(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 16, longest: in
     pick = lambda m: ({k: v[m] for k, v in x.items()}, bad[m])
     while len(rules) < most and (left & bad).sum() >= 5:
         grow, prune = pick(left & ~third), pick(left & third)
-        rule = _grown(*grow, longest)
-        if not rule.conditions:
+        stems = _grown(*grow, longest)
+        if not stems:
             break
-        stems = [Rule(rule.conditions[:k]) for k in range(1, len(rule.conditions) + 1)]
-        best = max(stems, key=lambda r: (_worth(r, *prune)[0], -len(r.conditions)))
-        worth, _ = _worth(best, *prune)
-        whole, n = _worth(best, *pick(left))
-        if min(worth, whole) < 2 * precision - 1 or n < 5:
+        best = max(stems, key=lambda r: (_precision(r, *prune)[0], -len(r.conditions)))
+        (_, pruned, _), (_, whole, n) = _precision(best, *prune), _precision(best, *pick(left))
+        if min(pruned, whole) < precision or n < 5:
             break
         rules.append(best)
         left &= ~best.holds(x)
