@@ -1,28 +1,14 @@
-"""Models: centroids, a tree of centroids with a beam search, colour palettes, and a learned projection."""
+"""Models: flat centroids and colour palettes; trees and codebooks by sign are in ``clusters``, projections in ``metric``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions.similarity import normalized
-
 
-def sampled(points: DataFrame, n: int, key: str = "item") -> DataFrame:
-    """At most n points, the same at every run: those with the smallest hashes of their columns. A threshold on the hash
-    leaves few more than n before they are ordered."""
-    total, h = points.count(), F.pmod(F.xxhash64(*points.columns), F.lit(1 << 31))
-    if total > 2 * n:
-        points = points.where(h < int(1.5 * n / total * (1 << 31)))
-    return points.orderBy(h, key).limit(n)
+from .clusters import CentroidTree, centroid_tree, pooled_weights, sampled_points, signed_codebooks
+from .metric import fit_metric, pca_matrix, projected, sampled
 
 
 def split_by_sign(points: DataFrame) -> DataFrame:
@@ -42,134 +28,7 @@ def palette(pixels: DataFrame, n: int = 64, sample: int = 200_000) -> DataFrame:
     return centroids(sampled(pixels.select(F.array("h", "s", "v").alias("vec")), sample, "vec"), n)
 
 
-def _descended(v: np.ndarray, levels: list, children: list, number: dict, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(label, squared distance) of each row: level by level the distances of all rows to all nodes are one matrix, and
-    a row goes on with the children of its ``beam`` nearest nodes. Ties go to the smaller path."""
-    open_ = np.zeros((len(v), 1), bool) | True
-    names: list[tuple] = [()]
-    for level, below in zip(levels, children):
-        paths = sorted(p for n in names for p in below.get(n, ()))
-        parent = np.array([names.index(p[:-1]) for p in paths])
-        c = np.array([level[p] for p in paths])
-        d = np.stack([((v - x) ** 2).sum(1) for x in c], axis=1) if len(v) else np.zeros((0, len(c)))
-        d[~open_[:, parent]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :beam]
-        open_ = np.zeros(d.shape, bool)
-        np.put_along_axis(open_, order, True, axis=1)
-        open_ &= np.isfinite(d)
-        names = paths
-    best = d.argmin(1)
-    return np.array([number[p] for p in names])[best], d[np.arange(len(v)), best]
-
-
-@dataclass
-class CentroidTree:
-    """Hierarchical centroids: ``levels[i]`` is (path, vec) for the nodes at depth i + 1, a path being its child numbers.
-
-    The tree is a model of fixed size (the product of its widths), so it is broadcast.
-    """
-
-    levels: list[dict[tuple, np.ndarray]]
-
-    @property
-    def leaves(self) -> list[tuple]:
-        return sorted(self.levels[-1])
-
-    def predict(self, points: DataFrame, beam: int = 4, cols: list[str] | None = None) -> DataFrame:
-        """Adds label (the number of the nearest leaf found) and distance, descending with the ``beam`` nearest nodes."""
-        cols = cols or points.columns
-        held = points.sparkSession.sparkContext.broadcast((self.levels, {p: i for i, p in enumerate(self.leaves)}))
-        at = cols.index("vec")
-
-        def run(batches):
-            levels, number = held.value
-            children = []
-            for level in levels:
-                below: dict = {}
-                for path in sorted(level):
-                    below.setdefault(path[:-1], []).append(path)
-                children.append(below)
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 2000):
-                    b = whole.slice(lo, 2000)
-                    v = np.array(b.column(at).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                    label, distance = _descended(v, levels, children, number, beam)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.int32()), pa.array(distance)], names=[*cols, "label", "distance"])
-
-        schema = points.select(*cols).schema.add("label", T.IntegerType()).add("distance", T.DoubleType())
-        return points.select(*cols).mapInArrow(run, schema)
-
-
-def centroid_tree(points: DataFrame, widths: list[int], steps: int = 30, seed: int = 1, least: int = 2) -> CentroidTree:
-    """Splits points into widths[0] clusters, each of those into widths[1], and so on. A node with fewer points than
-    clusters gets one child per distinct point."""
-    spark = points.sparkSession
-    levels: list[dict[tuple, np.ndarray]] = []
-    groups: dict[tuple, DataFrame] = {(): points.select(F.col("vec").cast("array<double>").alias("vec"))}
-    for width in widths:
-        level: dict[tuple, np.ndarray] = {}
-        after: dict[tuple, DataFrame] = {}
-        for path, own in groups.items():
-            own = own.withColumn("f_", array_to_vector("vec")).cache()
-            n = own.count()
-            if n:
-                model = KMeans(k=max(least, min(width, n)), maxIter=steps, seed=seed, featuresCol="f_", predictionCol="p_").fit(own)
-                found = model.clusterCenters()
-                split = model.transform(own)
-                for i, c in enumerate(found):
-                    level[(*path, i)] = np.array(c)
-                    after[(*path, i)] = split.where(F.col("p_") == i).select("vec")
-        levels.append(level)
-        groups = after
-    spark.catalog.clearCache()
-    return CentroidTree(levels)
-
-
-def pca_matrix(items: DataFrame, dims: int) -> np.ndarray:
-    """The first principal directions of the column vector, one per row."""
-    x = items.select(array_to_vector(F.col("vector").cast("array<double>")).alias("f_"))
-    return np.array(PCA(k=dims, inputCol="f_", outputCol="p_").fit(x).pc.toArray()).T
-
-
-def fit_metric(items: DataFrame, dims: int, k: int = 3, others: int = 3, margin: float = 0.05, pull: float = 0.3, push: float = 0.45, rate: float = 0.1, steps: int = 50, sample: int = 4000) -> np.ndarray:
-    """A projection that draws items of a class together and holds other classes off.
-
-    Starts from the principal directions. In each step every item is drawn to its k nearest of its own class and pushed
-    from the nearest ``others`` of different classes that come within ``margin`` of those; the matrix follows the mean
-    gradient. It learns from at most ``sample`` items (smallest hashes of item_id), the documented bound of what
-    reaches the driver.
-    """
-    rows = sampled(items.select("item_id", "vector", "label"), sample, "item_id").select("vector", "label").collect()
-    x, y = np.array([r.vector for r in rows], np.float64), np.array([r.label for r in rows])
-    matrix = pca_matrix(items, dims)
-    same = y[:, None] == y[None, :]
-    np.fill_diagonal(same, False)
-    differ = y[:, None] != y[None, :]
-    for _ in range(steps):
-        z = x @ matrix.T
-        d = ((z[:, None] - z[None]) ** 2).sum(-1) if len(z) <= 800 else np.maximum((z**2).sum(1)[:, None] + (z**2).sum(1)[None] - 2 * z @ z.T, 0)
-        grad = np.zeros_like(matrix)
-        friends = np.argsort(np.where(same, d, np.inf), axis=1, kind="stable")[:, :k]
-        foes = np.argsort(np.where(differ, d, np.inf), axis=1, kind="stable")[:, :others]
-        rows_ = np.arange(len(x))
-        reach = np.full(len(x), -np.inf)
-        for j in range(friends.shape[1]):
-            f = friends[:, j]
-            ok = same[rows_, f]
-            e = (x - x[f])[ok]
-            grad += pull * (e @ matrix.T).T @ e
-            reach[ok] = np.maximum(reach[ok], d[rows_, f][ok])
-        for j in range(foes.shape[1]):
-            f = foes[:, j]
-            ok = differ[rows_, f] & (d[rows_, f] < reach + margin)
-            e = (x - x[f])[ok]
-            grad -= push * (e @ matrix.T).T @ e
-        matrix = matrix - rate * grad / max(len(x), 1)
-    return matrix
-
-
-def projected(items: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """The column vector through the matrix, at length 1. The matrix, a model of fixed size, travels as a literal."""
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in matrix])
-    dot = lambda r, v: F.aggregate(F.zip_with(r, v, lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    return items.withColumn("vector", normalized(F.transform(rows, lambda r: dot(r, F.col("vector")))))
+__all__ = [
+    "CentroidTree", "centroid_tree", "centroids", "fit_metric", "palette", "pca_matrix", "pooled_weights", "projected", "sampled", "sampled_points",
+    "signed_codebooks", "split_by_sign",
+]

@@ -532,4 +532,4 @@ def q34_image_colours(spark, sf_dir):
     return aggregate.unary_levels(x.groupBy("item", "cell", "colour").agg(F.count("*").alias("n")), ["item", "cell"], 3.99)
 
 
-from . import extra  # noqa: E402, F401  registers its queries with those above
+from . import extra, models  # noqa: E402, F401  register their queries with those above
