@@ -89,23 +89,32 @@ class Engine:
         delete(self.spark, self.postings.root)
 
     def vacuum_index(self) -> None:
-        """Rewrites the index in few files; a failure on the way leaves it as it was."""
+        """Rewrites the index, postings too, in few files; a failure on the way leaves it as it was."""
         self._stored()
         self.index.vacuum()
+        if self.storage == "index":
+            self.postings.compact()
 
     def pull(self) -> None:
         self._stored()
         self.index.pull(self.master)
         self._index_postings()
 
+    def _words(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("item_id").alias("item"), F.explode(self.kind.decode(F.col("vector"))["words"]).alias("word"))
+
     def _index_postings(self) -> None:
+        """The postings of what was pulled since they were written last; what a failed write left out comes again."""
         if self.storage == "index":
-            x = self.index.items().select(F.col("item_id").alias("item"), F.explode(self.kind.decode(F.col("vector"))["words"]).alias("word"))
-            self.postings.add(x, weigh=False)
+            new = self.index.items().where(F.col("seq") > self.postings.cursor())
+            top = new.agg(F.max("seq")).first()[0]
+            if top is not None:
+                self.postings.add(self._words(new), upto=top)
 
     def pull_stream(self, checkpoint: str, once: bool = True):
         self._stored()
-        return self.index.pull_stream(self.master, checkpoint, once)
+        also = (lambda rows, name: self.postings.add(self._words(rows), name)) if self.storage == "index" else None
+        return self.index.pull_stream(self.master, checkpoint, once, also)
 
     def count(self) -> int:
         """Items of the index, deleted ones included."""

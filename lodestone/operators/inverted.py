@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArguments
-from ..session import exists
+from ..session import delete, exists, folders
 
 #: More shared words than this are needed unless a call says otherwise.
 HIT_THRESHOLD = 8
@@ -43,23 +44,24 @@ def item_norms(posts: DataFrame, weights: DataFrame) -> DataFrame:
     return posts.join(weights, "word").groupBy("item").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
-def index_scores(posts: DataFrame, weights: DataFrame, queries: DataFrame, more_than: int = 0, norms: DataFrame | None = None) -> DataFrame:
+def index_scores(posts: DataFrame, weights: DataFrame, queries: DataFrame, more_than: int = 0, norms: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query, item, hits, similarity): the weighted cosine of each query with the items that share more words than that.
 
     ``posts`` (item, word), ``weights`` (word, weight), ``queries`` (query, word). Stop words (weight 0 or none) match
     nothing. Queries meet only the postings of their own words; hits are summed before and after one exchange by
-    (query, item), and norms are joined to what passed.
+    (query, item), and norms are joined to what passed. ``norms`` (item, norm) may be a function that makes them for the
+    items (item) that passed.
     """
     q = queries.join(weights.where("weight > 0"), "word").select("query", "word", (F.col("weight") * F.col("weight")).alias("w2_"))
     q_norm = q.groupBy("query").agg(F.sqrt(F.sum("w2_")).alias("q_norm_"))
     hits = posts.join(q, "word").groupBy("query", "item").agg(F.count("*").alias("hits"), F.sum("w2_").alias("sum_")).where(F.col("hits") > more_than)
-    norms = item_norms(posts, weights) if norms is None else norms
+    norms = item_norms(posts, weights) if norms is None else norms(hits.select("item").distinct()) if callable(norms) else norms
     scored = hits.join(norms, "item").join(q_norm, "query")
     none = (F.col("norm") == 0) | (F.col("q_norm_") == 0)
     return scored.select("query", "item", "hits", F.when(none, F.lit(0.0)).otherwise(F.col("sum_") / (F.col("norm") * F.col("q_norm_"))).alias("similarity"))
 
 
-def index_topk(posts: DataFrame, weights: DataFrame, queries: DataFrame, k: int, threshold: int = HIT_THRESHOLD, norms: DataFrame | None = None) -> DataFrame:
+def index_topk(posts: DataFrame, weights: DataFrame, queries: DataFrame, k: int, threshold: int = HIT_THRESHOLD, norms: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best items of each query with more than ``threshold`` words in common: index_scores plus rank."""
     if k < 1:
         raise InvalidArguments("k is at least 1")
@@ -92,77 +94,153 @@ def unflagged(word: Column) -> Column:
     return word.bitwiseAND(F.lit(~sum(REGION_FLAGS) & 0xFFFFFFFF))
 
 
+#: Words of a search that a filter on the postings names one by one; more are put together to so many ranges, and beyond
+#: the second number the filter is left out.
+WORD_TERMS, WORDS_NAMED = 256, 20_000
+
+
+def word_filter(words: list[int], column: str = "word", terms: int = WORD_TERMS) -> Column:
+    """A condition that holds for all of ``words``, and for few others: ranges around them, the widest gaps left out. It is
+    made of comparisons alone, so it reaches the Parquet reader, whatever its limit on lists."""
+    words = sorted(set(words))
+    gaps = sorted(range(1, len(words)), key=lambda i: words[i - 1] - words[i])[: terms - 1]
+    cuts = [0, *sorted(gaps), len(words)]
+    parts = [F.col(column) == words[a] if b == a + 1 else F.col(column).between(words[a], words[b - 1]) for a, b in zip(cuts, cuts[1:]) if b > a]
+    if not parts:
+        return F.lit(False)
+    while len(parts) > 1:  # a balanced tree
+        parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 class StoredIndex:
-    """An inverted index on disk: postings by ranges of hashed words, items with their words, weights, norms.
+    """An inverted index on disk, in batches that are merged as they grow in number.
 
-    ``add`` leaves out items that are there, writes the others' postings and items, then the weights and norms that
-    now hold, and ends with a row of ``batches``. Only what such a row names is read, so a write that fails half-way
-    leaves nothing to see, and is done again by the next ``add``. ``search`` reads the postings of the ranges that its
-    words lie in.
+    A batch holds postings by ranges of hashed words, sorted by word inside a file, its items with their words, and its
+    words with how many of its items have them. Nothing else is kept: frequencies are the sums of the batches' counts,
+    so a batch costs no more than itself, however large the index is. A row of ``batches`` ends a write, and only what
+    such rows name is read; so a write or a merge that fails half-way leaves the index as it was.
+
+    ``add`` leaves out items that are there. A batch can be named: a name that was taken adds nothing, so a stream may
+    replay it. Every ``fanout`` batches of a level are merged into one of the next, and ``compact`` merges all.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ranges: int = 64):
-        self.spark, self.root, self.ranges = spark, root, ranges
+    #: Rows of a page of postings: what a search for few words reads at least.
+    PAGE_ROWS = 2000
+
+    def __init__(self, spark: SparkSession, root: str, ranges: int = 64, fanout: int = 8):
+        self.spark, self.root, self.ranges, self.fanout = spark, root, ranges, fanout
 
     def _range(self, word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(self.ranges)).cast("int")
+        return F.pmod(F.xxhash64(word.cast("long")), F.lit(self.ranges)).cast("int")
 
-    def batches(self) -> list:
-        """Rows (n, batch), one an ``add``: few, as many as there were pulls."""
+    def _log(self) -> list:
         path = f"{self.root}/batches"
         return sorted(self.spark.read.parquet(path).collect(), key=lambda r: r.n) if exists(self.spark, path) else []
 
-    def _table(self, name: str) -> DataFrame | None:
-        own = [r.batch for r in self.batches()]
+    def batches(self) -> list:
+        """Rows (n, batch, level, items, upto, merged) of the batches that count: those that no other one has taken in."""
+        log = self._log()
+        gone = {b for r in log for b in r.merged}
+        return [r for r in log if r.batch not in gone]
+
+    def cursor(self) -> int:
+        """The largest number that ``add`` was told its items go up to, or -1."""
+        return max([-1, *(r.upto for r in self._log() if r.upto is not None)])
+
+    def _table(self, name: str, own: list[str] | None = None) -> DataFrame | None:
+        own = [r.batch for r in self.batches() if r.items] if own is None else own
         return self.spark.read.parquet(f"{self.root}/{name}").where(F.col("batch").isin(own)) if own else None
 
     def postings(self) -> DataFrame | None:
         return self._table("postings")
 
     def items(self) -> DataFrame | None:
+        """(item, n_words, words, batch)."""
         return self._table("items")
 
-    def _last(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self.batches()[-1].batch}")
-
-    def weights(self) -> DataFrame:
-        return self._last("weights")
-
-    def norms(self) -> DataFrame:
-        return self._last("norms")
-
-    def add(self, posts: DataFrame, stop: int = 0, weigh: bool = True) -> None:
-        """Takes (item, word) pairs. Weights are by ``idf`` over all items then there, with ``stop`` as there; without
-        ``weigh`` none are kept, for searches that bring their own."""
-        known, n, batch = self.items(), len(self.batches()), uuid.uuid4().hex
+    def counts(self) -> DataFrame | None:
+        """(word, df): in how many items each word is, from the batches' counts."""
+        found = self._table("counts")
+        return None if found is None else found.groupBy("word").agg(F.sum("df").alias("df"))
+
+    def weights(self, stop: int = 0) -> DataFrame:
+        """(word, df, weight) by ``idf`` over all items, with ``stop`` as there."""
+        n = float(sum(r.items for r in self.batches()))
+        return self.counts().select("word", "df", idf(F.col("df"), F.lit(n), stop).alias("weight"))
+
+    def add(self, posts: DataFrame, batch: str | None = None, upto: int | None = None) -> None:
+        """Takes (item, word) pairs, as the batch of that name if one is given (a letter, then letters, digits and -)."""
+        if batch is not None and not (batch[:1].isalpha() and batch.replace("-", "").isalnum()):
+            raise InvalidArguments(f"not a name of a batch: {batch!r}")
+        log = self._log()
+        if batch is not None and any(batch == r.batch or batch in r.merged for r in log):
+            return
+        batch = batch or f"b{uuid.uuid4().hex}"
+        known = self.items()
         new = posts.select("item", "word").distinct()
         new = new if known is None else new.join(known.select("item"), "item", "left_anti")
-        new = new.withColumn("batch", F.lit(batch)).withColumn("range_", self._range(F.col("word")))
+        self._write(new, batch, 0, upto, [])
+        while len(same := self._last_level()) >= self.fanout:
+            self._merge(same, same[0].level + 1)
+
+    def _last_level(self) -> list:
+        """The batches with items that are of the last one's level."""
+        rows = [r for r in self.batches() if r.items]
+        return [r for r in rows if r.level == rows[-1].level]
+
+    def _write(self, posts: DataFrame, batch: str, level: int, upto: int | None, merged: list[str]) -> None:
+        for name in ("postings", "items", "counts"):
+            delete(self.spark, f"{self.root}/{name}/batch={batch}")  # what a failed write of this name has left
+        at = lambda name: f"{self.root}/{name}/batch={batch}"
+        x = posts.withColumn("range_", self._range(F.col("word")))
         # a word on very many items is written by several tasks
-        new.repartition("range_", F.pmod(F.xxhash64("item"), F.lit(4))).sortWithinPartitions("range_", "word").write.mode("append").partitionBy("batch", "range_").parquet(f"{self.root}/postings")
-        own = self.spark.read.parquet(f"{self.root}/postings").where(F.col("batch") == batch)
-        own.groupBy("item").agg(F.count("*").alias("n_words")).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{self.root}/items")
-        if weigh:
-            self._weigh([r.batch for r in self.batches()] + [batch], stop)
-        self.spark.createDataFrame([(n, batch)], "n int, batch string").coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
-
-    def _weigh(self, names: list[str], stop: int) -> None:
-        batch = names[-1]
-        every = self.spark.read.parquet(f"{self.root}/postings").where(F.col("batch").isin(names))
-        items = self.spark.read.parquet(f"{self.root}/items").where(F.col("batch").isin(names))
-        total = items.agg(F.count("*").cast("double").alias("n_"))
-        weights = doc_freq(every).crossJoin(F.broadcast(total)).select("word", "df", idf(F.col("df"), F.col("n_"), stop).alias("weight"), self._range(F.col("word")).alias("range_"))
-        weights.repartition("range_").write.partitionBy("range_").parquet(f"{self.root}/weights/{batch}")
-        item_norms(every, self.spark.read.parquet(f"{self.root}/weights/{batch}").select("word", "weight")).write.parquet(f"{self.root}/norms/{batch}")
+        x = x.repartition("range_", F.pmod(F.xxhash64("item"), F.lit(4))).sortWithinPartitions("range_", "word", "item")
+        x.write.option("parquet.page.row.count.limit", self.PAGE_ROWS).partitionBy("range_").parquet(at("postings"))
+        n = 0
+        if any(f.startswith("range_=") for f in folders(self.spark, at("postings"))):
+            own = self.spark.read.parquet(at("postings"))
+            words = own.groupBy("item").agg(F.array_sort(F.collect_list("word")).alias("words"))
+            words.select("item", F.size("words").cast("long").alias("n_words"), "words").write.parquet(at("items"))
+            doc_freq(own).withColumn("range_", self._range(F.col("word"))).repartition("range_").sortWithinPartitions("word").write.partitionBy("range_").parquet(at("counts"))
+            n = self.spark.read.parquet(at("items")).count()
+        row = [(max([-1, *(r.n for r in self._log())]) + 1, batch, level, n, upto, merged)]
+        self.spark.createDataFrame(row, "n int, batch string, level int, items long, upto long, merged array<string>").coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
+
+    def _merge(self, rows: list, level: int) -> None:
+        taken = sorted({b for r in rows for b in [r.batch, *r.merged]})
+        upto = [r.upto for r in rows if r.upto is not None]
+        if not (names := [r.batch for r in rows if r.items]):
+            return
+        self._write(self._table("postings", names).select("item", "word"), f"m{uuid.uuid4().hex}", level, max(upto) if upto else None, taken)
+
+    def compact(self) -> None:
+        """Merges all batches into one and deletes what no batch that counts holds, also what failed writes have left.
+        Until the merged batch is whole, searches read the old ones."""
+        rows = self.batches()
+        if len(rows) > 1:
+            self._merge(rows, max(r.level for r in rows) + 1)
+        live = {f"batch={r.batch}" for r in self.batches()}
+        for name in ("postings", "items", "counts") if live else ():
+            for folder in folders(self.spark, f"{self.root}/{name}"):
+                if folder not in live:
+                    delete(self.spark, f"{self.root}/{name}/{folder}")
+
+    def _read(self, table: DataFrame, words: DataFrame) -> DataFrame:
+        """The rows of a table that may have ``words`` (word): their ranges are the folders read, and the words themselves
+        a filter that skips the pages between them."""
+        asked = words.where("word is not null").select(F.col("word").cast("long").alias("word"), self._range(F.col("word")).alias("r")).distinct().limit(WORDS_NAMED + 1).collect()
+        if len(asked) > WORDS_NAMED:
+            return table
+        return table.where(F.col("range_").isin(sorted({x.r for x in asked})) & word_filter([x.word for x in asked]))
 
     def near(self, words: DataFrame) -> DataFrame:
-        """(item, word): the postings of the ranges that ``words`` (word) lie in; at most ``ranges`` numbers are collected."""
-        found = [r.r for r in words.select(self._range(F.col("word")).alias("r")).distinct().collect()]
-        posts = self.postings()
-        return posts.where(F.col("range_").isin(found)).select("item", "word")
-
-    def search(self, queries: DataFrame, k: int, threshold: int = HIT_THRESHOLD) -> DataFrame:
-        """As ``index_topk``, for queries (query, word)."""
-        ranges = [r.r for r in queries.select(self._range(F.col("word")).alias("r")).distinct().collect()]
-        weights = self.weights().where(F.col("range_").isin(ranges)).select("word", "weight")
-        return index_topk(self.near(queries), weights, queries, k, threshold, self.norms())
+        """(item, word): the postings that may have ``words`` (word), and few others."""
+        return self._read(self.postings(), words).select("item", "word")
+
+    def search(self, queries: DataFrame, k: int, threshold: int = HIT_THRESHOLD, stop: int = 0) -> DataFrame:
+        """As ``index_topk``, for queries (query, word). Norms are made for the items alone that pass the threshold, from
+        their own words and the frequencies that hold now."""
+        weights, items = self.weights(stop), self.items()
+        own = lambda passed: item_norms(items.join(passed, "item", "left_semi").select("item", F.explode("words").alias("word")), weights)
+        return index_topk(self.near(queries), weights, queries, k, threshold, own)

@@ -5,33 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, clusters, training
-from .catalogue import query, read, vectors
-
-# points: a supplier's order lines are an image's key points, the discount decides the sign of the response
-_POINT_COLS = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-_DIGEST = "md5(concat_ws(':', item::VARCHAR, sign::VARCHAR, l_orderkey::VARCHAR, l_partkey::VARCHAR, l_linenumber::VARCHAR, l_quantity::BIGINT::VARCHAR))"
-
+from ..operators import aggregate, clusters, inverted, training
+from ..streaming.pull import stream_postings
+from .catalogue import query, vectors
+from .extra import scratch
 
 def _points(spark, sf_dir) -> DataFrame:
-    x = read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("item"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("sign"), "l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("long").alias("l_quantity"),
-        F.array(F.col("l_quantity") / 10, F.col("l_extendedprice") / 20_000, F.col("l_tax") * 50, F.col("l_linenumber").cast("double")).alias("vec"),
-    )
-    return x.select("item", "sign", *_POINT_COLS, "vec")
+    """(item, sign, point, vec): twenty vectors in a row are an image's key points, the first value is the response."""
+    x = vectors(spark, sf_dir)
+    return x.select(F.floor(F.col("item_id") / 20).cast("long").alias("item"), (F.col("vector")[0] > 0).cast("int").alias("sign"), F.col("item_id").alias("point"), F.col("vector").alias("vec"))
 
 
-@query(f"""
-WITH p AS (SELECT l_suppkey AS item, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS sign, l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem),
-i AS (SELECT item FROM (SELECT DISTINCT item FROM p) ORDER BY md5(item::VARCHAR), item LIMIT 60),
-a AS (SELECT *, {_DIGEST} AS h FROM p WHERE item IN (SELECT item FROM i)),
+@query("""
+WITH p AS (SELECT vec_id // 20 AS item, (embedding[1] > 0)::INT AS sign, vec_id AS point FROM embeddings),
+i AS (SELECT item FROM (SELECT DISTINCT item FROM p) ORDER BY md5(item::VARCHAR), item LIMIT 2000),
+a AS (SELECT *, md5(concat_ws(':', item::VARCHAR, sign::VARCHAR, point::VARCHAR)) AS h FROM p WHERE item IN (SELECT item FROM i)),
 b AS (SELECT *, row_number() OVER (PARTITION BY item, sign ORDER BY h) AS place FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY sign ORDER BY md5('codebook:' || h)) AS drawn FROM b WHERE place <= 40)
-SELECT item, sign, l_orderkey, l_partkey, l_linenumber, l_quantity::BIGINT AS l_quantity FROM c WHERE drawn <= 900
+c AS (SELECT *, row_number() OVER (PARTITION BY sign ORDER BY md5('codebook:' || h)) AS drawn FROM b WHERE place <= 8)
+SELECT item, sign, point FROM c WHERE drawn <= 10000
 """)
 def q72_point_sample(spark, sf_dir):
-    """Points to train from: 60 images, of each up to 40 points a sign, of these up to 900 a sign."""
-    return training.sampled_points(_points(spark, sf_dir), 60, 40, 900, list(_POINT_COLS)).drop("vec")
+    """Points to train from: 2000 images, of each up to 8 points a sign, of these up to 10,000 a sign."""
+    return training.sampled_points(_points(spark, sf_dir), 2000, 8, 10_000, ["point"]).drop("vec")
 
 
 @query("""
@@ -58,7 +53,7 @@ def q74_signed_codebooks(spark, sf_dir):
     """Two codebooks of 32 from points drawn by image and sign, the words of all points, their pooled weights, and each
     image's weighted residuals: (item, word, points, weight, residual)."""
     points = _points(spark, sf_dir)
-    books = training.signed_codebooks(training.sampled_points(points, 1000, 100, 20_000, list(_POINT_COLS)), 32)
+    books = training.signed_codebooks(training.sampled_points(points, 2000, 8, 10_000, ["point"]), 32)
     return signed_residuals(points, books, 32).withColumn("residual", F.transform("residual", lambda v: F.round(v, 6)))
 
 
@@ -75,3 +70,50 @@ def signed_residuals(points: DataFrame, books: DataFrame, half: int) -> DataFram
     counts = words.groupBy("sign", F.when(F.col("sign") == 1, F.col("word")).otherwise(F.col("word") - half).alias("label")).agg(F.count("*").alias("n"))
     weights = F.broadcast(training.pooled_weights(counts, half).select(F.col("word").cast("int").alias("word"), "weight"))
     return x.join(weights, "word").select("item", "word", "points", F.round("weight", 6).alias("weight"), "residual")
+
+
+# stored indexes: the large values of a vector, with their signs, are its words
+
+_TOP = """
+WITH e AS (SELECT vec_id AS item, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), p AS (SELECT item, i * 2 + (v > 0)::INT AS word FROM e WHERE abs(v) >= 0.2e0),
+n AS (SELECT count(DISTINCT item)::DOUBLE AS n FROM p), w AS (SELECT word, log2((n.n + 0.5e0) / (count(*) + 0.5e0)) + 1 AS weight FROM p, n GROUP BY word, n.n),
+m AS (SELECT item, sqrt(sum(weight * weight)) AS norm FROM p JOIN w USING (word) GROUP BY item),
+s AS (SELECT q.item AS query, p.item AS item, count(*) AS hits, sum(weight * weight) / (any_value(a.norm) * any_value(b.norm)) AS similarity
+      FROM p q JOIN p USING (word) JOIN w USING (word) JOIN m a ON a.item = q.item JOIN m b ON b.item = p.item WHERE q.item % 50 = 0 GROUP BY q.item, p.item)
+SELECT query, item, hits, round(similarity, 6) AS similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, item)::INT AS rank FROM s WHERE hits > 2) WHERE rank <= 10
+"""
+
+
+def _large_values(spark, sf_dir) -> DataFrame:
+    """(item, word)"""
+    x = vectors(spark, sf_dir).select(F.col("item_id").alias("item"), F.posexplode("vector").alias("i", "v")).where(F.abs("v") >= 0.2)
+    return x.select("item", (F.col("i") * 2 + (F.col("v") > 0).cast("int")).cast("long").alias("word"))
+
+
+def _found(index: inverted.StoredIndex, posts: DataFrame) -> DataFrame:
+    asked = posts.where(F.col("item") % 50 == 0).select(F.col("item").alias("query"), "word")
+    return index.search(asked, 10, 2).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_TOP)
+def q75_compacted_index(spark, sf_dir):
+    """An index written in five batches, merged by levels on the way and into one at the end."""
+    posts = _large_values(spark, sf_dir)
+    index = inverted.StoredIndex(spark, scratch(spark, "merged"), ranges=8, fanout=3)
+    for part in range(5):
+        index.add(posts.where(F.col("item") % 5 == part))
+    index.compact()
+    return _found(index, posts)
+
+
+@query(_TOP)
+def q76_streamed_index(spark, sf_dir):
+    """An index fed by a file stream, a batch a file, and then by the same files again, which adds nothing."""
+    posts, root = _large_values(spark, sf_dir), scratch(spark, "streamed")
+    posts.repartition(3, "item").write.parquet(f"{root}/posts")
+    index = inverted.StoredIndex(spark, f"{root}/index", ranges=8)
+    for checkpoint in ("one", "again"):
+        source = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/posts")
+        stream_postings(index, source, f"{root}/{checkpoint}").awaitTermination()
+    return _found(index, posts)

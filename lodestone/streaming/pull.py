@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import shard as shard_of
+from ..operators.inverted import StoredIndex
 from ..session import delete, exists
 from ..sources.catalog import CHANGES, ITEMS, Master, last_ids, resolved
 
+def batch_names(checkpoint: str) -> Callable[[int], str]:
+    """Names of a stream's micro-batches: a batch that is replayed has its name again, and no other stream has it."""
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
+    return lambda n: f"s{stream}-{n}"
+
+
+def stream_postings(index: StoredIndex, posts: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Writes a stream of (item, word) pairs to an index. An item's words come in one micro-batch, as those of an item that
+    is there are left out. With ``once`` it takes what is there and stops."""
+    name = batch_names(checkpoint)
+    writer = posts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, n: index.add(rows, name(n)))
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 STATE = "last_seq long, last_commit long, at timestamp"
 
 
@@ -84,12 +102,22 @@ class LocalIndex:
         self.append_changes(master.new_changes(commit, top_commit, self.shard))
         self._state(top_seq, top_commit).write.mode("append").parquet(f"{self.base}/state")
 
-    def pull_stream(self, master: Master, checkpoint: str, once: bool = True) -> list[StreamingQuery]:
-        """The same as two file streams. With ``once`` each takes what is there and stops."""
+    def pull_stream(self, master: Master, checkpoint: str, once: bool = True, also: Callable[[DataFrame, str], None] | None = None) -> list[StreamingQuery]:
+        """The same as two file streams. With ``once`` each takes what is there and stops.
+
+        ``also`` gets each micro-batch's items of this shard as well, with a name that a replay of the batch has again.
+        """
+        name = batch_names(checkpoint)
+
+        def take_items(rows: DataFrame, n: int) -> None:
+            self.append_items(rows)
+            if also is not None:
+                also(rows if self.shard is None else rows.where(shard_of(F.col("item_id"), self.shard)), name(n))
+
         out = []
-        for name, schema, path, take in (("items", ITEMS, master.items_path, self.append_items), ("changes", CHANGES, master.changes_path, self.append_changes)):
+        for name, schema, path, take in (("items", ITEMS, master.items_path, take_items), ("changes", CHANGES, master.changes_path, lambda rows, _: self.append_changes(rows))):
             writer = self.spark.readStream.schema(schema).parquet(path).writeStream.option("checkpointLocation", f"{checkpoint}/{name}")
-            writer = writer.foreachBatch(lambda rows, _, take=take: take(rows))
+            writer = writer.foreachBatch(take)
             out.append((writer.trigger(availableNow=True) if once else writer).start())
             if once:
                 out[-1].awaitTermination()
