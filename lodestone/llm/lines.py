@@ -81,8 +81,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Keys of at least ``least_chars`` code points found in at least ``least_docs`` documents lose all their lines, except
     those in the largest id that holds the key. The keys of all documents come in ``batches`` by ranges of the id, the
-    highest first, and go through ``LineRuns``. Each document then gets the digests that it loses and filters its own
-    lines, so lines keep their order and no text is exploded. A line common to many documents is counted by partial
+    highest first, and go through ``LineRuns``. Each document then gets the digests that it loses, sorted, and filters its own
+    lines by binary search, so lines keep their order, no text is exploded and a document of very many lines takes little
+    more than its share. A line common to many documents is counted by partial
     aggregation, and its digest goes back by broadcast (``join_hot``).
 
     Null and empty texts are one empty line. Rows that repeat an id are one document: a key counts once for them, and
@@ -93,8 +94,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text_"))
     ids = base.where(F.col("doc_id").isNotNull()).select("doc_id")
     cuts = ids.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
+    # distinct as text, which is told apart by hash; structures would be compared one by one
     long_keys = F.filter(line_keys(F.col("text_")), lambda k: F.length(k) >= least_chars)
-    rows = base.select("doc_id", F.explode(F.array_distinct(F.transform(long_keys, digest))).alias("k_")).select("doc_id", "k_.*")
+    rows = base.select("doc_id", F.explode(F.transform(F.array_distinct(long_keys), digest)).alias("k_")).select("doc_id", "k_.*")
     if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
         rows = rows.where(F.col("doc_id").isNotNull()).distinct().unionByName(rows.where(F.col("doc_id").isNull()))
     # descending: batch 0 has the highest ids, the last one also the rows without an id
@@ -110,14 +112,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = keys.drop("batch_").join(small(common.select(*KEY)), KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("rows_"))
     heads = work.keep(common.drop("docs_").join(held, KEY), "heads")
     lost = join_hot(keys.drop("batch_"), heads, KEY, "rows_", keys.count()).where(F.col("doc_id") < F.col("last_"))
-    lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("lost_"))
-    x = base.join(lost, "doc_id", "left")
+    lost = lost.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(*KEY))).alias("lost_"))
+    # rows without an id lose nothing, and there may be many of them: they meet no other row
+    x = base.where(F.col("doc_id").isNotNull()).join(lost, "doc_id", "left")
+    x = x.unionByName(base.where(F.col("doc_id").isNull()), allowMissingColumns=True)
     lines = F.split("text_", "\n")
-    drops = F.zip_with(lines, line_keys(F.col("text_")), lambda line, k: F.when((F.length(k) < least_chars) | ~F.array_contains("lost_", digest(k)), line))
+    digests = F.transform(line_keys(F.col("text_")), lambda k: F.when(F.length(k) >= least_chars, digest(k)))
+    # the steps are bound once a document
+    drops = F.transform(F.array(halves(F.size("lost_"))), lambda steps: F.zip_with(lines, digests, lambda line, d: F.when(~is_in(d, F.col("lost_"), steps), line)))[0]
     x = x.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("lost_").isNull(), lines).otherwise(F.filter(drops, lambda s: s.isNotNull())).alias("kept_"))
     return x.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept_")).cast("long").alias("n_dropped"), F.array_join("kept_", "\n").alias("text"))
 
 
+def halves(n: Column) -> Column:
+    """The powers of two up to n, the largest first: the steps of a binary search in an array of n values."""
+    bits = F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int")
+    return F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+
+
+def is_in(value: Column, ordered: Column, steps: Column) -> Column:
+    """Whether a sorted array has a value, false for null: by binary search, as array_contains goes through all of it."""
+    at = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(F.get(ordered, pos + step - 1) <= value, pos + step).otherwise(pos))
+    return F.coalesce(F.get(ordered, at - 1) == value, F.lit(False))
+
+
 ORACLE = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, rid, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
