@@ -192,6 +192,9 @@ def tokens(page: str) -> dict[int, list]:
     return found
 
 
+#: On so many pages of different content a text is part of the template even inside an article.
+SUPPORT = 8
+
 #: Three sums of this many bits name an occurrence vector; so many of them add up to less than 63 bits.
 LANE = 36
 STATS = "host string, token long, parent long, element boolean, main boolean, mark int, pages long, chars long, a long, b long, c long"
@@ -244,8 +247,9 @@ def deduce(rows: list[dict]) -> tuple[list[int], list[int], bool]:
     """The template of a host from its frequent tokens: (slots, fixed texts, whether article or main elements name the slots).
 
     A class holds at least two tokens of one occurrence vector, one of them an element. It is valid if the elements that
-    it starts with all stand in the same class above, the place where it nests. The slots are the outermost article or
-    main elements; without any, the innermost element of a valid class that has most of the text which isn't fixed.
+    it starts with all stand in the same class above, the place where it nests. The slots are elements of valid classes:
+    the outermost article or main elements among them; without any, the innermost one that has most of the text which
+    isn't fixed. Fixed texts are those of valid classes; inside slots that a tag names they count from SUPPORT pages on.
     """
     by_vector = defaultdict(list)
     at = {r["token"]: r for r in rows}
@@ -295,9 +299,9 @@ def deduce(rows: list[dict]) -> tuple[list[int], list[int], bool]:
     elements = sorted(t for t, r in at.items() if r["element"])
     chrome = {t for t in elements if beneath(t, lambda r: r["mark"] != PLAIN and not r["main"], marked)}
     inside: dict[int, bool] = {}
-    main = [t for t in elements if at[t]["main"] and t not in chrome and not beneath(at[t]["parent"], lambda r: r["main"], inside)]
+    main = [t for t in elements if at[t]["main"] and t in group and t not in chrome and not beneath(at[t]["parent"], lambda r: r["main"], inside)]
     if main:
-        return main, fixed, True
+        return main, [t for t in fixed if at[t]["pages"] >= SUPPORT], True
     text = {t: at[t]["chars"] for t in elements if t not in chrome}
     for t in fixed:
         if at[t]["parent"] in text:
@@ -332,24 +336,23 @@ def templates(vectors: DataFrame, least: float) -> DataFrame:
     return hosts.join(found, "host", "left")
 
 
-def extract(page: str, slots: set[int], fixed: set[int], by_tag: bool) -> str:
+def extract(page: str, slots: set[int] = frozenset(), fixed: set[int] = frozenset()) -> str:
     """The text in a page's slots, without elements marked strongly.
 
     A page that has none of the host's slots uses its own article or main elements. One without those, too, gives what
-    stands outside marked elements. Where no article or main element names the slot, blocks that are fixed on the host
-    go, unless nothing would stay.
+    stands outside marked elements. Blocks that are fixed on the host go, unless nothing would stay.
     """
     events = list(walk(page))
     here = {e[1] for e in events if e[0] == "open"} & slots
     if not here:
-        by_tag, here = True, {e[1] for e in events if e[0] == "open" and e[3] in MAIN}
+        here = {e[1] for e in events if e[0] == "open" and e[3] in MAIN}
     blocks: list[tuple[str, bool]] = []
     run: list[str] = []
     out, into, under = 0, 0, 0
 
     def flush():
         if run and (text := tidy(run)):
-            blocks.append((text, not (by_tag and here) and block_token(under, text) in fixed))
+            blocks.append((text, block_token(under, text) in fixed))
         run.clear()
 
     for e in events:
@@ -372,6 +375,31 @@ def extract(page: str, slots: set[int], fixed: set[int], by_tag: bool) -> str:
     return "\n".join(kept)
 
 
+def different(pages: DataFrame, work: Scratch) -> DataFrame:
+    """One page of each content of a host: a page that is copied over a host says nothing about its template, and its
+    text would look like a part of it. The content is what ``extract`` gives without a template.
+
+    Only digests are exchanged; what goes back to the pages are the keys of copies and repeats, by broadcast where they
+    are few.
+    """
+
+    def run(batches):
+        for b in slices(batches, 500, 3):
+            texts = pa.array([_hash(extract(page).encode(errors="replace")) for page in b.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], texts], names=["host", "x", "y", "content"])
+
+    whole = F.xxhash64("page_id", "url", "html")
+    keys = [whole.alias("x"), F.xxhash64(F.lit("other"), whole).alias("y")]
+    contents = work.keep(pages.select("host", *keys, "html").mapInArrow(trimmed(run), "host string, x long, y long, content long"), "contents")
+    rows = contents.groupBy("host", "content", "x", "y").agg(F.count("*").alias("n"))
+    first = rows.groupBy("host", "content").agg(F.min(F.struct("x", "y")).alias("first"))
+    odd = rows.join(first, ["host", "content"]).select("x", "y", (F.struct("x", "y") == F.col("first")).alias("first"), "n")
+    odd = work.keep(odd.where("not first or n > 1").groupBy("x", "y").agg(F.max("first").alias("first")), "copies")
+    marked = pages.withColumns({"x": keys[0], "y": keys[1]}).join(small(odd, 1_000_000), ["x", "y"], "left")
+    once = marked.where("first is null").unionByName(marked.where("first").dropDuplicates(["x", "y"]))
+    return once.select(*pages.columns)
+
+
 def main_text(pages: DataFrame, least: float = 0.5, most_hosts: int = 20_000) -> DataFrame:
     """One row per page: page_id, url and the main text, its blocks joined by newlines.
 
@@ -381,27 +409,26 @@ def main_text(pages: DataFrame, least: float = 0.5, most_hosts: int = 20_000) ->
     hosts; of more, those with very many pages are, and the others are joined by host. The result depends on the table
     alone, not on how its rows are dealt.
 
-    Null and empty html give the empty text; a null url, or one without a host, belongs to the host ''. A repeated page
-    counts as often as it is there. Null and repeated ids stay as they are; extra columns are ignored; an empty table
+    Null and empty html give the empty text; a null url, or one without a host, belongs to the host ''. Null and repeated ids stay as they are; extra columns are ignored; an empty table
     gives an empty one.
     """
     work = Scratch(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_or_empty("html").alias("html"), host.alias("host"))
-    found = work.keep(templates(work.keep(token_vectors(base), "vectors"), least), "templates")
+    found = work.keep(templates(work.keep(token_vectors(different(base, work)), "vectors"), least), "templates")
 
     def run(batches):
         held: dict = {}
         for b in slices(batches, 500, 3):
             out = []
-            for host, page, slots, fixed, by_tag in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), b.column(6)):
+            for host, page, slots, fixed in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5)):
                 if host not in held:
                     if len(held) > 500:
                         held.clear()
-                    held[host] = set(slots.as_py() or ()), set(fixed.as_py() or ()), bool(by_tag.as_py())
+                    held[host] = set(slots.as_py() or ()), set(fixed.as_py() or ())
                 out.append(extract(page, *held[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     few = found.limit(most_hosts + 1).count() <= most_hosts
-    x = base.join(small(found, most_hosts), "host") if few else join_hot(base, found, "host", "of_", base.count())
-    return x.select("page_id", "url", "host", "html", "slots", "fixed", "by_tag").mapInArrow(trimmed(run), "page_id long, url string, text string")
+    x = base.join(small(found, most_hosts), "host", "left") if few else join_hot(base, found, "host", "of_", base.count())
+    return x.select("page_id", "url", "host", "html", "slots", "fixed").mapInArrow(trimmed(run), "page_id long, url string, text string")

@@ -421,12 +421,29 @@ def test_html_keeps_named_blocks_inside_articles(spark):
     assert set(html_of(spark, [(1, "https://h.example/", page)], 1, "page_id int, url string, html string")) == {(1, "T\none\ntwo\nthree")}
 
 
+def test_html_template_decides_inside_articles(spark):
+    """An advert and a notice that no name gives away, on all pages of a host, go; a page copied over a host keeps its text."""
+    for tag in ("article", "main"):
+        page = lambda i: f"<body><p>The Daily</p><{tag}><h1>T {i}</h1><p>{'story ' * 20}{i}</p><div class=x7><p>Buy our great shoes today!</p></div><p>end of {i}</p><section class=z>Read <b>only</b> with an account</section></{tag}></body>"  # noqa: E731, B023
+        rows = [(i, f"https://h.example/{i}", page(i)) for i in range(60)]
+        got = html_of(spark, rows, 3)
+        assert got == Counter({(i, f"T {i}\n{'story ' * 20}{i}\nend of {i}"): 1 for i in range(60)})
+        assert html_template.extract(page(3)) != f"T 3\n{'story ' * 20}3\nend of 3"  # without the template they stay
+    copied = page(3)
+    rows = [(i, f"https://copy.example/{i}", copied.replace("The Daily", f"Daily {i}")) for i in range(60)] + [(99, "https://copy.example/99", copied)] * 40
+    assert all("story" in text and "end of 3" in text for _, text in html_of(spark, rows, 4))
+    # half of a host's pages have one article, the others their own
+    rows = [(i, f"https://half.example/{i}", page(0 if i % 2 else i)) for i in range(60)]
+    got = {i: text for i, text in html_of(spark, rows, 3)}
+    assert all(got[i] == f"T {0 if i % 2 else i}\n{'story ' * 20}{0 if i % 2 else i}\nend of {0 if i % 2 else i}" for i in range(60))
+
+
 def test_html_takes_linear_time():
     import time
 
     began = time.time()
     for page in ("<a " * 200_000, "<x>" * 30_000 + "<h1></h1>" * 30_000, '<a "' * 100_000 + ">", "<p><ul>" + "<x>" * 30_000 + "<h1></h1>" * 30_000, "<div>" * 30_000 + "</x>" * 30_000, "<p>" * 60_000, "<!--" * 60_000):
-        html_template.extract(page, set(), set(), False)
+        html_template.extract(page)
         html_template.tokens(page)
     assert time.time() - began < 20
 
