@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from .common import by_hash, give_back, importable, text_or_empty, trimmed
 from .words import Words, mix, pieces, slices
 
-#: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on. A row that the machine
-#: learns from brings at most SLOTS words to the driver, the heaviest ones.
-BITS, BINS, RANK, SLOTS = 15, 12, 8, 1024
+#: Hashed words have 2^BITS slots; each structure statistic has BINS more, one of which is on.
+BITS, BINS, RANK = 15, 12, 8
 
 STATS = (
     "chars", "words", "word_length", "upper", "digits", "marks", "symbols", "beyond_ascii", "distinct", "distinct_runs",
@@ -138,31 +137,36 @@ def _declared(docs: DataFrame) -> Column:
     return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("declared_")
 
 
-def _heaviest(row: np.ndarray, slot: np.ndarray, weight: np.ndarray, n: int) -> tuple:
-    """The SLOTS entries of the greatest weight of each row."""
-    if not len(row) or np.bincount(row, minlength=n).max() <= SLOTS:
-        return row, slot, weight
-    order = np.lexsort((slot, -weight, row))
-    first = np.searchsorted(row, np.arange(n))
-    kept = np.sort(order[np.arange(len(row)) - first[row] < SLOTS])
-    return row[kept], slot[kept], weight[kept]
-
-
 def held_out(doc_id: Column) -> Column:
     """A third of the ids, by checksum; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: str = "quality") -> Machine:
-    """Fits a machine to at most ``sample`` labelled rows that aren't held out: those with the smallest hashes of their id.
+def _first_bytes(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """The labelled rows (doc_id, y_) whose texts come to ``most`` bytes, in the order of the ids' hashes; the first one
+    stays in any case. Their sizes alone reach the driver."""
+    order = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "y_"), F.lit(1 << 31)).alias("h_")
+    sizes = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y_", order).agg(F.sum(F.octet_length("text_")).alias("bytes_")).toArrow()
+    sizes = sizes.sort_by([(c, "ascending") for c in ("h_", "doc_id", "y_")])
+    fit = int((np.cumsum(sizes["bytes_"].to_numpy()) <= most).sum())
+    if fit == sizes.num_rows:
+        return rows
+    kept = sizes.slice(0, max(1, fit)).select(["doc_id", "y_"])
+    return docs.sparkSession.createDataFrame(list(zip(kept["doc_id"].to_pylist(), kept["y_"].to_pylist())), "doc_id long, y_ int")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: str = "quality", most: int = 64_000_000) -> Machine:
+    """Fits a machine to at most ``sample`` labelled rows that aren't held out, whose texts come to ``most`` bytes at most:
+    those with the smallest hashes of their id.
 
-    The bound is what reaches the driver: at most SLOTS word slots a row and statistics, no text. Rows with a null label
+    These bounds are on what reaches the driver: the slots and weights of all words of these rows and statistics, no text. Rows with a null label
     or id are left out. A table without n_chars is taken as one where it is null. Without labelled rows, or with one class alone, the machine gives the share of label 1 (0.5 without rows).
     """
     importable(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y_")).where("doc_id is not null and y_ is not null")
     rows = by_hash(rows.where(~held_out(F.col("doc_id"))), sample, "doc_id", "y_")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text_"), _declared(docs))
+    rows = _first_bytes(base, rows, most)
     picked = base.join(F.broadcast(rows), "doc_id")
 
     def run(batches):
@@ -171,7 +175,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, label_col: s
             done = 0
             for row, slot, weight, x in features(_raw(b.column(1)), b.column(2).to_pylist()):
                 n = len(x)
-                row, slot, weight = _heaviest(row, slot, weight, n)
                 ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(done, n), pa.array(y[done : done + n], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slot.astype(np.int32))),
