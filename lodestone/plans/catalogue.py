@@ -342,31 +342,33 @@ def q20_two_stage(spark, sf_dir):
     return topk.ranked(topk.topk(x, F.round(S.dot(F.col("vector"), F.col("q_vector")), 6), 10, first=F.round(first, 9)))
 
 
-@query("""
-WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS r FROM embeddings WHERE vec_id < 16),
+@query(
+    _many_sql(
+        """m AS (SELECT vec_id, embedding::DOUBLE[] AS r FROM embeddings WHERE vec_id < 16),
 p AS (SELECT e.vec_id, list(list_dot_product(r, e.embedding::DOUBLE[]) ORDER BY m.vec_id) AS z FROM embeddings e, m GROUP BY e.vec_id),
-u AS (SELECT vec_id, list_transform(z, lambda v: v / sqrt(list_dot_product(z, z))) AS u FROM p),
-s AS (SELECT a.vec_id AS item_id, round(1 - sqrt(list_sum(list_transform(range(1, 17), lambda i: (a.u[i] - q.u[i]) * (a.u[i] - q.u[i])))) / 2, 6) AS similarity FROM u a, u q WHERE q.vec_id = 0)
-SELECT row_number() OVER (ORDER BY similarity DESC, item_id)::INT AS rank, item_id, similarity FROM (SELECT * FROM s ORDER BY similarity DESC, item_id LIMIT 10)
-""")
+x AS (SELECT vec_id AS item_id, list_transform(z, lambda v: v / sqrt(list_dot_product(z, z))) AS u FROM p)""",
+        "1 - sqrt(list_sum(list_transform(range(1, 17), lambda i: (a.u[i] - q.u[i]) * (a.u[i] - q.u[i])))) / 2",
+    )
+)
 def q21_projection(spark, sf_dir):
     x = vectors(spark, sf_dir)
     matrix = x.where("item_id < 16").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "vector"))), lambda r: r["vector"]).alias("m"))
     x = x.crossJoin(F.broadcast(matrix)).select("item_id", S.project(F.col("vector"), F.col("m")).alias("vector"))
-    return best(x.crossJoin(F.broadcast(one(x))), S.metric_similarity(F.col("vector"), F.col("q_vector")))
+    return _many(spark, x, ["vector"], S.metric_similarity(F.col("vector"), F.col("q_vector")))
 
 
-@query("""
-WITH d AS (SELECT a.vec_id AS item_id, list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)) AS d FROM embeddings a, embeddings q WHERE q.vec_id = 0),
-c AS (SELECT item_id, 1 - sqrt(list_sum(d[1:48])) / 2 AS structure, 1 - sqrt(list_sum(d[49:64])) / 2 AS colour FROM d),
-s AS (SELECT item_id, round(0.5e0 * structure + 0.5e0 * CASE WHEN colour > 0.7e0 THEN 1.0e0 ELSE 0.0e0 END, 6) AS similarity FROM c)
-SELECT row_number() OVER (ORDER BY similarity DESC, item_id)::INT AS rank, item_id, similarity FROM (SELECT * FROM s ORDER BY similarity DESC, item_id LIMIT 10)
-""")
+_PART = "1 - sqrt(list_sum(list_transform(range({lo}, {hi}), lambda i: (a.v[i] - q.v[i]) * (a.v[i] - q.v[i])))) / 2"
+
+
+@query(
+    _many_sql(
+        "x AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v FROM embeddings)",
+        f"0.5e0 * ({_PART.format(lo=1, hi=49)}) + 0.5e0 * CASE WHEN {_PART.format(lo=49, hi=65)} > 0.7e0 THEN 1.0e0 ELSE 0.0e0 END",
+    )
+)
 def q22_colour_gate(spark, sf_dir):
-    x = vectors(spark, sf_dir)
-    x = x.crossJoin(F.broadcast(one(x)))
     part = lambda lo, n: S.metric_similarity(F.slice("vector", lo, n), F.slice("q_vector", lo, n))
-    return best(x, S.blend(part(1, 48), S.step_gate(part(49, 16), 0.7), 0.5))
+    return _many(spark, vectors(spark, sf_dir), ["vector"], S.blend(part(1, 48), S.step_gate(part(49, 16), 0.7), 0.5))
 
 
 _RESIDUAL = "r AS (SELECT item, k.label, unnest(range(64)) AS dim, unnest(list_transform(range(1, 65), lambda i: v[i] - c[i])) AS d FROM k JOIN c ON c.label = k.label), g AS (SELECT item, label, dim, sum(d) AS d FROM r GROUP BY item, label, dim)"
@@ -392,20 +394,21 @@ def q23b_power_level(spark, sf_dir):
     return aggregate.level_normalized(r).withColumn("value", F.round("value", 6))
 
 
-@query("""
-WITH c AS (SELECT p_partkey AS item_id, [(p_partkey % 256)::DOUBLE, p_size * 5.0e0, floor(p_retailprice) % 256] AS a, [(p_partkey * 7 % 256)::DOUBLE, (p_size * 3)::DOUBLE, (p_partkey % 97)::DOUBLE] AS b FROM part),
-d AS (SELECT x.item_id, least(list_sum(list_transform([1,2,3], lambda i: (x.a[i]-q.a[i])*(x.a[i]-q.a[i]))), list_sum(list_transform([1,2,3], lambda i: (x.a[i]-q.b[i])*(x.a[i]-q.b[i]))),
-      list_sum(list_transform([1,2,3], lambda i: (x.b[i]-q.a[i])*(x.b[i]-q.a[i]))), list_sum(list_transform([1,2,3], lambda i: (x.b[i]-q.b[i])*(x.b[i]-q.b[i])))) AS d FROM c x, c q WHERE q.item_id = 50),
-s AS (SELECT item_id, round(CASE WHEN d = 0 THEN 1.0e0 ELSE exp(-d / 5000.0e0) END, 6) AS similarity FROM d)
-SELECT row_number() OVER (ORDER BY similarity DESC, item_id)::INT AS rank, item_id, similarity FROM (SELECT * FROM s ORDER BY similarity DESC, item_id LIMIT 10)
-""")
+_PAIR = "list_sum(list_transform([1, 2, 3], lambda i: (a.{x}[i] - q.{y}[i]) * (a.{x}[i] - q.{y}[i])))"
+
+
+@query(
+    _many_sql(
+        "x AS (SELECT p_partkey AS item_id, [(p_partkey % 256)::DOUBLE, p_size * 5.0e0, floor(p_retailprice) % 256] AS a, [(p_partkey * 7 % 256)::DOUBLE, (p_size * 3)::DOUBLE, (p_partkey % 97)::DOUBLE] AS b FROM part)",
+        f"exp(-least({', '.join(_PAIR.format(x=x, y=y) for x in 'ab' for y in 'ab')}) / 5000.0e0)",
+    )
+)
 def q24_major_colours(spark, sf_dir):
     k, d = F.col("p_partkey"), lambda c: c.cast("double")
     a = F.array(d(k % 256), d(F.col("p_size") * 5), d(F.floor("p_retailprice") % 256))
     b = F.array(d(k * 7 % 256), d(F.col("p_size") * 3), d(k % 97))
     x = read(spark, sf_dir, "part").select(k.alias("item_id"), a.alias("a"), b.alias("b"))
-    x = x.crossJoin(F.broadcast(one(x, 50, "a", "b")))
-    return best(x, S.major_similarity(F.col("a"), F.col("b"), F.col("q_a"), F.col("q_b")))
+    return _many(spark, x, ["a", "b"], S.major_similarity(F.col("a"), F.col("b"), F.col("q_a"), F.col("q_b")))
 
 
 @query(f"""

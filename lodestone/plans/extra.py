@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,43 +211,47 @@ def q47_residual_similarity(spark, sf_dir):
     return _many(spark, x, ["vector"], S.residual_similarity(F.col("vector"), F.col("q_vector")))
 
 
-@query("""
-WITH c AS (SELECT p_partkey AS item_id, [(p_partkey % 256)::DOUBLE, p_size * 5.0e0, floor(p_retailprice) % 256, (p_partkey * 7 % 256)::DOUBLE] AS c FROM part),
-s AS (SELECT x.item_id, round((sqrt(3 * 255.0e0 * 255.0e0) - sqrt(list_sum(list_transform([1, 2, 3, 4], lambda i: (x.c[i] - q.c[i]) * (x.c[i] - q.c[i]))))) / sqrt(3 * 255.0e0 * 255.0e0), 6) AS similarity FROM c x, c q WHERE q.item_id = 50)
-SELECT row_number() OVER (ORDER BY similarity DESC, item_id)::INT AS rank, item_id, similarity FROM (SELECT * FROM s ORDER BY similarity DESC, item_id LIMIT 10)
-""")
+@query(
+    _many_sql(
+        "x AS (SELECT p_partkey AS item_id, [(p_partkey % 256)::DOUBLE, p_size * 5.0e0, floor(p_retailprice) % 256, (p_partkey * 7 % 256)::DOUBLE] AS c FROM part)",
+        "(sqrt(3 * 255.0e0 * 255.0e0) - sqrt(list_sum(list_transform([1, 2, 3, 4], lambda i: (a.c[i] - q.c[i]) * (a.c[i] - q.c[i]))))) / sqrt(3 * 255.0e0 * 255.0e0)",
+    )
+)
 def q48_colour_code(spark, sf_dir):
     k, d = F.col("p_partkey"), lambda c: c.cast("double")
     x = read(spark, sf_dir, "part").select(k.alias("item_id"), F.array(d(k % 256), d(F.col("p_size") * 5), d(F.floor("p_retailprice") % 256), d(k * 7 % 256)).alias("c"))
-    return best(x.crossJoin(F.broadcast(one(x, 50, "c"))), S.colour_code_similarity(F.col("c"), F.col("q_c")))
+    return _many(spark, x, ["c"], S.colour_code_similarity(F.col("c"), F.col("q_c")))
 
 
 @query(f"""
 WITH {_SETS}, b AS (SELECT DISTINCT item, word % 2048 AS word FROM p), n AS (SELECT count(DISTINCT item)::DOUBLE AS n FROM b),
-w AS (SELECT word, log2((n.n + 0.5e0) / (count(*) + 0.5e0)) + 1 AS w FROM b, n GROUP BY word, n.n), m AS (SELECT item, sqrt(sum(w * w)) AS norm FROM b JOIN w USING (word) GROUP BY item)
-SELECT q.item AS query, a.item, round(sum(w * w) / (any_value(x.norm) * any_value(y.norm)), 6) AS similarity
-FROM b q JOIN b a USING (word) JOIN w USING (word) JOIN m x ON x.item = q.item JOIN m y ON y.item = a.item WHERE q.item % 50 = 0 GROUP BY q.item, a.item
+w AS (SELECT word, log2((n.n + 0.5e0) / (count(*) + 0.5e0)) + 1 AS w FROM b, n GROUP BY word, n.n), m AS (SELECT item, sqrt(sum(w * w)) AS norm FROM b JOIN w USING (word) GROUP BY item),
+s AS (SELECT q.item AS query, a.item, round(sum(w * w) / (any_value(x.norm) * any_value(y.norm)), 9) AS similarity
+      FROM b q JOIN b a USING (word) JOIN w USING (word) JOIN m x ON x.item = q.item JOIN m y ON y.item = a.item WHERE q.item % 50 = 0 GROUP BY q.item, a.item)
+SELECT query, item, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item)::INT AS rank FROM s) WHERE rank <= 10 AND similarity > 0
 """)
 def q49_tfidf_dense(spark, sf_dir):
-    """Weighted cosine over whole vectors of 2048 weights: what the sparse form gives by intersection."""
+    """The best by weighted cosine over whole vectors of 2048 weights: what the sparse form gives by intersection."""
     b = _sets(spark, sf_dir).select("item", (F.col("word") % 2048).alias("word")).distinct()
     n = b.agg(F.countDistinct("item").cast("double").alias("n"))
     w = inverted.doc_freq(b).crossJoin(F.broadcast(n)).select("word", inverted.idf(F.col("df"), F.col("n")).alias("value"))
     x = b.join(F.broadcast(w), "word").select("item", F.col("word").alias("index"), "value")
-    x = aggregate.dense(x, "item", 2048, F.lit(0.0), "v").withColumn("v", S.normalized(F.col("v")))
-    q = x.where(F.col("item") % 50 == 0).select(F.col("item").alias("query"), F.col("v").alias("q"))
-    return x.crossJoin(F.broadcast(q)).select("query", "item", F.round(S.dot(F.col("v"), F.col("q")), 6).alias("similarity")).where("similarity > 0")
+    x = aggregate.dense(x, "item", 2048, F.lit(0.0), "v").select(F.col("item").alias("item_id"), S.normalized(F.col("v")).alias("vector"))
+    found = topk.dense_topk_many(x, x.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "vector"), 10, similarity=lambda s: np.round(s, 9))
+    return found.where("similarity > 0").select(F.col("query_id").alias("query"), F.col("item_id").alias("item"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"""
-WITH {_POSTS}, z AS (SELECT item, sqrt(count(*)) AS size FROM p GROUP BY item)
-SELECT query, s.item, round(similarity, 6) AS by_idf, round(hits / (a.size * b.size), 6) AS by_none FROM s JOIN z a ON a.item = query JOIN z b ON b.item = s.item
+WITH {_POSTS}, z AS (SELECT item, sqrt(count(*)) AS size FROM p GROUP BY item),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, item)::INT AS rank FROM s WHERE hits > 8)
+SELECT query, r.item, rank, round(similarity, 6) AS by_idf, round(hits / (a.size * b.size), 6) AS by_none FROM r JOIN z a ON a.item = query JOIN z b ON b.item = r.item WHERE rank <= 10
 """)
 def q50_weight_function(spark, sf_dir):
-    """The same search with weights and with 1 for every word."""
+    """The best by weights, and what they come to with 1 for every word."""
     posts, weights, asked = _posts(spark, sf_dir)
-    found = inverted.index_scores(posts, weights, asked).select("query", "item", F.round("similarity", 6).alias("by_idf"))
-    plain = inverted.index_scores(posts, weights.select("word", F.lit(1.0).alias("weight")), asked)
+    found = inverted.index_topk(posts, weights, asked, 10).select("query", "item", "rank", F.round("similarity", 6).alias("by_idf"))
+    own = posts.join(found.select("item").distinct(), "item", "left_semi")
+    plain = inverted.index_scores(own, weights.select("word", F.lit(1.0).alias("weight")), asked)
     return found.join(plain.select("query", "item", F.round("similarity", 6).alias("by_none")), ["query", "item"])
 
 
@@ -346,10 +351,10 @@ def q58_training_list(spark, sf_dir):
     return lists.with_flips(x)
 
 
-@query("SELECT vec_id::INT AS row, unnest(range(64)) AS col, unnest(embedding::DOUBLE[]) AS value FROM embeddings WHERE vec_id < 100")
+@query("SELECT vec_id::INT AS row, unnest(range(64)) AS col, unnest(embedding::DOUBLE[]) AS value FROM embeddings")
 def q59_matrix(spark, sf_dir):
     path = scratch(spark, "matrix")
-    x = vectors(spark, sf_dir).where("item_id < 100")
+    x = vectors(spark, sf_dir)
     lists.write_matrix(x.select(F.col("item_id").cast("int").alias("row"), F.col("vector").alias("vec")), path)
     return lists.read_matrix(spark, path).select("row", F.posexplode("vec").alias("col", "value")).withColumn("col", F.col("col").cast("long"))
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, clusters, inverted, training
+from ..sources import images
 from ..streaming.pull import stream_postings
 from .catalogue import query, vectors
-from .extra import scratch
+from .extra import _PIXELS8, _pictures, scratch
 
 def _points(spark, sf_dir) -> DataFrame:
     """(item, sign, point, vec): twenty vectors in a row are an image's key points, the first value is the response."""
@@ -49,7 +50,7 @@ def q73_pooled_idf(spark, sf_dir):
 
 
 @query()
-def q74_signed_codebooks(spark, sf_dir):
+def q77_signed_codebooks(spark, sf_dir):
     """Two codebooks of 32 from points drawn by image and sign, the words of all points, their pooled weights, and each
     image's weighted residuals: (item, word, points, weight, residual)."""
     points = _points(spark, sf_dir)
@@ -117,3 +118,24 @@ def q76_streamed_index(spark, sf_dir):
         source = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/posts")
         stream_postings(index, source, f"{root}/{checkpoint}").awaitTermination()
     return _found(index, posts)
+
+
+# pictures
+
+
+@query(f"""
+WITH {_PIXELS8}, o AS (SELECT n, unnest(range(n)) AS t FROM (SELECT unnest([4, 3]) AS n)),
+c AS (SELECT n, t, i, greatest(0.0e0, least(i + 1.0e0, (t + 1) * 8.0e0 / n) - greatest(i + 0.0e0, t * 8.0e0 / n)) * n / 8.0e0 AS w FROM o, (SELECT unnest(range(8)) AS i))
+SELECT id AS item_id, a.n::INT AS size, a.t::INT AS x, b.t::INT AS y, {", ".join(f"floor(round(sum(a.w * b.w * {c}), 6) + 0.5e0)::INT AS {c}" for c in "rgb")}
+FROM px JOIN c a ON a.i = px.x JOIN c b ON b.i = px.y AND b.n = a.n GROUP BY id, a.n, a.t, b.t
+""")
+def q78_image_resize(spark, sf_dir):
+    """Pictures of 8 x 8 halved, and scaled by 3/8: means of the areas that the new pixels cover."""
+    parts = [images.pixels(images.resized(_pictures(spark, sf_dir), n / 8)).select("item_id", F.lit(n).alias("size"), "x", "y", "r", "g", "b") for n in (4, 3)]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def q79_major_colours(spark, sf_dir):
+    """From pixels to two colours: the means of the two largest of up to 32 clusters of each picture."""
+    return images.major_colours(_pictures(spark, sf_dir))

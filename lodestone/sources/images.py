@@ -167,11 +167,84 @@ def hsv(r: Column, g: Column, b: Column) -> Column:
     return F.array(hue, F.when(most == 0, F.lit(0.0)).otherwise(d / most), most / 255)
 
 
+def _shares(n: int, to: int) -> np.ndarray:
+    """to x n: how much of each of n pixels lies under each of ``to`` pixels of the same line; rows add up to 1."""
+    edge = np.arange(to + 1) * n / to
+    lo, hi = np.maximum(edge[:-1, None], np.arange(n)[None]), np.minimum(edge[1:, None], np.arange(1, n + 1)[None])
+    return np.maximum(hi - lo, 0) * to / n
+
+
+def _averaged(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A picture of another size: each pixel is the mean of the area that it covers, to the nearest byte, halves up."""
+    if x.shape[:2] == (height, width):
+        return x
+    rows, cols = _shares(x.shape[0], height), _shares(x.shape[1], width)
+    mean = np.einsum("ah,hwc->awc", rows, np.einsum("bw,hwc->hbc", cols, x.astype(np.float64)))
+    return np.floor(np.round(mean, 6) + 0.5).astype(np.uint8)
+
+
 def _resized(x: np.ndarray, longest: int = LONGEST, area: int = 0) -> np.ndarray:
     h, w = x.shape[:2]
     scale = (area / (h * w)) ** 0.5 if area else min(1.0, longest / max(h, w))
-    nh, nw = max(1, round(h * scale)), max(1, round(w * scale))
-    return x if (nh, nw) == (h, w) else x[(np.arange(nh) * h // nh)[:, None], (np.arange(nw) * w // nw)[None]]
+    return _averaged(x, max(1, round(h * scale)), max(1, round(w * scale)))
+
+
+def resized(images: DataFrame, scale: float) -> DataFrame:
+    """(item_id, image): pictures scaled by area averaging; no side gets shorter than one pixel. Null pictures stay null."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for img in b.column(1).to_pylist():
+                if img is not None:
+                    x = np.frombuffer(img["data"], np.uint8)[: img["height"] * img["width"] * 3].reshape(img["height"], img["width"], 3)
+                    x = _averaged(x, max(1, round(x.shape[0] * scale)), max(1, round(x.shape[1] * scale))) if x.size else x
+                    img = {"height": x.shape[0], "width": x.shape[1], "data": x.tobytes()}
+                out.append(img)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.struct([("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())]))], names=["item_id", "image"])
+
+    return images.select("item_id", "image").mapInArrow(run, f"item_id {images.schema['item_id'].dataType.simpleString()}, image {IMAGE}")
+
+
+def clusters_of(colours: np.ndarray, k: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label of each row, size of each label) of k-means over a picture's colours. It starts from the colours at even
+    places in their order by sum, then by channel, so it needs no random numbers; ties go to the smaller label."""
+    c = np.asarray(colours, np.float64)
+    distinct = np.unique(c, axis=0)
+    distinct = distinct[np.argsort(distinct.sum(1), kind="stable")]
+    k = min(k, len(distinct))
+    centres = distinct[np.arange(k) * (len(distinct) - 1) // max(k - 1, 1)]
+    label = None
+    for _ in range(steps):
+        near = ((c[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        if label is not None and (near == label).all():
+            break
+        label, size = near, np.bincount(near, minlength=k)
+        total = np.stack([np.bincount(label, c[:, i], k) for i in range(c.shape[1])], axis=1)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+    return label, np.bincount(label, minlength=k)
+
+
+def major_colours(images: DataFrame, k: int = 32, steps: int = 50, longest: int = 64) -> DataFrame:
+    """(item_id, place, r, g, b): the floored mean colours of the two largest of k clusters of each picture's pixels, taken
+    from the picture scaled to ``longest``, so that what a task compares at once is bounded. A picture of one colour has
+    one; clusters of one size come in the order of their colours."""
+
+    def run(batches):
+        for b in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for item, img in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if img is None or not img["height"] or not img["width"]:
+                    continue
+                x = _resized(np.frombuffer(img["data"], np.uint8)[: img["height"] * img["width"] * 3].reshape(img["height"], img["width"], 3), longest)
+                c = x.reshape(-1, 3)[:, ::-1]
+                label, size = clusters_of(c, k, steps)
+                for place, one in enumerate([i for i in np.argsort(-size, kind="stable")[:2] if size[i]], 1):
+                    for col, v in zip(rows, (item, place, *np.floor(c[label == one].mean(0)).astype(int).tolist())):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], b.schema.field(0).type), *(pa.array(r, pa.int32()) for r in rows[1:])], names=["item_id", "place", "r", "g", "b"])
+
+    return images.select("item_id", "image").mapInArrow(run, f"item_id {images.schema['item_id'].dataType.simpleString()}, place int, r int, g int, b int")
 
 
 def _smoothed(grey: np.ndarray) -> np.ndarray:
