@@ -107,12 +107,12 @@ class LocalIndex:
 
         ``also`` gets each micro-batch's items of this shard as well, with a name that a replay of the batch has again.
         """
-        name = batch_names(checkpoint)
+        batch = batch_names(checkpoint)
 
         def take_items(rows: DataFrame, n: int) -> None:
             self.append_items(rows)
             if also is not None:
-                also(rows if self.shard is None else rows.where(shard_of(F.col("item_id"), self.shard)), name(n))
+                also(rows if self.shard is None else rows.where(shard_of(F.col("item_id"), self.shard)), batch(n))
 
         out = []
         for name, schema, path, take in (("items", ITEMS, master.items_path, take_items), ("changes", CHANGES, master.changes_path, lambda rows, _: self.append_changes(rows))):

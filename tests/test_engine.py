@@ -174,6 +174,19 @@ def test_words_engine(spark, tmp_path):
         assert weights.count() == e.kind.size
         with pytest.raises(InvalidArguments):
             e.invoke("no_such")
+    # the same index from a stream, which may replay, answers alike; so does it once its batches are merged
+    want = [tuple(r) for r in e.search(4, {"data": data[2]}).collect()]
+    streamed = Engine.open(spark, {"driver": {"name": "id", "data_dir": str(tmp_path / "streamed"), "hit_threshold": 1}}, models)
+    streamed.create_database()
+    for half in (imgs.limit(2), imgs):
+        streamed.insert(half)
+        streamed.pull_stream(str(tmp_path / "offsets-id"))
+    streamed.pull_stream(str(tmp_path / "offsets-again"))
+    assert streamed.postings.items().count() == 4
+    assert [tuple(r) for r in streamed.search(4, {"data": data[2]}).collect()] == want
+    streamed.pull()
+    streamed.vacuum_index()
+    assert len([r for r in streamed.postings.batches() if r.items]) == 1 and [tuple(r) for r in streamed.search(4, {"data": data[2]}).collect()] == want
     e.set("color_weight", "0.5")
     assert e.get("color_weight") == 0.5
     e.unset("color_weight")
