@@ -379,8 +379,9 @@ def different(pages: DataFrame, work: Scratch) -> DataFrame:
     """One page of each content of a host: a page that is copied over a host says nothing about its template, and its
     text would look like a part of it. The content is what ``extract`` gives without a template.
 
-    Only digests are exchanged; what goes back to the pages are the keys of copies and repeats, by broadcast where they
-    are few.
+    Rows that repeat a page are alike in every column, so none of them can be told from the others: they stay, as each
+    page does if all are there twice, unless they come to more than a twentieth of the host's contents; then all go.
+    Only digests are exchanged; what goes back to the pages are the keys of those that go, by broadcast where they are few.
     """
 
     def run(batches):
@@ -392,12 +393,10 @@ def different(pages: DataFrame, work: Scratch) -> DataFrame:
     keys = [whole.alias("x"), F.xxhash64(F.lit("other"), whole).alias("y")]
     contents = work.keep(pages.select("host", *keys, "html").mapInArrow(trimmed(run), "host string, x long, y long, content long"), "contents")
     rows = contents.groupBy("host", "content", "x", "y").agg(F.count("*").alias("n"))
-    first = rows.groupBy("host", "content").agg(F.min(F.struct("x", "y")).alias("first"))
-    odd = rows.join(first, ["host", "content"]).select("x", "y", (F.struct("x", "y") == F.col("first")).alias("first"), "n")
-    odd = work.keep(odd.where("not first or n > 1").groupBy("x", "y").agg(F.max("first").alias("first")), "copies")
-    marked = pages.withColumns({"x": keys[0], "y": keys[1]}).join(small(odd, 1_000_000), ["x", "y"], "left")
-    once = marked.where("first is null").unionByName(marked.where("first").dropDuplicates(["x", "y"]))
-    return once.select(*pages.columns)
+    first = rows.groupBy("host", "content").agg(F.min(F.struct("x", "y", "n")).alias("first"))
+    stay = first.join(first.groupBy("host").agg(F.count("*").alias("of_")), "host").where((F.col("first.n") == 1) | (20 * F.col("first.n") <= F.col("of_")))
+    gone = work.keep(rows.select("x", "y").join(stay.select("first.x", "first.y"), ["x", "y"], "left_anti"), "copies")
+    return pages.withColumns({"x": keys[0], "y": keys[1]}).join(small(gone, 1_000_000), ["x", "y"], "left_anti").select(*pages.columns)
 
 
 def main_text(pages: DataFrame, least: float = 0.5, most_hosts: int = 20_000) -> DataFrame:
