@@ -260,7 +260,7 @@ class Engine:
             idf = F.broadcast(self.models.idf.select(F.col("word").alias("w_"), "weight"))
             plain = inverted.unflagged(F.col("word")) if self.kind.split else F.col("word")
             weights = asked.select("word").distinct().withColumn("w_", plain).join(idf, "w_").select("word", "weight")
-            hits = posts.join(F.broadcast(asked.where("word is not null")), "word").groupBy("query", "item").count().where(F.col("count") > max(1, options["hit_threshold"]))
+            hits = posts.join(asked.where("word is not null"), "word").groupBy("query", "item").count().where(F.col("count") > max(1, options["hit_threshold"]))
             words = items.select(F.col("item_id").alias("item"), "vector").join(hits.select("item").distinct(), "item", "left_semi")
             words = words.select("item", F.explode(self.kind.decode(F.col("vector"))["words"]).alias("word")).withColumn("w_", plain)
             norms = words.join(idf, "w_").groupBy("item").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))

@@ -137,5 +137,5 @@ def overfetched(items: DataFrame, score: Column, k: int, factor: int, id_col: st
 
 
 def with_columns(found: DataFrame, table: DataFrame, key: str = "item_id") -> DataFrame:
-    """Adds a table's columns to the winners of a search. Winners are few and are broadcast to the table's rows."""
-    return table.join(F.broadcast(found), key)
+    """Adds a table's columns to the winners of a search. Where these are few, Spark sends them to the table's rows."""
+    return table.join(found, key)

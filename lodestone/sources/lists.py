@@ -43,8 +43,8 @@ def with_flips(listed: DataFrame) -> DataFrame:
 
 def with_paths(found: DataFrame, store: DataFrame) -> DataFrame:
     """A search's results with the path that a key-value store (key, value) has for each id; null where it has none.
-    Results are few, so they go to the store's rows."""
+    Where results are few, Spark sends them to the store's rows."""
     keyed = found.withColumn("key_", F.col("item_id").cast("string"))
     held = store.select(F.col("key").cast("string").alias("key_"), F.col("value").cast("string").alias("path"))
-    held = held.join(F.broadcast(keyed.select("key_")), "key_", "left_semi")
+    held = held.join(keyed.select("key_"), "key_", "left_semi")
     return keyed.join(held, "key_", "left").drop("key_")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import shard as shard_of
 from ..operators.inverted import StoredIndex
-from ..session import delete, exists
+from ..session import delete, exists, folders, touch
 from ..sources.catalog import CHANGES, ITEMS, Master, last_ids, resolved
 
 def batch_names(checkpoint: str) -> Callable[[int], str]:
@@ -43,9 +43,7 @@ class LocalIndex:
 
     def _versions(self) -> list[int]:
         """Numbers of the versions that are whole: each but the first ends with a marker, written after all its tables."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        names = folders(self.spark, self.root)
         return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and exists(self.spark, f"{self.root}/{n}/_whole"))
 
     @property
@@ -63,8 +61,7 @@ class LocalIndex:
         self.items().select(*[c.split()[0] for c in ITEMS.split(", ")]).repartition("bucket").sortWithinPartitions("seq").write.parquet(f"{new}/items")
         seq, commit = self.cursors()
         self._state(seq, commit).write.parquet(f"{new}/state")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{new}/_whole")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path).close()
+        touch(self.spark, f"{new}/_whole")
         delete(self.spark, old)
 
     def drop(self) -> None:
