@@ -107,13 +107,34 @@ def _signatures(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> D
     return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, key_ binary, prefix_ array<long>")
 
 
+def _mask(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in at least two cells a shingle, a power of two of 64-bit words. Sets whose parities
+    differ in k cells differ in at least k shingles; a mask of half the size is the exclusive or of its halves."""
+    m = np.zeros(1 << (max(len(s), 1) - 1 >> 5).bit_length(), np.uint64)
+    h = mix(s)
+    np.bitwise_xor.at(m, (h >> np.uint64(6)) & np.uint64(len(m) - 1), np.uint64(1) << (h & np.uint64(63)))
+    return m
+
+
+def _differ(a: str, b: str):
+    """At least so many shingles are in one of two sets alone, by their masks; 0 where one mask is over twice the other."""
+
+    def folded(c: str, other: str):
+        half = (F.size(c) / 2).cast("int")
+        two = F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(half == F.size(other), two).otherwise(F.col(c))
+
+    cells = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.coalesce(F.aggregate(cells, F.lit(0), lambda n, x: n + x), F.lit(0))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in slices(batches, column=1):
             sets = list(shingle_sets(_utf8(b.column(1)), words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_key(s) for s in sets], pa.binary()), _longs(sets)], names=["node_", "key_", "set_"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_key(s) for s in sets], pa.binary()), _longs(sets), _longs([_mask(s) for s in sets])], names=["node_", "key_", "set_", "mask_"])
 
-    return docs.mapInArrow(trimmed(run), "node_ long, key_ binary, set_ array<long>")
+    return docs.mapInArrow(trimmed(run), "node_ long, key_ binary, set_ array<long>, mask_ array<long>")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
@@ -199,14 +220,16 @@ def _beyond_pivot(regions: DataFrame, sets: DataFrame, percent: int, most: int |
 
     Two sets share at most min(|x & p|, |y & p|) within the pivot p. Where that is too little for a link, they must
     share the rest outside p, so the members enter regions of their rarest shingles outside p. Regions of one pivot are
-    taken together. A new region in which more than ``most`` pairs could be compared is not; it is returned as deeper.
-    Of the pairs in the others, those go on for which the pivot and the shingles from the region's on leave enough.
+    taken together. Members that share enough within p meet those of the sizes that may link. New regions and sizes in
+    which more than ``most`` pairs could be compared are not, if they hold more than ``most`` squared together; they are
+    returned as deeper. Of the pairs in the others, those go on for which the pivot and the shingles from the region's on
+    leave enough and whose masks differ in few enough cells.
     """
     g = work.keep(regions.groupBy("pivot_", "node_", "n_", "comp_").agg(F.max("far_").alias("far_")), "members")
     pivots = work.keep(g.select("pivot_").distinct(), "pivots")
     of = sets.select(F.col("node_").alias("pivot_"), F.col("set_").alias("of_")).join(small(pivots, 500_000), "pivot_")
     g = sets.join(small(g, 500_000), "node_").join(of, "pivot_")
-    g = work.keep(g.select("pivot_", "node_", "n_", "comp_", "far_", F.array_except("set_", "of_").alias("out_")).withColumn("b_", F.col("n_") - F.size("out_")), "outside")
+    g = work.keep(g.select("pivot_", "node_", "n_", "comp_", "far_", "mask_", F.array_except("set_", "of_").alias("out_")).withColumn("b_", F.col("n_") - F.size("out_")), "outside")
     least = lambda n: F.floor((percent * n + 99) / 100)
     needed = lambda both: F.floor((percent * both + 99 + percent) / (100 + percent))
     # pairs that may link by what they share within the pivot; that bounds the partner's size, so few sizes are looked up
@@ -214,8 +237,8 @@ def _beyond_pivot(regions: DataFrame, sets: DataFrame, percent: int, most: int |
     hi = F.least(F.floor(100 * F.col("n_") / percent), F.floor((100 + percent) * F.col("b_") / percent) - F.col("n_"))
     asks = within.where("far_").withColumn("lo_", least(F.col("n_"))).withColumn("hi_", hi).where("lo_ <= hi_")
     asks = asks.withColumn("class_", F.explode(F.sequence(_size_class(F.col("lo_")), _size_class(F.col("hi_")))))
-    near = _side(asks, "x", "pivot_", "class_", "b_").join(_side(within.withColumn("class_", _size_class(F.col("n_"))), "y", "pivot_", "class_", "b_"), ["pivot_", "class_"])
-    near = near.where(_open(percent) & (F.least("bx_", "by_") >= needed(F.col("nx_") + F.col("ny_"))))
+    within = within.withColumn("class_", _size_class(F.col("n_")))
+    at = ["pivot_", "class_"]
     # a set of n needs at least ceil(t n) - |x & p| from outside, so of its rarest outside shingles all but that many will do
     from_out = F.greatest(least(F.col("n_")) - F.col("b_"), F.lit(1))
     e = g.select("pivot_", "node_", "n_", "b_", "comp_", "far_", F.size("out_").alias("size_"), from_out.alias("from_"), F.explode("out_").alias("e_")).where(F.col("size_") >= F.col("from_"))
@@ -228,12 +251,27 @@ def _beyond_pivot(regions: DataFrame, sets: DataFrame, percent: int, most: int |
     # regions of a pivot with the same members are one
     e = e.join(span, ["pivot_", "e_"]).groupBy("h_", "node_", "n_", "comp_", "far_", "pairs_").agg(F.max("b_").alias("b_"), F.max("spare_").alias("spare_"))
     e = work.keep(e, "deeper")
-    few = e if most is None else e.where(F.col("pairs_") <= most)
+    few, deeper = e, None
+    if most is not None:
+        hot = asks.groupBy(at).agg(F.count("*").alias("a_")).join(within.groupBy(at).agg(F.count("*").alias("m_")), at)
+        hot = work.keep(hot.select(*at, (F.col("a_") * F.col("m_")).alias("pairs_")).where(F.col("pairs_") > most), "hot")
+        over = e.where(F.col("pairs_") > most)
+        total = hot.select("pairs_").unionByName(over.select("h_", "pairs_").distinct().select("pairs_")).agg(F.sum("pairs_")).first()[0] or 0
+        if total > most**2:
+            few = e.where(F.col("pairs_") <= most)
+            hot = small(hot)
+            met = asks.select(*at, "node_", "n_", "far_").unionByName(within.select(*at, "node_", "n_", F.lit(False).alias("far_"))).join(hot, at, "left_semi")
+            met = met.groupBy(F.xxhash64(F.lit("within"), *at).alias("h_"), "node_", "n_").agg(F.max("far_").alias("far_"))
+            asks = asks.join(hot, at, "left_anti")
+            deeper = over.select("h_", "node_", "n_", "far_").unionByName(met)
     # a pair needs more than the least that each alone may need; near copies of p have its size, so they need far more
-    out = _side(few.where("far_"), "x", "h_", "b_", "spare_").join(_side(few, "y", "h_", "b_", "spare_"), "h_").where(_open(percent))
-    out = out.where(F.least("bx_", "by_") + F.least("sx_", "sy_") >= needed(F.col("nx_") + F.col("ny_")))
-    pairs = _ordered(near.select("x_", "y_").unionByName(out.select("x_", "y_")))
-    return pairs, None if most is None else e.where(F.col("pairs_") > most).select("h_", "node_", "n_", "far_")
+    enough = needed(F.col("nx_") + F.col("ny_"))
+    alike = lambda shared: _open(percent) & (shared >= enough) & (_differ("mx_", "my_") <= F.col("nx_") + F.col("ny_") - 2 * enough)
+    near = _side(asks, "x", *at, "b_", "mask_").join(_side(within, "y", *at, "b_", "mask_"), at).where(alike(F.least("bx_", "by_")))
+    few = few.join(sets.select("node_", "mask_"), "node_")
+    out = _side(few.where("far_"), "x", "h_", "b_", "spare_", "mask_").join(_side(few, "y", "h_", "b_", "spare_", "mask_"), "h_")
+    out = out.where(alike(F.least("bx_", "by_") + F.least("sx_", "sy_")))
+    return _ordered(near.select("x_", "y_").unionByName(out.select("x_", "y_"))), deeper
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, share: float = 0.002, chunk: int = 2000, cell: int = 4096, rounds: int = 6) -> DataFrame:
@@ -250,10 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        eps are one component. Others must still be compared with each other and, by the triangle inequality, only
        with members at d >= (least distance beyond eps) - eps.
     4. The members outside a region's largest component join recursively with the others, in regions of the shingles
-       that lie outside the pivot. A region with at most ``cell`` pairs compares them; a larger one gets a pivot of its
-       own, up to ``rounds`` levels, the last of which compares whatever is left.
+       that lie outside the pivot. A region with at most ``cell`` pairs compares them; larger ones get pivots of their
+       own, up to ``rounds`` levels, the last of which compares whatever is left. A level whose larger regions hold at
+       most ``cell`` squared pairs together is the last.
 
-    Members of one component are never compared again, so a large group of near copies costs one comparison each.
+    Members of one component are never compared again, so a large group of near copies costs one comparison each; nor
+    is a pair that was measured at a level above. Pairs whose masks (parities of hashed shingles) rule a link out, as
+    they differ in too many cells, aren't measured: only few of the pairs of excerpts from one text are.
     Regions of frequent shingles get their pivot by a pre-aggregated minimum, others by a window over the region.
 
     Sets are compared by 64-bit hashes of their shingles and told apart by 128-bit digests of those: "exact" is up to
@@ -294,10 +335,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if repeats:
         again = texts.where(F.col("times_") > 1).dropDuplicates(["doc_id", "text_"])
         texts = texts.where(F.col("times_") == 1).unionByName(again)
-    sets = _sets(texts.select("doc_id", "text_"), words).select("node_", "set_")
+    sets = _sets(texts.select("doc_id", "text_"), words).drop("key_")
     if without is not None:
         missing = _sets(base.where(F.col("doc_id").isNull()), words).drop("node_").join(small(without.select("key_", "node_")), "key_").dropDuplicates(["key_"])
-        sets = sets.unionByName(missing.select("node_", "set_"))
+        sets = sets.unionByName(missing.select("node_", "set_", "mask_"))
     sets = work.keep(sets, "sets")
 
     comps = work.keep(spark.createDataFrame([], "node_ long, comp_ long"), "components")
@@ -309,6 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return comps
         return work.keep(components(new.unionByName(comps.select(F.col("node_").alias("u_"), F.col("comp_").alias("v_"))), work), "components")
 
+    tried = None
     for turn in range(rounds):
         # every member meets the pivot that it shares most regions with; other pivots only if that left them apart
         pairs = regions.where(F.col("node_") != F.col("pivot_")).groupBy(F.col("node_").alias("x_"), F.col("pivot_").alias("y_")).agg(F.count("*").alias("c_"))
@@ -337,8 +379,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = left.groupBy(F.xxhash64("s_", "pivot_").alias("h_"), "pivot_", "node_", "n_", "comp_", "far_").agg(F.max("m_").alias("m_"))
         left = work.keep(left, "left")
         pairs, deeper = _beyond_pivot(left, sets, percent, None if turn + 1 == rounds else cell, work)
+        pairs = pairs if tried is None else pairs.join(tried, ["x_", "y_"], "left_anti")
+        if deeper is not None:
+            pairs = work.keep(pairs, "tried")
+            new = pairs.unionByName(_ordered(far.unionByName(more)))
+            tried = new if tried is None else tried.unionByName(new)
         comps = joined(_measured(pairs, sets, percent, work))
-        if deeper is None or not deeper.limit(1).count():
+        if deeper is None:
             break
         regions = work.keep(_pivoted(deeper, work), "regions")
     comps = by_id(comps, without)
