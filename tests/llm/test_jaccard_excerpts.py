@@ -27,7 +27,7 @@ def test_excerpts_are_exact_and_few_pairs_are_measured(spark, monkeypatch, cell)
 
     monkeypatch.setattr(jaccard, "_beyond_pivot", counted)
     texts = excerpts(100, 12, 8, 40, 3)
-    got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), cell=cell, rounds=3)
+    got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), cell=cell, rounds=2)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_brute(texts)
     assert cell == 2 or sum(tried) < 100 * 99 / 2 / 10, tried
 
@@ -48,7 +48,7 @@ def test_members_close_to_one_pivot_go_deeper_too(spark, monkeypatch):
     for i in range(1, 60):
         at = rng.randint(0, 120)
         texts[i] = " ".join(base[at : at + rng.randint(240, 280)])
-    got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), cell=4, rounds=3)
+    got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), cell=4, rounds=2)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_brute(texts)
     assert any(deep)
 
