@@ -1,12 +1,17 @@
 """Searches by blocks against the expressions that say what they compare."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import codec
 from lodestone.functions import similarity as S
 from lodestone.operators import measures, topk
-from lodestone.plans.catalogue import QUERIES
+from lodestone.operators.metric import _least
+from lodestone.plans.catalogue import ORACLES, QUERIES
+from tests.oracle import same
 
 
 def _ranked(df) -> list:
@@ -23,8 +28,17 @@ def _rows(spark, dims: int, n: int = 300):
 
 
 NEAREST = lambda: S.major_similarity(F.slice("v", 1, 3), F.slice("v", 4, 3), F.slice("q_v", 1, 3), F.slice("q_v", 4, 3))
+GATED = lambda: S.blend(*[g(S.metric_similarity(F.slice("v", lo, n), F.slice("q_v", lo, n))) for g, lo, n in ((lambda x: x, 1, 6), (lambda x: S.step_gate(x, 0.7), 7, 4))], 0.5)
+LEVELS = lambda v: F.transform(v, lambda x: F.least(F.floor(F.abs(x) * 5), F.lit(9)).cast("int"))
 CASES = {
     "nearest": (measures.Nearest(6), 6, lambda v: F.transform(v, lambda x: F.rint(x * 90)), NEAREST),
+    "code": (measures.Metric(6, (3 * 255.0**2) ** 0.5), 4, lambda v: F.transform(v, lambda x: F.rint(x * 90)), lambda: S.colour_code_similarity(F.col("v"), F.col("q_v"))),
+    "pyramid": (measures.Pyramid(6, 4, 2), 32, LEVELS, lambda: S.pyramid_cosine(F.col("v"), F.col("q_v"), 2)),
+    "levels": (measures.Levels(6), 16, LEVELS, lambda: S.level_cosine(F.col("v"), F.col("q_v"))),
+    "gated": (measures.Gated(6, 6), 10, lambda v: F.transform(v, lambda x: x / 4), GATED),
+    "residual": (measures.Residual(6), 9, lambda v: v, lambda: S.residual_similarity(F.col("v"), F.col("q_v"))),
+    "metric": (measures.Metric(6), 9, lambda v: v, lambda: S.metric_similarity(F.col("v"), F.col("q_v"))),
+    "bits": (measures.Bits(6), 64, lambda v: F.when(F.size(v) == 64, codec.sign_bits(v)), lambda: S.bit_cosine(F.col("v"), F.col("q_v"))),
 }
 
 
@@ -38,10 +52,43 @@ def test_blocks_find_what_the_expression_says(spark, name):
     assert len(want) == 210 and _ranked(topk.measured_topk_many(x, q, score, measure, 7, "v")) == want
 
 
-BLOCKS = ["q24_major_colours"]
+BLOCKS = ["q24_major_colours", "q48_colour_code", "q19_colour_pyramid", "q18_colour_levels", "q22_colour_gate", "q47_residual_similarity", "q46_hsv_similarity", "q21_projection", "q17_bit_cosine"]
 
 
 @pytest.mark.parametrize("name", BLOCKS)
 def test_no_pair_of_an_item_and_a_query_is_a_row(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" in plan
+
+
+def test_a_long_vector_is_normalized_in_one_pass(spark):
+    start = time.time()
+    x = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: i.cast("double") + F.col("id")).alias("v"))
+    assert abs(x.select(S.norm(S.normalized(F.col("v")))).first()[0] - 1) < 1e-9
+    assert time.time() - start < 30
+
+
+def test_many_words_are_kept_by_a_map_in_one_pass(spark):
+    start = time.time()
+    x = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i + F.col("id")).alias("w"))
+    weight = F.map_from_arrays("w", F.transform("w", lambda w: F.when(w % 3 == 0, F.lit(0.0)).when(w % 3 == 1, F.lit(None)).otherwise(F.lit(1.0))))
+    assert list(x.select(codec.hex_to_words(codec.words_to_hex(F.col("w")), weight)).first()[0]) == list(range(2, 20_001, 3))
+    assert time.time() - start < 30
+
+
+def test_the_least_are_those_of_a_stable_sort():
+    d = np.random.default_rng(3).integers(0, 9, (40, 60)).astype(float)
+    d[d == 4], d[0], d[1, 2:] = np.inf, np.inf, np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    values = np.take_along_axis(d, want, axis=1)
+    at, found = _least(d.copy(), 3)
+    assert (found == values).all() and (at == want)[np.isfinite(values)].all()
+
+
+@pytest.mark.parametrize("name", ["q49_tfidf_dense", "q50_weight_function"])
+def test_all_items_that_share_a_word_are_told(spark, tmp_path, name):
+    x = spark.range(3000).selectExpr("id % 101 AS l_suppkey", "(id * id) % 97 AS l_partkey")
+    x.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).cache()
+    assert got.where("query = 50").count() > 90
+    same(got, ORACLES[name], str(tmp_path))
