@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,11 +24,16 @@ def norm(v: Column) -> Column:
     return F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once. What stands inside a lambda is worked out anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalized(v: Column) -> Column:
     """Length 1; a zero vector becomes (-1, 0, 0, ...)."""
-    n = norm(v)
-    point = F.transform(v, lambda x, i: F.when(i == 0, F.lit(-1.0)).otherwise(F.lit(0.0)))
-    return F.when(n == 0, point).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+    point = lambda v: F.transform(v, lambda x, i: F.when(i == 0, F.lit(-1.0)).otherwise(F.lit(0.0)))
+    scaled = lambda v, n: F.transform(v, lambda x: x.cast("double") / n)
+    return bound(v, lambda v: bound(norm(v), lambda n: F.when(n == 0, point(v)).otherwise(scaled(v, n))))
 
 
 def ratio(a: Column, b: Column) -> Column:
