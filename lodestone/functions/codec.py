@@ -31,7 +31,11 @@ def hex_to_words(text: Column, idf: Column | None = None) -> Column:
     """Sorted distinct words; those whose weight in the map ``idf`` is 0 or missing are dropped."""
     parts = F.filter(F.split(F.trim(text), "\\s+"), lambda s: s != "")
     words = F.array_sort(F.array_distinct(F.transform(parts, lambda s: F.conv(s, 16, 10).cast("long"))))
-    return words if idf is None else F.filter(words, lambda w: F.coalesce(F.element_at(idf, w), F.lit(0.0)) > 0)
+    if idf is None:
+        return words
+    # a map is searched from end to end for each key, and made anew for each word inside a lambda: its keys are met as a set
+    own = F.map_keys(F.map_filter(idf, lambda _, w: F.coalesce(w, F.lit(0.0)) > 0)).cast("array<bigint>")
+    return F.array_intersect(words, F.coalesce(own, F.array().cast("array<bigint>")))
 
 
 def _scientific(x: Column) -> Column:
