@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
+import zipfile
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidArguments
+from ..errors import InvalidArguments, NotSupported
 from ..session import delete, exists
 
 #: The types that a field may have, as Spark's.
@@ -29,6 +33,48 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.jdbc(url, table) if low is None else reader.jdbc(url, table, column=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts)
 
 
+def load_derby(rows: DataFrame, path: str, table: str) -> str:
+    """Loads rows into a new Derby database in a shared folder and gives the URL by which all executors read it.
+
+    Derby has no server here and one process alone may write its files, so tasks write the rows as files, Derby imports
+    these by its own statement, and the closed database is put into an archive, a form that any number of processes may
+    open at once, to read. Derby reads files of a mounted file system alone. Types but numbers and strings are
+    refused, as is a value that isn't finite.
+    """
+    if urlsplit(path).scheme not in ("", "file"):
+        raise NotSupported(f"Derby can't open {path}")
+    odd = [f.name for f in rows.schema if f.dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double", "decimal", "string")]
+    if odd:
+        raise NotSupported(f"not imported by Derby: {', '.join(odd)}")
+    local = unquote(urlsplit(path).path) if path.startswith("file:") else path
+    quoted = lambda f: F.concat(F.lit('"'), F.replace(F.col(f), F.lit('"'), F.lit('""')), F.lit('"'))
+    values = [F.coalesce(quoted(f.name) if f.dataType.typeName() == "string" else F.col(f.name).cast("string"), F.lit("")) for f in rows.schema]
+    rows.select(F.concat_ws(",", *values)).write.text(f"{path}/rows")
+    url, drivers = f"jdbc:derby:{local}/db", rows.sparkSession.sparkContext._jvm.java.sql.DriverManager
+    write_jdbc(rows.limit(0), f"{url};create=true", table)  # the table alone: no task has a row
+    connection = drivers.getConnection(url)
+    try:
+        call = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        for name in sorted(f for f in os.listdir(f"{local}/rows") if f.startswith("part-")):
+            call.setString(1, table.upper())
+            call.setString(2, f"{local}/rows/{name}")
+            call.execute()
+    finally:
+        connection.close()
+        try:
+            drivers.getConnection(f"{url};shutdown=true")
+        except Py4JJavaError as e:  # Derby says by an error that it has closed a database
+            if e.java_exception.getSQLState() != "08006":
+                raise
+    with zipfile.ZipFile(f"{local}/db.jar", "w", allowZip64=True) as jar:
+        for folder, _, names in os.walk(f"{local}/db"):
+            for name in names:
+                jar.write(f"{folder}/{name}", os.path.relpath(f"{folder}/{name}", local))
+    delete(rows.sparkSession, f"{path}/rows")
+    delete(rows.sparkSession, f"{path}/db")
+    return f"jdbc:derby:jar:({local}/db.jar)db"
+
+
 def view(rows: DataFrame, name: str) -> DataFrame:
     """Makes rows a view that statements name."""
     rows.createOrReplaceTempView(name)
