@@ -257,6 +257,7 @@ class Best:
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.value = np.full((len(queries), k), -np.inf)
         self.high = max(1, min(1024, len(queries)))
+        self.waiting: dict[int, list] = {}
         self.wide = max(64, min(4096, self.TILE // self.high))
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
@@ -281,23 +282,34 @@ class Best:
             least = least.copy()
             least[new] = self._scores(np.repeat(lo + new, self.k), some.ravel(), x).reshape(len(new), self.k).min(1)
         need = self.measure.floor(least - self.SLACK, asked, items)
-        found = np.flatnonzero(keys >= np.nextafter(need.astype(np.float32), np.float32(-np.inf))[:, None])
-        if not len(found):
+        bound = np.nextafter(need.astype(np.float32), np.float32(-np.inf))
+        some = np.flatnonzero(keys.max(1) >= bound)
+        if not len(some):
             return
-        row, col = np.divmod(found, len(ids))
-        row += lo
+        row, col = np.divmod(np.flatnonzero(keys[some] >= bound[some, None]), len(ids))
+        row = lo + some[row]
         value, own = self._scores(row, col, x), ids[col]
         last, last_id = self.value[row, -1], self.id[row, -1]
         better = (value > last) | ((value == last) & (own < last_id))
-        row, value, own = row[better], value[better], own[better]
+        waiting = self.waiting.setdefault(lo, [])
+        waiting.append((row[better], value[better], own[better]))
+        if sum(len(r) for r, _, _ in waiting) >= self.k * (hi - lo):
+            self._merge(lo)
+
+    def _merge(self, lo: int) -> None:
+        """Puts what waits for the queries from ``lo`` on among their best. Until then older, lower bounds let more pass, so
+        a query's best are sorted anew once for some k finds, not for each."""
+        row, value, own = (np.concatenate(c) for c in zip(*self.waiting.pop(lo)))
         touched = np.unique(row)
         row = np.concatenate([np.repeat(touched, self.k), row])
         value, own = np.concatenate([self.value[touched].ravel(), value]), np.concatenate([self.id[touched].ravel(), own])
-        order = np.lexsort((own, -value, row))
+        order = np.lexsort((own, -value, (row - lo).astype(np.int16)))  # at most 1024 rows: short numbers sort fast
         row = row[order]
         order = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
         self.value[touched], self.id[touched] = value[order].reshape(-1, self.k), own[order].reshape(-1, self.k)
 
     def columns(self, query_ids: np.ndarray) -> dict[str, np.ndarray]:
+        for lo in list(self.waiting):
+            self._merge(lo)
         row, col = np.nonzero(~np.isneginf(self.value))
         return {"query_id": query_ids[row], "item_id": self.id[row, col], "similarity": self.value[row, col]}

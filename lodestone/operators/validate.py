@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .topk import dense_topk_many
 
 
@@ -15,7 +18,9 @@ def knn_scores(items: DataFrame, k: int = 20) -> DataFrame:
     precision is the share of an item's neighbours of its own class, itself included, averaged over the class, and
     recall the same count over the size of the class.
     """
-    near = dense_topk_many(items, items.select(F.col("item_id").alias("query_id"), "vector"), k + 1)
+    path = f"{shared_dir(items.sparkSession)}/near-{uuid.uuid4().hex}"  # read twice, and by far the most work: written once
+    dense_topk_many(items, items.select(F.col("item_id").alias("query_id"), "vector"), k + 1).write.parquet(path)
+    near = items.sparkSession.read.parquet(path)
     labels = items.select("item_id", "label")
     size = labels.groupBy("label").agg(F.count("*").alias("size_"))
     near = near.join(labels, "item_id").withColumnRenamed("label", "near_")
