@@ -157,3 +157,38 @@ def test_metric_equals_a_plain_version(spark, sf_dir, monkeypatch, rows):
 def test_metric_without_labels(spark, sf_dir):
     x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(None).cast("int").alias("label"))
     assert np.allclose(metric.fit_metric(x, 4, steps=2), metric.pca_matrix(x, 4))
+
+
+def test_metric_learns_from_all_items(spark):
+    """Above the 20,000 that it once drew; one step against a plain one."""
+    rng = np.random.default_rng(3)
+    v, y = rng.standard_normal((20_200, 3)) * [3, 2, 1], rng.integers(0, 4, 20_200)
+    x = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(v.tolist(), y.tolist()))], "item_id long, vector array<double>, label int")
+    m = metric.pca_matrix(x, 1)
+    z, s = (v @ m.T)[:, 0], np.zeros((3, 3))
+    for at in range(0, len(z), 500):
+        d, own = (z[at : at + 500, None] - z) ** 2, y[at : at + 500, None] == y[None]
+        friends, foes = np.where(own, d, np.inf), np.where(own, np.inf, d)
+        friends[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        near, far = (np.argpartition(t, 2, axis=1)[:, :3] for t in (friends, foes))
+        reach = np.take_along_axis(friends, near, 1).max(1)
+        pushed = np.take_along_axis(foes, far, 1) < reach[:, None] + 0.05
+        for j in range(3):
+            e, o = v[at : at + len(d)] - v[near[:, j]], (v[at : at + len(d)] - v[far[:, j]])[pushed[:, j]]
+            s += 0.3 * e.T @ e - 0.45 * o.T @ o
+    assert np.allclose(metric.fit_metric(x, 1, steps=1), m - 0.1 * (m @ s) / len(v), atol=1e-10)
+
+
+@pytest.mark.parametrize("held, rate, searches", [(64, 0.01, 3), (64, 0.3, 12), (3, 0.1, 12)])
+def test_metric_looks_anew_only_when_it_has_moved(spark, sf_dir, monkeypatch, held, rate, searches):
+    """With copies of vectors, a class of two, and too many neighbours to hold."""
+    for name, value in (("ROWS", 60), ("HELD", held)):
+        monkeypatch.setattr(metric, name, value)
+    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200")
+    x = x.unionByName(x.where("vec_id < 12").withColumn("vec_id", F.col("vec_id") + 500))
+    x = x.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"), F.when(F.col("vec_id").isin(7, 30), 99).otherwise(F.col("label")).alias("label"))
+    sought, find = [], metric._found
+    monkeypatch.setattr(metric, "_found", lambda *a: sought.append(1) or find(*a))
+    assert np.allclose(metric.fit_metric(x, 8, steps=12, rate=rate), plain_metric(x, 8, 12, rate=rate), atol=1e-10)
+    assert len(sought) <= searches
+    assert held > 3 or len(sought) > 2
